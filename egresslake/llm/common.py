@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 #: Rows of a side that may be broadcast. Rows are of fixed width (keys and numbers), so this bounds bytes.
 BROADCAST_ROWS = 400_000
-#: Bytes that one task may hold when a table is read back for broadcasting.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -79,3 +78,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """left_semi or left_anti join of wide rows with a stored table of keys: broadcast where it is small."""
     return df.join(F.broadcast(keys) if small_enough(keys) else keys, on, how)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bounds what Python workers hold at a time: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """Tells rows with another id or another text apart."""
+    return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
+def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all columns, without the rows that found (stored; key, keep_key, kept) does not keep.
+
+    Rows are told apart by id and text. Where whole rows repeat, one of the repeats stays; only
+    such rows take the extra step.
+    """
+    gone = stored(found.filter(F.col("key") != F.col("keep_key")).select(F.col("key").alias("_el_key")).distinct(), "gone")
+    same = found.filter(F.col("key") == F.col("keep_key")).groupBy(F.col("key").alias("_el_key")).agg(F.count(F.lit(1)).alias("_el_n"))
+    again = stored(same.filter("_el_n > 1").select("_el_key"), "again")
+    keyed = docs.withColumn("_el_key", row_key(F.col(id_col), F.col(text_col)))
+    left = semi(keyed, gone, ["_el_key"], "left_anti")
+    if again.limit(1).count():
+        left = semi(left, again, ["_el_key"], "left_anti").unionByName(semi(left, again, ["_el_key"], "left_semi").dropDuplicates(["_el_key"]))
+    return left.select(docs.columns)

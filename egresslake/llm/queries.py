@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from egresslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from egresslake.llm.ngram_join import op5_ngram_join
 from egresslake.llm.mixing import OP1_SQL, op1_curriculum_mix
 
-QUERIES = {"op1_curriculum_mix": op1_curriculum_mix, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op5_ngram_join": op5_ngram_join, "op1_curriculum_mix": op1_curriculum_mix, "op8_exact_dedup": op8_exact_dedup}
 ORACLE_SQL = {"op1_curriculum_mix": OP1_SQL, "op8_exact_dedup": OP8_SQL}
