@@ -3,10 +3,11 @@
 Texts are equal when they are identical without white space ([\\x20\\x09-\\x0D]). Rows are
 refined in three steps, each only over what the step before could not tell apart:
 
-1. length of the normalised text. Lengths up to LENGTHS that occur once are unique. The lengths
-   that occur more often number at most LENGTHS, so they are broadcast; longer texts go on.
-2. hash of the first PREFIX normalised characters, with the length.
-3. SHA-256 of the whole normalised text, read for surviving rows only.
+1. length of the normalised text. A text of a length up to LENGTHS that occurs once is unique. The
+   lengths that occur more often number at most LENGTHS, so they are broadcast; longer texts go on.
+2. hash of the first PREFIX normalised characters, among texts of one length. The scan that finds
+   lengths has the text in hand and notes this hash too (16 bytes a row are stored).
+3. SHA-256 of the whole normalised text, for the rows that share length and prefix only.
 
 Rows of step 3 are stored without text (id, length, hash); group results come back to rows
 through join_groups, so a group with a third of all rows is not one task's work.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from egresslake.llm.common import SPACE, join_groups, semi, small_enough, stored
+from egresslake.llm.common import SPACE, drop_rows, join_groups, row_key, semi, stored
 
 PREFIX = 256
 LENGTHS = 1 << 20
@@ -31,22 +32,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def row_key(id_col: Column, text: Column) -> Column:
-    """Tells rows with another id or another text apart."""
-    return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
-
-
 def refined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows of groups of two or more with their decision, the other rows with their normalised text)."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
-    sized = base.select("id", "txt", normalised(F.col("txt")).alias("norm"))
-    sized = sized.withColumn("len", F.length("norm"))
-    by_len = sized.filter(F.col("len") <= LENGTHS)
-    lengths = stored(by_len.groupBy("len").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("len"), "lengths")
-    shared = by_len.join(F.broadcast(lengths), "len", "left_semi").unionByName(sized.filter(F.col("len") > LENGTHS))
-    alone = by_len.join(F.broadcast(lengths), "len", "left_anti")
-    headed = shared.withColumn("head", F.xxhash64(F.substring("norm", 1, PREFIX)))
-    heads = stored(headed.groupBy("len", "head").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("len", "head"), "heads")
+    headed = base.select("id", "txt", normalised(F.col("txt")).alias("norm"))
+    headed = headed.withColumn("len", F.length("norm")).withColumn("head", F.xxhash64(F.substring("norm", 1, PREFIX)))
+    sizes = stored(headed.select("len", "head"), "sizes")
+    twice = F.count(F.lit(1)).alias("rows")
+    lengths = sizes.filter(F.col("len") <= LENGTHS).groupBy("len").agg(twice).filter("rows > 1").select("len")
+    shared = sizes.join(F.broadcast(lengths), "len", "left_semi").unionByName(sizes.filter(F.col("len") > LENGTHS))
+    heads = stored(shared.groupBy("len", "head").agg(twice).filter("rows > 1").select("len", "head"), "heads")
     alive = stored(
         semi(headed, heads, ["len", "head"], "left_semi").select(
             "id", F.length("txt").alias("n_orig"), F.sha2("norm", 256).alias("sha"),
@@ -62,7 +57,7 @@ def refined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         "groups",
     )
     found = join_groups(alive, groups, "sha", "group_size", alive.count()).withColumn("kept", F.col("tag") == F.col("keep_tag"))
-    single = alone.select("id", "norm").unionByName(semi(headed, heads, ["len", "head"], "left_anti").select("id", "norm"))
+    single = semi(headed, heads, ["len", "head"], "left_anti").select("id", "norm")
     return found, single
 
 
@@ -85,15 +80,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays; only such rows take the extra step.
     """
     found, _ = refined(docs, id_col, text_col)
-    found = stored(found, "found")
-    lost = found.filter(~F.col("kept"))
-    gone = stored(lost.filter(F.col("key") != F.col("keep_key")).select(F.col("key").alias("_el_key")).distinct(), "gone")
-    again = stored(lost.filter(F.col("key") == F.col("keep_key")).select(F.col("key").alias("_el_key")).distinct(), "again")
-    keyed = docs.withColumn("_el_key", row_key(F.col(id_col), F.col(text_col)))
-    left = semi(keyed, gone, ["_el_key"], "left_anti")
-    if again.limit(1).count():
-        left = semi(left, again, ["_el_key"], "left_anti").unionByName(semi(left, again, ["_el_key"], "left_semi").dropDuplicates(["_el_key"]))
-    return left.select(docs.columns)
+    return drop_rows(docs, stored(found, "found"), id_col, text_col)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
