@@ -28,7 +28,7 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: Change of a weight over training for the sources in order, repeating: weight (1 + tilt (2 t - 1)), so the mean is the weight.
 TILTS = (-0.5, 0.0, 0.5)
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 256
 SPAN = float(1 << 52)
 
 
@@ -74,48 +74,63 @@ def position(share: Column, tilt: Column) -> Column:
     return F.least(F.lit(1.0), F.when(share <= 0, 0.0).otherwise(2.0 * share / (b + root)))
 
 
-def curriculum_mix(
+def curriculum(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, repeats: int = REPEATS, tilts: tuple = TILTS,
+    weights: tuple = WEIGHTS, repeats: int = REPEATS, tilts: tuple = TILTS, whole_rows: bool = False,
 ) -> DataFrame:
-    """One row per row of docs, range-sorted by first training position.
+    """One row per row of docs, unsorted: doc_id, source, size, source_size, target, taken, epochs, start, tilt.
 
-    doc_id, source, size, source_size, target, taken, first_position, epochs. taken is the number
-    of the document's tokens that lie in the first round(target) tokens of its source's order,
-    repeated; so the documents of a source take its target, and one document of it may be cut.
-    epochs is how many times the document occurs (whole or cut).
-    """
+    start is where the document stands in its source's order, in tokens. taken is the number of the
+    document's tokens that lie in the first round(target) tokens of that order, repeated; so the
+    documents of a source take its target, and one document of it may be cut. epochs is how many
+    times the document occurs (whole or cut). whole_rows adds row, a struct of all columns.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), spread(F.col(id_col)).alias("u")
-    )
-    base = stored(base.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))), "sizes")
-    buckets = max(1, -(-base.count() // BUCKET_ROWS))
-    base = base.withColumn("bucket", F.floor(F.col("u") * buckets))
-    sums = stored(base.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), spread(F.col(id_col)).alias("u"),
+        *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
+    ).withColumn("key", key)
+    small = stored(base.drop("row"), "sizes")
+    buckets = max(1, -(-small.count() // BUCKET_ROWS))
+    bucket = F.floor(F.col("u") * buckets)
+    sums = stored(small.groupBy("key", "source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size")), "buckets")
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats, tilts)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size")
-    targets = targets.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source")
-    offsets = offsets.drop("source").join(targets, "key")
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size", "source")
+    offsets = offsets.join(targets.withColumn("key", key).drop("source"), "key")
     inner = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = base.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["key", "bucket"])
-    start = F.col("offset") + F.col("inner")
+    d = (base if whole_rows else small).withColumn("bucket", bucket)
+    d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["key", "bucket"])
     asked = F.round(F.col("target")).cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(asked / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
-    rest = asked - full * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start)).cast("long")
-    d = d.withColumn("start", start).withColumn("full", full).withColumn("part", part)
-    d = d.withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("start") / F.greatest(F.col("target"), F.lit(1e-9)))).otherwise(1.0)
-    d = d.select(
-        "doc_id", "source", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, position(share, F.col("tilt"))).alias("first_position"),
-        (F.when(F.col("size") > 0, F.col("full")).otherwise(0) + (F.col("part") > 0).cast("long")).alias("epochs"),
-        "start", "tilt",
-    )
+    d = d.withColumn("start", F.col("offset") + F.col("inner")).withColumn("full", full)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), asked - F.col("full") * F.col("source_size") - F.col("start"))).cast("long")
+    d = d.withColumn("part", part).withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
+    epochs = F.when(F.col("size") > 0, F.col("full")).otherwise(0) + (F.col("part") > 0).cast("long")
+    return d.withColumn("epochs", epochs).drop("full", "part", "inner", "offset", "bucket", "u", "key", "weight")
+
+
+def reached(tokens: Column) -> Column:
+    """Training position at which the source's demand reaches so many of its tokens."""
+    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), tokens / F.greatest(F.col("target"), F.lit(1e-9)))).otherwise(1.0)
+    return position(share, F.col("tilt"))
+
+
+def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
+    """The plan, range-sorted by first_position (null for documents that are not taken). Options as for curriculum()."""
+    d = curriculum(docs, **options).withColumn("first_position", F.when(F.col("taken") > 0, reached(F.col("start"))))
     return d.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("start", "tilt")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, as training reads them: a row for each time that a document is taken, range-sorted by position."""
+    d = curriculum(docs, whole_rows=True, **options).filter("epochs > 0")
+    d = d.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
+    d = d.select("row", "doc_id", reached(F.col("start") + F.col("turn") * F.col("source_size")).alias("position"))
+    d = d.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op1_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     """Query: the plan for all documents."""
     plan = curriculum_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
