@@ -104,3 +104,8 @@ def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     if again.limit(1).count():
         left = semi(left, again, ["_el_key"], "left_anti").unionByName(semi(left, again, ["_el_key"], "left_semi").dropDuplicates(["_el_key"]))
     return left.select(docs.columns)
+
+
+def semi_left(df: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
+    """Left join of wide rows with a stored table that has at most one row per key: broadcast where it is small."""
+    return df.join(F.broadcast(keyed) if small_enough(keyed) else keyed, on, "left")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from egresslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from egresslake.llm.mixing import OP1_SQL, op1_curriculum_mix
 from egresslake.llm.ngram_join import op5_ngram_join
+from egresslake.llm.pii import op10_pii
+from egresslake.llm.secrets import op3_secret_scan
 from egresslake.llm.sentencepieces import op7_sentencepiece
 from egresslake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_curriculum_mix": op1_curriculum_mix,
+    "op3_secret_scan": op3_secret_scan,
     "op5_ngram_join": op5_ngram_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op1_curriculum_mix": OP1_SQL, "op8_exact_dedup": OP8_SQL}
