@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from egresslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from egresslake.llm.fingerprints import op4_fingerprints
 from egresslake.llm.mixing import OP1_SQL, op1_curriculum_mix
 from egresslake.llm.ngram_join import op5_ngram_join
 from egresslake.llm.pii import op10_pii
@@ -13,6 +14,7 @@ from egresslake.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_curriculum_mix": op1_curriculum_mix,
     "op3_secret_scan": op3_secret_scan,
+    "op4_fingerprints": op4_fingerprints,
     "op5_ngram_join": op5_ngram_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
