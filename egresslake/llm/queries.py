@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from egresslake.llm.brown import op6_brown_scores
 from egresslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from egresslake.llm.fingerprints import op4_fingerprints
 from egresslake.llm.mixing import OP1_SQL, op1_curriculum_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_join": op5_ngram_join,
+    "op6_brown_scores": op6_brown_scores,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,

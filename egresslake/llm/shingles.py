@@ -30,19 +30,25 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-cased words, which [\\x20\\x09-\\x0D] separates."""
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def hashed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """(64-bit hashes of the words that [\\x20\\x09-\\x0D] separates, OR of the table `flags` over each word's bytes)."""
+    raw = np.frombuffer(data, dtype=np.uint8)
     inside = ~_SPACES[raw]
     step = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(starts):
-        return np.empty(0, _M)
+        return np.empty(0, _M), None if flags is None else np.empty(0, flags.dtype)
     lengths = ends - starts
-    kept = raw[inside].astype(_M) + _M(1)
+    chars = raw[inside]
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(kept)) - np.repeat(first, lengths)
-    return mixed(np.add.reduceat(kept * powers(int(lengths.max()))[place], first) + lengths.astype(_M) * _MULT)
+    place = np.arange(len(chars)) - np.repeat(first, lengths)
+    sums = np.add.reduceat((chars.astype(_M) + _M(1)) * powers(int(lengths.max()))[place], first)
+    return mixed(sums + lengths.astype(_M) * _MULT), None if flags is None else np.bitwise_or.reduceat(flags[chars], first)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the lower-cased words."""
+    return hashed_words((text or "").lower().encode("utf-8", "surrogatepass"))[0]
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
