@@ -5,6 +5,7 @@ from __future__ import annotations
 from egresslake.llm.brown import op6_brown_scores
 from egresslake.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from egresslake.llm.fingerprints import op4_fingerprints
+from egresslake.llm.line_dedup import op2_line_dedup
 from egresslake.llm.mixing import OP1_SQL, op1_curriculum_mix
 from egresslake.llm.ngram_join import op5_ngram_join
 from egresslake.llm.pii import op10_pii
@@ -14,6 +15,7 @@ from egresslake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_curriculum_mix": op1_curriculum_mix,
+    "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_join": op5_ngram_join,

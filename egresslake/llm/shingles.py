@@ -26,24 +26,49 @@ _powers = np.multiply.accumulate(np.concatenate([np.ones(1, _M), np.full(4095, 0
 def powers(n: int) -> np.ndarray:
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _M(0x100000001B3))])
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _M(0x100000001B3))])
     return _powers[:n]
 
 
-def hashed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(64-bit hashes of the words that [\\x20\\x09-\\x0D] separates, OR of the table `flags` over each word's bytes)."""
+def placed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Of the words that [\\x20\\x09-\\x0D] separates: 64-bit hashes, OR of the table `flags` over the bytes, first bytes' places."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = ~_SPACES[raw]
     step = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(starts):
-        return np.empty(0, _M), None if flags is None else np.empty(0, flags.dtype)
+        return np.empty(0, _M), None if flags is None else np.empty(0, flags.dtype), starts
     lengths = ends - starts
     chars = raw[inside]
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(chars)) - np.repeat(first, lengths)
     sums = np.add.reduceat((chars.astype(_M) + _M(1)) * powers(int(lengths.max()))[place], first)
-    return mixed(sums + lengths.astype(_M) * _MULT), None if flags is None else np.bitwise_or.reduceat(flags[chars], first)
+    return mixed(sums + lengths.astype(_M) * _MULT), None if flags is None else np.bitwise_or.reduceat(flags[chars], first), starts
+
+
+def hashed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    return placed_words(data, flags)[:2]
+
+
+def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines with at least so many words: number, hash of the words in order, SimHash over word pairs (a single word counts alone)."""
+    data = text.lower().encode("utf-8", "surrogatepass")
+    h, _, starts = placed_words(data)
+    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    line, first, n = np.unique(np.searchsorted(breaks, starts), return_index=True, return_counts=True)
+    if not len(line) or n.max() < least:
+        none = np.empty(0, np.int64)
+        return none.astype(np.int32), none, none
+    place = np.arange(len(h)) - np.repeat(first, n)
+    node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
+    pair = mixed(h * _MULT + np.append(h[1:], _M(0)))
+    last = first + n - 1
+    pair[last] = np.where(n == 1, h[last], pair[last - 1])  # a line's last word has no pair; its pair before counts twice
+    bits = np.unpackbits(pair.view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    sim = np.packbits(2 * ones > n[:, None], axis=1).reshape(-1).view(np.int64)
+    keep = n >= least
+    return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
