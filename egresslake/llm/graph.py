@@ -10,25 +10,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from egresslake.llm.common import join_groups, release, stored
+from egresslake.llm.common import join_groups, release, semi_left, stored
 
 
-def blocked(rows: DataFrame, counts: DataFrame, key: str, node: str, block: int, total: int) -> DataFrame:
-    """rows of buckets with two rows or more, dealt to runs of at most two blocks of about `block` rows.
+def blocked(rows: DataFrame, key: str, node: str, block: int) -> DataFrame:
+    """Rows of buckets with two rows or more, dealt to runs of at most two blocks of about `block` rows.
 
-    counts: (key, n) of such buckets. A bucket with n rows has ceil(n / block) blocks; each row goes
-    to the runs of its block with every block, so each pair of rows meets in exactly one run: in
-    (p, p) for the same block, in (p, q) with p < q otherwise. Adds n, p, q, b.
+    A bucket with n rows has ceil(n / block) blocks; each row goes to the runs of its block with every
+    block, so each pair of rows meets in exactly one run: in (p, p) for the same block, in (p, q) with p < q
+    otherwise. Only counts of buckets over one block are joined to rows, broadcast while they are few.
+    Rows move once; runs of one row are dropped where they arrive. Adds p, q, b.
     """
-    r = join_groups(rows, counts, key, "n", total)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    r = r.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
+    large = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "large-buckets")
+    r = semi_left(rows, large, key).withColumn("nb", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))).drop("n")
+    r = r.withColumn("b", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
     r = r.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     r = r.withColumn("p", F.least("b", "x")).withColumn("q", F.greatest("b", "x")).drop("x", "nb")
-    return r.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+    run = Window.partitionBy(key, "p", "q")
+    return r.repartition(key, "p", "q").withColumn("many", F.count(F.lit(1)).over(run)).filter("many > 1").drop("many").sortWithinPartitions(key, "p", "q")
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -74,16 +76,13 @@ def pair_mask(p: int, q: int, b: np.ndarray) -> np.ndarray | None:
     return None if p == q else b[:, None] != b[None, :]
 
 
-def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Callable[[dict[str, np.ndarray]], np.ndarray], block: int = 1024) -> DataFrame:
+def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Callable[[dict[str, np.ndarray]], np.ndarray], block: int = 512) -> DataFrame:
     """Candidate edges (u, v) between nodes that share a bucket and that near() holds close.
 
     near gets the payload of a run and returns its boolean adjacency matrix. Buckets with equal
     node sets are common (one per band), so edges repeat; distinct() removes them.
     """
-    rows = stored(rows, "bands")
-    total = rows.count()
-    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band-sizes")
-    dealt = blocked(rows.select(key, node, *payload), counts, key, node, block, total)
+    dealt = blocked(rows.select(key, node, *payload), key, node, block)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         us, vs = [], []
@@ -104,9 +103,8 @@ def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Calla
         if us:
             yield pd.DataFrame({"u": us, "v": vs})
 
-    out = stored(dealt.mapInPandas(scan, "u long, v long").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    release(rows, counts)
-    return out
+    pairs = dealt.mapInPandas(scan, "u long, v long").filter("u <> v")
+    return stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -32,8 +32,8 @@ from egresslake.llm.graph import blocked, components, forest, linked, pair_mask,
 from egresslake.llm.shingles import set_key, shingle_hashes
 
 THRESHOLD = 0.8
-TREES = 32
-DEPTH = 8
+TREES = 16
+DEPTH = 5
 TARGET = 0.999
 SKETCH_BITS = 128
 #: Of SKETCH_BITS one-bit min-hashes, (1 + s) / 2 agree for similarity s; candidates may fall so many standard deviations below that.
@@ -133,7 +133,6 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
         ),
         "members",
     )
-    sizes = stored(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "group-sizes")
     m = members.select("cid", "copies", "component", F.col("rep_key").alias("key"))
     texts = docs.select("key", "txt").join(F.broadcast(m) if small_enough(m) else m, "key")
 
@@ -145,7 +144,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
             })
 
     rows = stored(texts.mapInPandas(load, "cid long, copies long, component long, grams binary"), "grams")
-    dealt = blocked(rows, sizes, "component", "cid", BLOCK, members.count())
+    dealt = blocked(rows, "component", "cid", BLOCK)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in runs(batches, ["component", "p", "q"]):
@@ -172,7 +171,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
             yield pd.DataFrame({"cid": cid[tree[:, 0]], "other": pd.array(cid[tree[:, 1]], dtype="Int64"), "links": 0, "documents": 0, "weight": 0.0})
 
     out = stored(dealt.mapInPandas(verify, "cid long, other long, links long, documents long, weight double"), "links")
-    release(rows, members, sizes)
+    release(rows, members)
     return out
 
 
