@@ -51,7 +51,7 @@ def hashed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines with at least so many words: number, hash of the words in order, SimHash over word pairs (a single word counts alone)."""
+    """Of the lines with at least so many words: number, hash of the words in order, SimHash over distinct words."""
     data = text.lower().encode("utf-8", "surrogatepass")
     h, _, starts = placed_words(data)
     breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
@@ -61,12 +61,15 @@ def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return none.astype(np.int32), none, none
     place = np.arange(len(h)) - np.repeat(first, n)
     node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
-    pair = mixed(h * _MULT + np.append(h[1:], _M(0)))
-    last = first + n - 1
-    pair[last] = np.where(n == 1, h[last], pair[last - 1])  # a line's last word has no pair; its pair before counts twice
-    bits = np.unpackbits(pair.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    sim = np.packbits(2 * ones > n[:, None], axis=1).reshape(-1).view(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    _, once = np.unique(mixed(h + row.astype(_M) * _MULT), return_index=True)
+    once.sort()
+    row = row[once]
+    bits = np.unpackbits(mixed(h[once]).view(np.uint8).reshape(-1, 8), axis=1)
+    starts_at = np.searchsorted(row, np.arange(len(n)))
+    ones = np.add.reduceat(bits, starts_at, axis=0, dtype=np.int32)
+    words = np.diff(np.append(starts_at, len(row)))
+    sim = np.packbits(2 * ones > words[:, None], axis=1).reshape(-1).view(np.int64)
     keep = n >= least
     return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep]
 
