@@ -50,7 +50,7 @@ def cost_usd(tokens_in: Column, tokens_out: Column, usd_in: float, usd_out: floa
 
 def reasons(joined: Column) -> Column:
     """The ;-joined reasons of a row as an array; none means accepted."""
-    parts = F.filter(F.transform(F.split(F.coalesce(joined, F.lit("")), ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(joined, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) == 0, F.array(F.lit("accepted"))).otherwise(parts)
 
 
@@ -65,7 +65,7 @@ def variant_parts(name: Column) -> Column:
 
 def levels(text: Column) -> Column:
     """'0;1' or '2-0' as distinct level numbers, ranges in either direction."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("0")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("0")), ";"), lambda x: F.trim(x)), lambda p: p != "")
 
     def spread(p: Column) -> Column:
         a, b = F.regexp_extract(p, r"^(-?\d+)", 1).try_cast("int"), F.regexp_extract(p, r"^-?\d+\s*-\s*(-?\d+)$", 1).try_cast("int")

@@ -93,8 +93,8 @@ def q_issue_table(spark, sf_dir):
 
 
 def q_assertions(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").agg(F.avg("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"), F.min("l_tax").alias("tax")).unpivot([], ["quantity", "discount", "tax"], "metric", "value")
-    rules = spark.createDataFrame([("quantity", 30.0, 40.0), ("discount", 0.0, 0.5), ("tax", 0.01, 1.0), ("density", 0.0, 4.0)], "metric string, least double, most double")
+    m = table(spark, sf_dir, "lineitem").agg(F.avg("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"), F.min("l_extendedprice").alias("price")).unpivot([], ["quantity", "discount", "price"], "metric", "value")
+    rules = spark.createDataFrame([("quantity", 30.0, 40.0), ("discount", 0.0, 0.5), ("price", 5000.0, 1e6), ("density", 0.0, 4.0)], "metric string, least double, most double")
     return rounded(V.metric_rules(m, rules), 4)
 
 
@@ -149,8 +149,8 @@ SQL = {
       UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'status_pending', 'warning' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'negative_balance', 'warning' FROM customer WHERE c_acctbal < 0
       UNION ALL SELECT 'lineitem', l_orderkey::VARCHAR, 'discount_out_of_range', 'error' FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT 'lineitem', l_orderkey::VARCHAR, 'quantity_out_of_range', 'error' FROM lineitem WHERE l_quantity >= 50
       UNION ALL SELECT 'part', p_partkey::VARCHAR, 'part_never_ordered', 'error' FROM (SELECT DISTINCT p_partkey FROM part) WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'part', p_name, 'duplicate_name', 'error' FROM part GROUP BY p_name HAVING count(*) > 1""",
-    "q_assertions": """WITH m AS (SELECT 'quantity' AS metric, avg(l_quantity) AS value FROM lineitem UNION ALL SELECT 'discount', max(l_discount) FROM lineitem UNION ALL SELECT 'tax', min(l_tax) FROM lineitem),
-      r(metric, least_, most) AS (VALUES ('quantity', 30.0::DOUBLE, 40.0::DOUBLE), ('discount', 0.0, 0.5), ('tax', 0.01, 1.0), ('density', 0.0, 4.0)),
+    "q_assertions": """WITH m AS (SELECT 'quantity' AS metric, avg(l_quantity) AS value FROM lineitem UNION ALL SELECT 'discount', max(l_discount) FROM lineitem UNION ALL SELECT 'price', min(l_extendedprice) FROM lineitem),
+      r(metric, least_, most) AS (VALUES ('quantity', 30.0::DOUBLE, 40.0::DOUBLE), ('discount', 0.0, 0.5), ('price', 5000.0, 1000000.0), ('density', 0.0, 4.0)),
       j AS (SELECT r.metric, least_ AS least, most, round(value, 4) AS value, CASE WHEN value IS NULL THEN 'missing_metric' WHEN value < least_ THEN 'below_minimum' WHEN value > most THEN 'above_maximum' END AS code FROM r LEFT JOIN m USING (metric)) SELECT * FROM j WHERE code IS NOT NULL""",
     "q_attack_reasons": f"""WITH c AS (SELECT doc_id, coalesce({_claim}, '') AS t FROM documents), n AS (SELECT *, lower(t) AS l, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS w FROM c)
       SELECT doc_id, concat_ws(';', """ + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(l, '{p}')''' for p in ps)} THEN 'attack_pattern:{code}' END" for code, ps in X.ATTACK_MARKERS) + """) AS reasons,
