@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -18,37 +19,56 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+_own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset in local mode, a folder of this process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="egresslake-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="egresslake-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Tables that nothing has released stay until the driver ends, since results are lazy.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/egresslake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._egresslake_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may have ended
+            _remove(spark, path)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes tables made by stored() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_egresslake_path", None)
         if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _made.remove((df.sparkSession, path))
+            _remove(df.sparkSession, path)
 
 
 def fold(doc_id: Column) -> Column:
@@ -57,8 +77,8 @@ def fold(doc_id: Column) -> Column:
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df, a stored table, has at most so many rows: a count from Parquet's metadata."""
+    return df.count() <= rows
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
