@@ -88,16 +88,16 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, base_rate: float) -> tuple[np
 
 def logistic(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     size = 1 << BITS
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos = np.bincount(flat[toxic[owner] == 1], minlength=size) + 1.0
-    neg = np.bincount(flat[toxic[owner] == 0], minlength=size) + 1.0
+    pos, neg = np.ones(size), np.ones(size)
+    for row, y in zip(rows, toxic.tolist(), strict=True):  # a row's features are distinct
+        (pos if y else neg)[row] += 1.0
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     ratio[(pos + neg < 5) | (np.abs(ratio) < LEAST_RATIO)] = 0.0  # seen in under three texts, or tells little
-    keep = ratio[flat] != 0
-    flat, owner = flat[keep], owner[keep]
+    rows = [row[ratio[row] != 0] for row in rows]
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     scale = ratio / np.sqrt(max(1.0, float(np.mean(np.bincount(owner, ratio[flat] ** 2, len(rows))))))
-    x = scale[flat]
+    x = scale[flat].astype(np.float32)
     w, bias, y = np.zeros(size), 0.0, toxic.astype(float)
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(toxic) or toxic.min() == toxic.max():
         p = min(max(rate if rate is not None else 0.499, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, dtype=np.float32), float(np.log(p / (1 - p)))
-    return fit([np.frombuffer(r["f"], dtype="<i4").astype(np.int64) for r in got], toxic, rate)
+    return fit([np.frombuffer(r["f"], dtype="<i4") for r in got], toxic, rate)
 
 
 def scored(text: Column, model: tuple[np.ndarray, float]) -> Column:
