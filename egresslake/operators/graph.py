@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds after which a growing table is written anew.
+EVERY = 10
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the folder is spark.checkpoint.dir, or one of this process in local mode."""
     sc = df.sparkSession.sparkContext
@@ -57,7 +61,8 @@ def reachable(edge: DataFrame, sources: DataFrame) -> DataFrame:
         front = cut(nxt.join(seen, ["x", "y"], "left_anti").withColumn("hops", F.lit(hops)))
         if not front.limit(1).count():
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # of checkpointed frontiers; itself written anew every EVERY rounds only
+        seen = cut(seen) if hops % EVERY == 0 else seen
 
 
 def shortest(edge: DataFrame, goals: DataFrame) -> DataFrame:
