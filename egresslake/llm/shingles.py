@@ -50,6 +50,23 @@ def hashed_words(data: bytes, flags: np.ndarray | None = None) -> tuple[np.ndarr
     return placed_words(data, flags)[:2]
 
 
+#: A byte's bits in the eight byte lanes of a word.
+_LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view(_M).reshape(-1)
+
+
+def _majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per group of rows (n, 8) of hash bytes: the 64 bits that more than half of them set.
+
+    Eight counters of a byte each are added at a time, over chunks of at most 255 rows.
+    """
+    chunks = -(-counts // 255)
+    first = np.repeat(starts, chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks))
+    ones = np.stack([np.add.reduceat(_LANES[hashes[:, i]], first) for i in range(8)], axis=1).view(np.uint8).reshape(len(first), 64)
+    if len(first) > len(starts):
+        ones = np.add.reduceat(ones.astype(np.int64), np.cumsum(chunks) - chunks, axis=0)
+    return np.packbits(2 * ones.astype(np.int64) > counts[:, None], axis=1).reshape(-1).view(np.int64)
+
+
 def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines with at least so many words: number, hash of the words in order, SimHash over distinct words."""
     data = text.lower().encode("utf-8", "surrogatepass")
@@ -65,11 +82,9 @@ def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     _, once = np.unique(mixed(h + row.astype(_M) * _MULT), return_index=True)
     once.sort()
     row = row[once]
-    bits = np.unpackbits(mixed(h[once]).view(np.uint8).reshape(-1, 8), axis=1)
     starts_at = np.searchsorted(row, np.arange(len(n)))
-    ones = np.add.reduceat(bits, starts_at, axis=0, dtype=np.int32)
     words = np.diff(np.append(starts_at, len(row)))
-    sim = np.packbits(2 * ones > words[:, None], axis=1).reshape(-1).view(np.int64)
+    sim = _majority(mixed(h[once]).view(np.uint8).reshape(-1, 8), starts_at, words)
     keep = n >= least
     return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep]
 
