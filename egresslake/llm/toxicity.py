@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from egresslake.llm.common import fold, small_batches
+from egresslake.llm.common import fold, release, small_batches, stored
 
 BITS = 18
 NGRAMS = (3, 4, 5)
-SAMPLE = 2000
+SAMPLE = 1500
 STEPS = 60
 #: N-grams with a smaller absolute log-count ratio are left out.
 LEAST_RATIO = 0.4
@@ -125,13 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"f": [features(t).astype("<i4").tobytes() for t in pdf["text"]], "toxic": (pdf["_el_toxic"] == 1).astype("int32")})
 
-    got = texts.mapInPandas(extract, "f binary, toxic int").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["f"])))
-    toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
+    rows = stored(texts.mapInPandas(extract, "f binary, toxic int"), "features")
+    got = sorted(((r["toxic"], bytes(r["f"])) for r in rows.coalesce(8).toLocalIterator()))  # a part at a time through the driver's JVM
+    release(rows)
+    toxic = np.array([y for y, _ in got], dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         p = min(max(rate if rate is not None else 0.499, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, dtype=np.float32), float(np.log(p / (1 - p)))
-    return fit([np.frombuffer(r["f"], dtype="<i4") for r in got], toxic, rate)
+    return fit([np.frombuffer(f, dtype="<i4") for _, f in got], toxic, rate)
 
 
 def scored(text: Column, model: tuple[np.ndarray, float]) -> Column:
