@@ -107,8 +107,10 @@ def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Calla
     return stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one edge upwards and no centre has one itself."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == nodes and not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
 
 
 def _least(edges: DataFrame, value: Column) -> DataFrame:
@@ -123,21 +125,17 @@ def components(edges: DataFrame) -> DataFrame:
     broadcast. Edges shrink to one per node; they never leave the cluster.
     """
     e = edges
-    before = _state(e)
-    while before[0]:
+    while not _is_star_forest(e):
+        total = e.count()
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both, F.least("u", "v"))
-        large = join_groups(both, least, "u", "deg", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_groups(both, least, "u", "deg", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), "stars")
         least = _least(large, F.col("v"))
-        small = join_groups(large, least, "u", "deg", before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_groups(large, least, "u", "deg", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        after = _state(nxt)
         release(large, *([e] if e is not edges else []))
         e = nxt
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
