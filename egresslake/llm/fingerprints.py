@@ -52,12 +52,13 @@ def sketch(text: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Colu
         return F.when(F.size(w) >= SHINGLE, many).otherwise(few)
 
     def cut(h: Column) -> Column:
-        return let(F.filter(h, lambda x: x < top), lambda low: F.when(F.size(low) >= 2 * floor, low).otherwise(h))
+        low = F.array_distinct(F.filter(h, lambda x: x < top))
+        return let(low, lambda x: F.when(F.size(x) >= floor, x).otherwise(F.array_distinct(h)))
 
     def kept(h: Column) -> Column:
         return F.filter(h, lambda x, i: (x < top) | (i < floor))
 
-    return let(let(words, lambda w: let(hashes(w), cut)), lambda h: let(F.array_sort(F.array_distinct(h)), kept))
+    return let(let(words, lambda w: let(hashes(w), cut)), lambda h: let(F.array_sort(h), kept))
 
 
 def likeness(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:

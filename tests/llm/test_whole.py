@@ -3,7 +3,9 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from egresslake.llm import fingerprints
 from egresslake.llm.queries import QUERIES
 from tests.llm.test_operators import brute_pii
 
@@ -19,3 +21,17 @@ def test_octets_of_zeros_are_addresses(spark, tmp_path):
         if len(texts[r.doc_id]) > 4000:  # more digits than int() reads
             continue
         assert r.base_sha256 == hashlib.sha256(",".join(brute_pii(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_sketch_of_a_repetitive_text_keeps_the_least_hashes(spark):
+    words = [f"w{i}" for i in range(30)]
+    once, often = " ".join([*words, *words[:4]]), " ".join(words * 100)
+    shingles = [tuple((words * 2)[i : i + 5]) for i in range(30)]
+    hashed = spark.createDataFrame(shingles, "a string, b string, c string, d string, e string").select(F.shiftright(F.xxhash64("a", "b", "c", "d", "e"), 32).cast("int").alias("h"))
+    hashes = sorted(r.h for r in hashed.collect())
+    want = [h for i, h in enumerate(hashes) if h < fingerprints.limit(fingerprints.FRACTION) or i < fingerprints.FLOOR]
+    other = " ".join(f"v{i}" for i in range(400))
+    a, b, c = (fingerprints.sketch(F.lit(t)) for t in (once, often, other))
+    row = spark.range(1).select(a.alias("once"), b.alias("often"), fingerprints.likeness(b, a).alias("like"), fingerprints.merged(b, c).alias("parts"), fingerprints.merged(a, c).alias("same")).first()
+    assert row.once == want and row.often == want and len(want) >= fingerprints.FLOOR
+    assert row.like == 1.0 and row.parts == row.same
