@@ -8,7 +8,7 @@ curriculum_mix  documents that the mix takes stay, range-sorted by training posi
 sentencepiece   the documents' token ids
 
 Each stage reads all that the stage before has kept and returns the columns of documents, but for the
-last, which returns doc_id, source, n_tokens, token_ids and round_trip. The labels of the first stage
+last, which returns doc_id, source, n_tokens, token_ids, round_trip and parity. The labels of the first stage
 come from the tables' directory. run() writes each stage as Parquet to the shared folder and reads it
 again, so a lost executor costs tasks of one stage.
 """
@@ -43,7 +43,7 @@ def curriculum_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, read_model(), also=["source"]).select("doc_id", "source", "n_tokens", "token_ids", "round_trip")
+    return encode(docs, read_model(), also=["source"]).select("doc_id", "source", "n_tokens", "token_ids", "round_trip", "parity")
 
 
 STAGES = [

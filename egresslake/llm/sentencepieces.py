@@ -7,8 +7,8 @@ scores, or BPE merges ranked by piece score, byte fallback, and the decoder. Bat
 by the library's threads. Where no piece holds the marker behind another character (checked
 on load), text is first split before markers; that cannot change a result and lets word caches work.
 
-Parity: check_parity() compares ids with the sentencepiece library; the operator does so for whole
-texts of every document whose parity fold is hit (parity_every, 1 for all) and reports it per row.
+Parity: the operator compares ids and decoded text with the sentencepiece library's for whole texts of every
+document whose parity fold is hit (parity_every; 1, for all, unless told otherwise) and reports it per row.
 
 Defined results: a null text encodes like an empty one, to no ids; unknown characters become bytes;
 control pieces' names in a text are ordinary text; lone surrogates, which Spark strings cannot hold, do not occur;
@@ -34,7 +34,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
 #: One document in so many is encoded by both libraries.
-PARITY_EVERY = 50
+PARITY_EVERY = 1
 #: Characters encoded at a time, so that token objects stay small in memory.
 BATCH_CHARS = 400_000
 # Fixed values of the model file format.

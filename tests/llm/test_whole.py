@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from egresslake.llm import fingerprints
 from egresslake.llm.queries import QUERIES
 from tests.llm.test_operators import brute_pii
@@ -35,3 +36,9 @@ def test_sketch_of_a_repetitive_text_keeps_the_least_hashes(spark):
     row = spark.range(1).select(a.alias("once"), b.alias("often"), fingerprints.likeness(b, a).alias("like"), fingerprints.merged(b, c).alias("parts"), fingerprints.merged(a, c).alias("same")).first()
     assert row.once == want and row.often == want and len(want) >= fingerprints.FLOOR
     assert row.like == 1.0 and row.parts == row.same
+
+
+def test_every_document_is_checked_for_parity(spark, edge, edge_dir):
+    assert {r.parity for r in QUERIES["op7_sentencepiece"](spark, edge_dir).collect()} == {True}
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece"]
+    assert {r.parity for r in stage(spark, edge, edge_dir).collect()} == {True}
