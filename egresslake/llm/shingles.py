@@ -67,15 +67,46 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
     return np.packbits(2 * ones.astype(np.int64) > counts[:, None], axis=1).reshape(-1).view(np.int64)
 
 
+def trigram_simhash(text: str, wanted: np.ndarray) -> np.ndarray:
+    """Of the lines with a word, in order: the SimHash over distinct character trigrams where wanted, else 0.
+
+    A line is its lower-cased words with one space before each; two end marks follow it.
+    """
+    code = np.frombuffer(("\n" + text.lower()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = (code == 32) | ((code >= 9) & (code <= 13))
+    used = ~space
+    used[:-1] |= ~space[1:]  # and the space before a word
+    line = np.cumsum(code == 10)[used]
+    row = np.cumsum(np.diff(line, prepend=line[:1]) > 0)
+    mine = wanted[row]
+    c, row = np.where(space, 32, code)[used][mine].astype(_M), row[mine]
+    out = np.zeros(len(wanted), np.int64)
+    if not len(c):
+        return out
+    c, after = np.append(c, np.zeros(2, _M)), np.append(row, [-1, -1])
+    second, third = (np.where(after[k : k + len(row)] == row, c[k : k + len(row)], _M(0)) for k in (1, 2))
+    # 30 bits tell lines apart, more than a text can have; 34 bits tell trigrams of a line apart.
+    key = np.sort(row.astype(_M) << _M(34) | mixed(c[:-2] << _M(42) | second << _M(21) | third) >> _M(30))
+    key = key[np.diff(key, prepend=~key[:1]) != 0]
+    rows, first, counts = np.unique((key >> _M(34)).astype(np.int64), return_index=True, return_counts=True)
+    out[rows] = _majority(mixed(key & _M((1 << 34) - 1)).view(np.uint8).reshape(-1, 8), first, counts)
+    return out
+
+
 def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines with at least so many words: number, hash of the words in order, SimHash over distinct words."""
+    return sized_line_hashes(text, least, 0)[:3]
+
+
+def sized_line_hashes(text: str, least: int, short: int) -> tuple[np.ndarray, ...]:
+    """line_hashes(), and number of words and SimHash over distinct trigrams (0 from `short` words on)."""
     data = text.lower().encode("utf-8", "surrogatepass")
     h, _, starts = placed_words(data)
     breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
     line, first, n = np.unique(np.searchsorted(breaks, starts), return_index=True, return_counts=True)
     if not len(line) or n.max() < least:
         none = np.empty(0, np.int64)
-        return none.astype(np.int32), none, none
+        return none.astype(np.int32), none, none, none.astype(np.int32), none
     place = np.arange(len(h)) - np.repeat(first, n)
     node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
     row = np.repeat(np.arange(len(n)), n)
@@ -86,7 +117,8 @@ def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     words = np.diff(np.append(starts_at, len(row)))
     sim = _majority(mixed(h[once]).view(np.uint8).reshape(-1, 8), starts_at, words)
     keep = n >= least
-    return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep]
+    gram = trigram_simhash(text, keep & (n < short)) if short else np.zeros(len(n), np.int64)
+    return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep], n[keep].astype(np.int32), gram[keep]
 
 
 def word_hashes(text: str | None) -> np.ndarray:

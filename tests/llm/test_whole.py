@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from egresslake.llm import fingerprints
+from egresslake.llm import fingerprints, line_dedup
 from egresslake.llm.queries import QUERIES
+from egresslake.llm.shingles import sized_line_hashes
 from tests.llm.test_operators import brute_pii
 
 
@@ -42,3 +43,45 @@ def test_every_document_is_checked_for_parity(spark, edge, edge_dir):
     assert {r.parity for r in QUERIES["op7_sentencepiece"](spark, edge_dir).collect()} == {True}
     stage = dict(corpus_pipeline.STAGES)["sentencepiece"]
     assert {r.parity for r in stage(spark, edge, edge_dir).collect()} == {True}
+
+
+def recall(words, edit, n=200):
+    """Share of lines of so many words whose edited copy line_dedup takes for a candidate."""
+    rng = np.random.default_rng(words)
+    lines = [[f"{'abcdefghij'[rng.integers(10)]}{rng.integers(0, 10**6)}" for _ in range(words)] for _ in range(n)]
+    found = 0
+    for line in lines:
+        other, i = list(line), int(rng.integers(words))
+        other[i] = edit(line[i])
+        *_, sim, size, gram = sized_line_hashes(" ".join(line) + "\n" + " ".join(other), 1, line_dedup.SHORT)
+        edges = [round(i * 64 / line_dedup.BLOCKS) for i in range(line_dedup.BLOCKS + 1)]
+        for s in ([sim] if size[0] >= line_dedup.WORDS else []) + ([gram] if size[0] < line_dedup.SHORT else []):
+            bits = [int(s[0] ^ s[1]) >> a & (1 << (b - a)) - 1 for a, b in zip(edges, edges[1:], strict=False)]
+            if bits.count(0) >= 2 and sum(x.bit_count() for x in bits) <= line_dedup.MOST_BITS:
+                found += 1
+                break
+    return found / n
+
+
+def test_line_candidates_by_length():
+    got = {(k, name): recall(k, edit) for k in (3, 5, 10, 20, 40) for name, edit in {"word": lambda w: "other", "letter": lambda w: w[:-1] + "x"}.items()}
+    print(got)
+    assert got[10, "word"] > 0.4 and got[20, "word"] > 0.6 and got[40, "word"] > 0.8
+    assert got[5, "letter"] > 0.4 and got[10, "letter"] > 0.7
+
+
+def test_near_lines_are_found_within_a_tight_bound(spark):
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{rng.integers(0, 500)}" for _ in range(40)) for _ in range(60)]
+    near = [line.rsplit(" ", 1)[0] + " changed" for line in lines[:20]]
+    docs = [(i, "\n".join([lines[i], lines[(i * 7) % 60], near[i % 20]])) for i in range(60)]
+    left = [x for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for x in r.text.split("\n") if x]
+    assert 60 <= len(left) <= 63
+
+
+def test_no_similar_pair_is_left_out_before_it_is_compared():
+    rng = np.random.default_rng(2)
+    lines = ["".join(rng.choice(list("abcé日 "), size=int(rng.integers(5, 12)))) for _ in range(150)]
+    may = line_dedup.may_be_similar(np.array(lines, dtype=object))
+    assert all(may[i, j] for i in range(150) for j in range(150) if line_dedup.similar(lines[i], lines[j]))
+    assert not may.all()
