@@ -85,3 +85,12 @@ def test_no_similar_pair_is_left_out_before_it_is_compared():
     may = line_dedup.may_be_similar(np.array(lines, dtype=object))
     assert all(may[i, j] for i in range(150) for j in range(150) if line_dedup.similar(lines[i], lines[j]))
     assert not may.all()
+
+
+def test_short_lines_take_part_in_the_query(spark, tmp_path):
+    chinese = "在城市中心的大型体育场馆发生紧急情况时所有人员应当按照指示牌迅速有序地撤离到安全区域并等待进一步的通知"
+    lines = ["Read more", "x", chinese, ""]
+    rows = [(i, "\n".join([*lines, f"{i * 7919 + 10**6}"])) for i in range(3)] + [(3, chinese + "\n  READ   more ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (5, 0), 1: (5, 3), 2: (5, 3), 3: (2, 2)}
