@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 SHINGLE = 5
@@ -67,58 +69,115 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
     return np.packbits(2 * ones.astype(np.int64) > counts[:, None], axis=1).reshape(-1).view(np.int64)
 
 
-def trigram_simhash(text: str, wanted: np.ndarray) -> np.ndarray:
-    """Of the lines with a word, in order: the SimHash over distinct character trigrams where wanted, else 0.
-
-    A line is its lower-cased words with one space before each; two end marks follow it.
+#: Lines of at most so many units have a key for each unit left out; from that many units on, keys of runs of units.
+FEW_WORDS, FEW_CHARS = 8, 16
+#: Length of runs: of words in shorter lines, of words in longer ones, of characters.
+RUN, LONG_RUN, CHAR_RUN = 3, 4, 6
+#: Lines of at least LONG words have long runs; those of under LONG_TOO words short ones too, since similar lines may lie on both sides.
+LONG, LONG_TOO = 20, 25
+#: A line whose words have over so many characters on average is taken as characters.
+CHARS_A_WORD = 15
+#: Runs kept of a line: those with the least hashes.
+KEYS = 8
+
+
+def _runs(h: np.ndarray, line: np.ndarray, ends: np.ndarray, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the KEYS runs of `size` units with the least hashes of every wanted line."""
+    m = len(h) - size + 1
+    if m <= 0:
+        return np.empty(0, np.int64), np.empty(0, _M)
+    at = np.flatnonzero(wanted[line[:m]] & (np.arange(m) + size <= ends[line[:m]]))
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, _M)
+    g = h[at].copy()
+    for k in range(1, size):
+        g = g * _MULT + h[at + k]
+    g, row = mixed(g + _M(size)), line[at]
+    bits = _M(max(1, int(row[-1]).bit_length()))
+    order = np.argsort(row.astype(_M) << (_M(64) - bits) | g >> bits)
+    row, g = row[order], g[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])])
+    row, g = row[new], g[new]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < KEYS], g[rank < KEYS]
+
+
+def _but_one(h: np.ndarray, starts: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each line of 2 to `most` units whole and with each unit left out."""
+    rows, keys = [], []
+    for size in range(2, most + 1):
+        mine = np.flatnonzero(n == size)
+        if len(mine):
+            units = h[starts[mine][:, None] + np.arange(size)]
+            for out in range(size + 1):
+                left = [k for k in range(size) if k != out]
+                total = np.full(len(mine), len(left), _M)
+                for k in left:
+                    total = total * _MULT + units[:, k]
+                rows.append(mine)
+                keys.append(mixed(total ^ _M(0x2545F4914F6CDD1D)))
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.empty(0, np.int64), np.empty(0, _M))
+
+
+def _char_line(words: str) -> tuple[int, np.ndarray]:
+    """(SimHash over distinct character trigrams, keys) of a line taken as characters."""
+    c = mixed(np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_M) + _M(1))
+    line, ends, yes = np.zeros(len(c), np.int64), np.array([len(c)]), np.array([True])
+    padded = np.append(c, np.zeros(2, _M))
+    grams = np.unique(mixed(padded[:-2] * _MULT * _MULT + padded[1:-1] * _MULT + padded[2:]))
+    sim = int(_majority(grams.view(np.uint8).reshape(-1, 8), np.zeros(1, np.int64), np.array([len(grams)]))[0])
+    keys = [_but_one(c, np.zeros(1, np.int64), ends, FEW_CHARS)[1]]
+    if len(c) >= FEW_CHARS:
+        keys.append(_runs(c, line, ends, CHAR_RUN, yes)[1])
+    return sim, np.concatenate(keys) ^ _M(0xC0FFEE)
+
+
+def line_parts(text: str, least: int = 1) -> tuple[np.ndarray, ...]:
+    """Of the lines with at least so many words, in order.
+
+    line (number), node (hash of the words in order), sim (SimHash over distinct words, or over
+    character trigrams where the words are long), few (whether keys are of all units but one), size
+    (characters of the normalised line), and keys with the number of keys of each line.
     """
-    code = np.frombuffer(("\n" + text.lower()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    space = (code == 32) | ((code >= 9) & (code <= 13))
-    used = ~space
-    used[:-1] |= ~space[1:]  # and the space before a word
-    line = np.cumsum(code == 10)[used]
-    row = np.cumsum(np.diff(line, prepend=line[:1]) > 0)
-    mine = wanted[row]
-    c, row = np.where(space, 32, code)[used][mine].astype(_M), row[mine]
-    out = np.zeros(len(wanted), np.int64)
-    if not len(c):
-        return out
-    c, after = np.append(c, np.zeros(2, _M)), np.append(row, [-1, -1])
-    second, third = (np.where(after[k : k + len(row)] == row, c[k : k + len(row)], _M(0)) for k in (1, 2))
-    # 30 bits tell lines apart, more than a text can have; 34 bits tell trigrams of a line apart.
-    key = np.sort(row.astype(_M) << _M(34) | mixed(c[:-2] << _M(42) | second << _M(21) | third) >> _M(30))
-    key = key[np.diff(key, prepend=~key[:1]) != 0]
-    rows, first, counts = np.unique((key >> _M(34)).astype(np.int64), return_index=True, return_counts=True)
-    out[rows] = _majority(mixed(key & _M((1 << 34) - 1)).view(np.uint8).reshape(-1, 8), first, counts)
-    return out
-
-
-def line_hashes(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines with at least so many words: number, hash of the words in order, SimHash over distinct words."""
-    return sized_line_hashes(text, least, 0)[:3]
-
-
-def sized_line_hashes(text: str, least: int, short: int) -> tuple[np.ndarray, ...]:
-    """line_hashes(), and number of words and SimHash over distinct trigrams (0 from `short` words on)."""
-    data = text.lower().encode("utf-8", "surrogatepass")
+    text = text.lower()
+    data = text.encode("utf-8", "surrogatepass")
     h, _, starts = placed_words(data)
-    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    breaks = np.flatnonzero(raw == 10)
     line, first, n = np.unique(np.searchsorted(breaks, starts), return_index=True, return_counts=True)
     if not len(line) or n.max() < least:
         none = np.empty(0, np.int64)
-        return none.astype(np.int32), none, none, none.astype(np.int32), none
-    place = np.arange(len(h)) - np.repeat(first, n)
-    node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
+        return none.astype(np.int32), none, none, none.astype(bool), none.astype(np.int32), none, none
     row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - first[row]
+    node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
     _, once = np.unique(mixed(h + row.astype(_M) * _MULT), return_index=True)
     once.sort()
-    row = row[once]
-    starts_at = np.searchsorted(row, np.arange(len(n)))
-    words = np.diff(np.append(starts_at, len(row)))
-    sim = _majority(mixed(h[once]).view(np.uint8).reshape(-1, 8), starts_at, words)
+    words = row[once]
+    at = np.searchsorted(words, np.arange(len(n)))
+    sim = _majority(mixed(h[once]).view(np.uint8).reshape(-1, 8), at, np.diff(np.append(at, len(words))))
+    used = (~_SPACES[raw]) & ((raw & 0xC0) != 0x80)
+    before = np.concatenate([[0], np.cumsum(used)])
+    size = before[np.append(starts[first[1:]], len(raw))] - before[starts[first]] + n - 1
+    by_char = size > CHARS_A_WORD * n
+    wanted, ends = (n >= least) & ~by_char, first + n
+    few = wanted & (n <= FEW_WORDS)
+    found = [_but_one(h, first, np.where(few, n, 0), FEW_WORDS)]
+    found.append(_runs(h, row, ends, RUN, wanted & (n >= FEW_WORDS) & (n < LONG_TOO)))
+    found.append(_runs(h, row, ends, LONG_RUN, wanted & (n >= LONG)))
+    if by_char.any():
+        texts = text.split("\n")
+        for i in np.flatnonzero(by_char & (n >= least)).tolist():
+            sim[i], keys = _char_line(" ".join(w for w in _words(texts[line[i]]) if w))
+            few[i] = size[i] <= FEW_CHARS
+            found.append((np.full(len(keys), i), keys))
+    rows, keys = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    keys = keys[np.argsort(rows, kind="stable")].view(np.int64)
     keep = n >= least
-    gram = trigram_simhash(text, keep & (n < short)) if short else np.zeros(len(n), np.int64)
-    return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep], n[keep].astype(np.int32), gram[keep]
+    return line[keep].astype(np.int32), node.view(np.int64)[keep], sim[keep], few[keep], size[keep].astype(np.int32), keys, np.bincount(rows, minlength=len(n))[keep]
+
+
+_words = re.compile(r"[\x20\x09-\x0D]+").split
 
 
 def word_hashes(text: str | None) -> np.ndarray:

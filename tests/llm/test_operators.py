@@ -294,7 +294,7 @@ def test_toxicity_features():
 
 
 def test_simhash_is_the_majority_of_bits():
-    from egresslake.llm.shingles import _majority, line_hashes
+    from egresslake.llm.shingles import _majority, line_parts
 
     rng = np.random.default_rng(1)
     h = rng.integers(0, 256, size=(1000, 8), dtype=np.uint8)
@@ -303,7 +303,7 @@ def test_simhash_is_the_majority_of_bits():
     for g, s, n in zip(got, starts, counts, strict=True):
         bits = np.unpackbits(h[s : s + n], axis=1).sum(axis=0)
         assert np.array_equal(np.unpackbits(np.array([g]).view(np.uint8)), (2 * bits > n).astype(np.uint8))
-    line, node, sim = line_hashes("A b c d e\n\nx\na  B c d e\nf g h i j k", 5)
+    line, node, sim, *_ = line_parts("A b c d e\n\nx\na  B c d e\nf g h i j k", 5)
     assert line.tolist() == [0, 3, 4] and node[0] == node[1] != node[2] and sim[0] == sim[1]
 
 
@@ -312,15 +312,16 @@ def test_line_dedup(spark):
     lines = [" ".join(f"w{rng.integers(0, 500)}" for _ in range(40)) for _ in range(60)]
     near = [line.rsplit(" ", 1)[0] + " changed" for line in lines[:20]]
     docs = [(i, "\n".join([lines[i], lines[(i * 7) % 60], "short line", near[i % 20], ""]), "en", "s") for i in range(60)]
-    got = line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
-    left = [line for r in got for line in r.text.split("\n")]
-    counts = Counter(left)
-    assert counts["short line"] == 60 and counts[""] == 60
-    assert all(counts[line] <= 1 for line in lines + near)
-    groups_left = sum(counts[line] + (counts[near[i]] if i < 20 else 0) for i, line in enumerate(lines))
-    assert 60 <= groups_left <= 69  # a line and its near copy are one group, where SimHash finds them
-    assert all(r._lines == 5 for r in got) and sum(r._dropped for r in got) == 60 * 3 - groups_left
-    assert got[0].text.split("\n")[0] == lines[0]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    for least, short in ((5, 60), (1, 1)):
+        got = line_dedup.drop_lines(df, least_words=least).orderBy("doc_id").collect()
+        left = [line for r in got for line in r.text.split("\n")]
+        counts = Counter(left)
+        assert counts["short line"] == short and counts[""] == 60
+        assert all(counts[line] <= 1 for line in lines + near)
+        assert sum(counts[line] + (counts[near[i]] if i < 20 else 0) for i, line in enumerate(lines)) == 60
+        assert all(r._lines == 5 for r in got) and sum(r._dropped for r in got) == 60 * 3 - 60 + 60 - short
+        assert got[0].text.split("\n")[0] == lines[0]
 
 
 @pytest.mark.parametrize(("a", "b"), [("kitten", "sitting"), ("", "abc"), ("abc", "abc"), ("abcdef", "azced"), ("a" * 300, "a" * 150 + "b" + "a" * 149), ("héllo wörld", "hello world")])
