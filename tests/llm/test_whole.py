@@ -1,14 +1,16 @@
 """Cases in which operators once did less than the whole job."""
 
 import hashlib
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from egresslake.llm import fingerprints, line_dedup
+from egresslake.llm import brown, fingerprints, line_dedup
 from egresslake.llm.queries import QUERIES
-from egresslake.llm.shingles import line_parts
+from egresslake.llm.shingles import hashed_words, line_parts
 from tests.llm.test_operators import brute_pii
 
 
@@ -144,3 +146,66 @@ def test_short_lines_take_part_in_the_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: (5, 0), 1: (5, 3), 2: (5, 3), 3: (2, 2)}
+
+
+def test_class_scores_by_brute_force(spark, sf):
+    """Every training word has a class, no other class adds more likelihood, and scores are products over tokens."""
+    docs = spark.createDataFrame(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).collect(), "doc_id long, text string")
+    texts = {r.doc_id: [*hashed_words((r.text or "").encode().lower())[0].view(np.int64).tolist(), brown.END] for r in docs.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    train = [t for i, t in texts.items() if not fold[i]]
+    counts = Counter(w for t in train for w in t)
+    tokens = spark.createDataFrame([(t,) for t in train], "h array<long>").repartition(3)
+    model = brown.learn(tokens, clustered=40, classes=5)
+    likelihoods = [x for _, x in model.report]
+    assert likelihoods == sorted(likelihoods) and model.report[-1][0] == 0
+    rows = {r.h: (r.c, r.cls) for r in model.vocabulary.collect()}
+    first = sorted((w for w in counts if w != brown.END), key=lambda w: (-counts[w], w))[:40]
+    head = dict(zip(model.head.tolist(), model.head_class.tolist(), strict=True))
+    assert set(rows) == set(counts) - set(first) - {brown.END} and all(c == counts[w] for w, (c, _) in rows.items())
+    cls = {w: head[w] for w in [*first, brown.END]} | {w: c for w, (_, c) in rows.items()}
+    k = model.classes
+    for c in range(k + 1):
+        assert np.isclose(model.mass[c], sum(counts[w] + 0.5 for w in counts if cls[w] == c))
+    # Placement: the clustered words' class counts with one more word, by class.
+    rest = k + 1
+    base, context = np.zeros((k + 2, k + 2)), defaultdict(Counter)
+    unit = {w: cls[w] if w in first or w == brown.END else rest for w in counts}
+    for t in train:
+        for a, b in zip([brown.END, *t], t, strict=False):
+            base[unit[a], unit[b]] += 1
+            context[b][0, unit[a]] += 1
+            context[a][1, unit[b]] += 1
+    for w in sorted(rows)[::37]:
+        gains = []
+        for c in range(k):
+            gain = 0.0
+            for (side, u), n in context[w].items():
+                at = base[u, c] if side == 0 else base[c, u]
+                gain += brown._nlogn(at + n) - brown._nlogn(at)
+            sums = base[:, c].sum(), base[c, :].sum()
+            gains.append(gain - sum(brown._nlogn(s + counts[w]) - brown._nlogn(s) for s in sums))
+        assert gains[rows[w][1]] >= max(gains) - 1e-3
+    # Scores.
+    count = np.zeros((k + 2, k + 2))
+    for t in train:
+        for a, b in zip([brown.END, *t], t, strict=False):
+            count[cls[a], cls[b]] += 1
+    part = brown.token_logs(count, model)
+    got = {r.doc_id: r for r in brown.score(docs).collect()}
+    blocks = brown.classed(spark.createDataFrame([(i, fold[i], t) for i, t in texts.items()], "id long, held_out boolean, h array<long>"), model)
+    assert np.array_equal(brown.transitions(blocks, k), count)
+    for b in blocks.collect():
+        before, c = brown._steps(b.cls, k)
+        at = 0
+        for i, n, known, logs in zip(b.ids, b.n, b.known, b.logs, strict=True):
+            t = texts[i]
+            assert n == len(t) and known == sum(counts[w] > 0 for w in t)
+            seq = [cls.get(w, k + 1) for w in t]
+            assert c[at : at + n].tolist() == seq and before[at : at + n].tolist() == [k, *seq[:-1]]
+            assert np.isclose(logs, sum(np.log10(counts[w] + 0.5) for w in t))
+            at += n
+    # Each row of probabilities adds up to one over the vocabulary and the unknown word.
+    known = 10.0 ** part[:, : k + 1] @ np.array([sum(counts[w] + 0.5 for w in counts if cls[w] == c) for c in range(k + 1)])
+    assert np.allclose(known + 0.5 / model.everything, 1.0)
+    assert set(got) == set(texts)
