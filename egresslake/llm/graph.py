@@ -6,7 +6,7 @@ a spanning forest of the links that it finds there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from egresslake.llm.common import join_groups, release, semi_left, stored
+from egresslake.llm.shingles import mixed
 
 
-def blocked(rows: DataFrame, key: str, node: str, block: int) -> DataFrame:
+def blocked(rows: DataFrame, key: str, node: str, block: int, order: Sequence[str] = ()) -> DataFrame:
     """Rows of buckets with two rows or more, dealt to runs of at most two blocks of about `block` rows.
 
     A bucket with n rows has ceil(n / block) blocks; each row goes to the runs of its block with every
     block, so each pair of rows meets in exactly one run: in (p, p) for the same block, in (p, q) with p < q
     otherwise. Only counts of buckets over one block are joined to rows, broadcast while they are few.
-    Rows move once; runs of one row are dropped where they arrive. Adds p, q, b.
+    Rows move once; runs of one row are dropped where they arrive. Adds p, q, b; a run is sorted by `order`.
     """
     large = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "large-buckets")
     r = semi_left(rows, large, key).withColumn("nb", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))).drop("n")
@@ -30,7 +31,7 @@ def blocked(rows: DataFrame, key: str, node: str, block: int) -> DataFrame:
     r = r.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     r = r.withColumn("p", F.least("b", "x")).withColumn("q", F.greatest("b", "x")).drop("x", "nb")
     run = Window.partitionBy(key, "p", "q")
-    return r.repartition(key, "p", "q").withColumn("many", F.count(F.lit(1)).over(run)).filter("many > 1").drop("many").sortWithinPartitions(key, "p", "q")
+    return r.repartition(key, "p", "q").withColumn("many", F.count(F.lit(1)).over(run)).filter("many > 1").drop("many").sortWithinPartitions(key, "p", "q", *order)
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -76,6 +77,30 @@ def pair_mask(p: int, q: int, b: np.ndarray) -> np.ndarray | None:
     return None if p == q else b[:, None] != b[None, :]
 
 
+def overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over blocks of hashes."""
+    n = len(grams)
+    if n == 2:
+        both = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
+        return np.array([[len(grams[0]), both], [both, len(grams[1])]], dtype=np.float32)
+    owner = np.repeat(np.arange(n), [len(g) for g in grams])
+    _, place, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    often = count > 1
+    column = np.cumsum(often) - 1
+    keep = often[place]
+    owner, place = owner[keep], column[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    width = 4096
+    for lo in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(place, (lo, lo + width))
+        m = np.zeros((n, width), dtype=np.float32)
+        m[owner[i:j], place[i:j] - lo] = 1
+        out += m @ m.T
+    return out
+
+
 def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Callable[[dict[str, np.ndarray]], np.ndarray], block: int = 512) -> DataFrame:
     """Candidate edges (u, v) between nodes that share a bucket and that near() holds close.
 
@@ -107,6 +132,37 @@ def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Calla
     return stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
 
 
+def meetings(rows: DataFrame, key: str, node: str, payload: list[str], near: Callable[[dict[str, np.ndarray]], np.ndarray], block: int = 256) -> DataFrame:
+    """(run, node, side): the nodes of each bounded run of a bucket in which near() holds some pair close.
+
+    For checks that need more than a run's payload. Only nodes with a close pair are given. Where side is not the same for
+    all of a run, only pairs across the sides are to be compared: the others meet in another run. Buckets with
+    equal sets of close nodes are common and become one run, named by a hash of the set.
+    """
+    dealt = blocked(rows.select(key, node, *payload), key, node, block)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[pd.DataFrame] = []
+        for run in runs(batches, [key, "p", "q"]):
+            adj = near(run)
+            mask = pair_mask(run["p"][0], run["q"][0], run["b"])
+            if mask is not None:
+                adj &= mask
+            close = adj.any(axis=1)
+            if close.any():
+                ids = run[node][close]
+                side = (run["b"][close] != run["p"][0]).astype(np.int32)
+                name = mixed(np.array([mixed(mixed(ids.view(np.uint64)) + side.astype(np.uint64)).sum(dtype=np.uint64)]))
+                found.append(pd.DataFrame({"run": name.view(np.int64)[0], "node": ids, "side": side}))
+            if len(found) > 2000:
+                yield pd.concat(found)
+                found = []
+        if found:
+            yield pd.concat(found)
+
+    return stored(dealt.mapInPandas(scan, "run long, node long, side int").distinct(), "meetings")
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node has one edge upwards and no centre has one itself."""
     n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()

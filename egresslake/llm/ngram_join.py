@@ -1,17 +1,18 @@
 r"""Operator 5: near-duplicate join on word 5-grams by a MinHash LSH forest.
 
 1. Texts become sets of hashed word shingles; texts with equal sets are one class, and only classes
-   go on (copies are never paired).
-2. A class's signature has TREES sequences of `depth` min-hashes. A tree is the prefix trie of
-   these sequences; classes that share a prefix of the current depth in some tree are candidates,
-   if 128 one-bit min-hashes agree often enough. Candidates become edges of a spanning forest per
-   trie node, in bounded blocks, and these become candidate groups.
-3. Inside a candidate group all pairs of classes get their exact Jaccard similarity, in bounded
-   blocks of rows; a task returns link counts and a spanning forest of true links, never pairs.
-4. From the exact links, the recall of this prefix depth is estimated: a link of similarity s was
-   found with probability p(s) = 1 - (1 - s^depth)^TREES, so 1/p(s) sums to the true number
-   (Horvitz-Thompson). While the estimate is under `target`, and the depth would not yet find pairs at
-   the threshold itself so often, the prefix is shortened by one and the search runs again.
+   go on (copies are never paired). A class's signature is hashed and stored once: TREES sequences of DEPTH
+   min-hashes, and 128 one-bit min-hashes.
+2. A tree is the prefix trie of its sequences in sorted order. Rows are dealt by the shortest prefix that can be needed (the longest
+   that finds pairs at the threshold with probability `target`) and sorted by sequence; in a subtree, the pairs whose
+   one-bit min-hashes agree often enough are candidates, and an edge of a spanning forest carries the length
+   of the prefix that its ends share. Edges of at least d levels so span the nodes of depth d, for each d.
+3. Candidate groups are the components of the edges of at least `depth` levels. Inside a group all pairs of classes get
+   their exact Jaccard similarity, in bounded blocks of rows; a task returns link counts and a spanning forest of true links, never pairs.
+4. From the exact links, recall is estimated by bands of similarity: a link of similarity s was
+   found with probability p(s) = (1 - (1 - s^depth)^TREES) times the chance that one-bit min-hashes agree often enough, so 1/p(s) sums to the true number
+   (Horvitz-Thompson). While a band's estimate is under `target`, the matched prefix is shortened by one level: edges
+   of that length, already stored, join in, and the groups that grow are verified again.
 
 Defined results: a null text counts as empty; empty texts are one class; a text of fewer than five
 words has one shingle, itself; rows that repeat are copies; null ids are allowed and lose against
@@ -20,6 +21,8 @@ others when a group is named; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +30,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from egresslake.llm.common import drop_rows, join_groups, release, row_key, small_batches, small_enough, stored
-from egresslake.llm.graph import blocked, components, forest, linked, pair_mask, runs
+from egresslake.llm.common import drop_rows, join_groups, release, row_key, semi, small_batches, small_enough, stored
+from egresslake.llm.graph import blocked, components, forest, overlaps, pair_mask, runs
 from egresslake.llm.shingles import set_key, shingle_hashes
 
 THRESHOLD = 0.8
 TREES = 16
-DEPTH = 5
+#: Levels of a tree, and the length of prefixes that the search begins with.
+DEPTH, BEGIN = 8, 5
 TARGET = 0.999
+#: Similarities above the threshold are estimated in bands of this width.
+BAND = 0.05
 SKETCH_BITS = 128
 #: Of SKETCH_BITS one-bit min-hashes, (1 + s) / 2 agree for similarity s; candidates may fall so many standard deviations below that.
 SKETCH_SIGMAS = 5.0
 BLOCK = 256
 
-_odd = np.random.default_rng(20_240_613).integers(0, 1 << 31, size=(2, TREES * 16), dtype=np.int64)
+_odd = np.random.default_rng(20_240_613).integers(0, 1 << 31, size=(2, max(TREES * DEPTH, SKETCH_BITS)), dtype=np.int64)
 _MULS, _ADDS = (_odd[0] * 2 + 1).astype(np.uint32), _odd[1].astype(np.uint32)
 
 
@@ -53,80 +59,94 @@ def least_agreement(threshold: float) -> int:
     return int(SKETCH_BITS * p - SKETCH_SIGMAS * (SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
-def signature(hashes: np.ndarray, depth: int) -> tuple[list[int], int, int]:
-    """(a key per tree for the prefix of this depth, two longs of one-bit min-hashes)."""
-    n = max(TREES * depth, SKETCH_BITS)
+def found_at(s: np.ndarray, depth: int, threshold: float) -> np.ndarray:
+    """The probability that a pair of similarity s becomes a candidate: in the trees, and by its one-bit min-hashes."""
+    n, least = SKETCH_BITS, least_agreement(threshold)
+    p = (1 + np.asarray(s, dtype=float)) / 2
+    missed = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+    return recall_at(s, depth) * (1 - missed)
+
+
+def least_depth(threshold: float, target: float) -> int:
+    """The longest prefix that finds pairs at the threshold often enough; one level where none does."""
+    return max([d for d in range(1, DEPTH + 1) if recall_at(threshold, d) >= target], default=1)
+
+
+def signature(hashes: np.ndarray) -> tuple[bytes, int, int]:
+    """(TREES sequences of DEPTH 16-bit min-hashes, two longs of one-bit min-hashes)."""
+    n = max(TREES * DEPTH, SKETCH_BITS)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     mins = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 1024):
         np.minimum(mins, (x[i : i + 1024, None] * _MULS[None, :n] + _ADDS[None, :n]).min(axis=0), out=mins)
-    bits = (mins[:SKETCH_BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    s0, s1 = np.packbits(bits.astype(bool)).view(np.int64).tolist()
-    keys = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for col in mins[: TREES * depth].reshape(TREES, depth).T.astype(np.uint64):
-        keys = (keys ^ col) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64).tolist(), s0, s1
+    mixed_up = mins.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    s0, s1 = np.packbits((mixed_up[:SKETCH_BITS] >> np.uint64(63)).astype(bool)).view(np.int64).tolist()
+    return (mixed_up[: TREES * DEPTH] >> np.uint64(40)).astype(">u2").tobytes(), s0, s1
 
 
-def signed(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, key (of the row), cid (class), n (shingles), s0, s1, bands."""
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the row), cid (class), n (shingles), s0, s1, trees."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text in pdf["txt"]:
                 h = shingle_hashes(text)
-                rows.append((set_key(h), len(h), *signature(h, depth)))
-            cid, n, bands, s0, s1 = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "cid": cid, "n": n, "s0": s0, "s1": s1, "bands": bands})
+                rows.append((set_key(h), len(h), *signature(h)))
+            cid, n, trees, s0, s1 = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "cid": cid, "n": n, "s0": s0, "s1": s1, "trees": trees})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "txt").mapInPandas(sign, f"doc_id {kind}, key string, cid long, n long, s0 long, s1 long, bands array<long>")
+    return docs.select("doc_id", "key", "txt").mapInPandas(sign, f"doc_id {kind}, key string, cid long, n long, s0 long, s1 long, trees binary")
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
+def tries(classes: DataFrame, threshold: float, shortest: int) -> DataFrame:
+    """Candidate edges (u, v, depth): for each d of at least `shortest`, those of d levels or more span the trie nodes of depth d."""
     least = least_agreement(threshold)
-
-    def near(run: dict[str, np.ndarray]) -> np.ndarray:
-        a, b = run["s0"], run["s1"]
-        n = run["grams"].astype(float)
-        far = np.bitwise_count((a[:, None] ^ a[None, :]).view(np.uint64)) + np.bitwise_count((b[:, None] ^ b[None, :]).view(np.uint64))
-        size = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
-        adj = (far <= SKETCH_BITS - least) & size
-        np.fill_diagonal(adj, False)
-        return adj
-
-    rows = classes.filter("n > 0").select("cid", "s0", "s1", F.col("n").alias("grams"), F.explode("bands").alias("band"))
-    return linked(rows, "band", "cid", ["s0", "s1", "grams"], near)
-
-
-def overlaps(grams: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of 0/1 matrices over blocks of hashes."""
-    n = len(grams)
-    if n == 2:
-        both = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
-        return np.array([[len(grams[0]), both], [both, len(grams[1])]], dtype=np.float32)
-    owner = np.repeat(np.arange(n), [len(g) for g in grams])
-    _, place, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    often = count > 1
-    column = np.cumsum(often) - 1
-    keep = often[place]
-    owner, place = owner[keep], column[place[keep]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    out = np.zeros((n, n), dtype=np.float32)
-    width = 4096
-    for lo in range(0, int(often.sum()), width):
-        i, j = np.searchsorted(place, (lo, lo + width))
-        m = np.zeros((n, width), dtype=np.float32)
-        m[owner[i:j], place[i:j] - lo] = 1
-        out += m @ m.T
-    return out
-
-
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Exact links inside candidate groups: rows (cid, links, documents, weight) and forest rows (cid, other)."""
+    width = 2 * DEPTH
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = classes.filter("n > 0").select("cid", "s0", "s1", F.col("n").alias("grams"), "trees", tree)
+    rows = rows.select("cid", "s0", "s1", "grams", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("path"), "tree")
+    rows = rows.withColumn("node", F.xxhash64("tree", F.expr(f"substring(path, 1, {2 * shortest})"))).drop("tree")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int, int]] = []
+        for run in runs(batches, ["node", "p", "q"]):
+            ids, a, b, n = run["cid"], run["s0"], run["s1"], run["grams"].astype(float)
+            far = np.bitwise_count((a[:, None] ^ a[None, :]).view(np.uint64)) + np.bitwise_count((b[:, None] ^ b[None, :]).view(np.uint64))
+            adj = (far <= SKETCH_BITS - least) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])) & (ids[:, None] != ids[None, :])
+            mask = pair_mask(run["p"][0], run["q"][0], run["b"])
+            if mask is not None:
+                adj &= mask
+            if not adj.any():
+                continue
+            paths = np.frombuffer(b"".join(run["path"]), dtype=">u2").reshape(len(ids), DEPTH)
+            shared = np.zeros(adj.shape, dtype=np.int8)
+            same = np.ones(adj.shape, dtype=bool)
+            for level in paths.T:
+                same &= level[:, None] == level[None, :]
+                shared += same
+            root = np.arange(len(ids))
+            for d in range(DEPTH, shortest - 1, -1):  # from the leaves up
+                for i, j in forest(adj & (shared >= d)):
+                    if root[i] != root[j]:
+                        root[root == root[i]] = root[j]
+                        found.append((ids[i], ids[j], d))
+            if len(found) > 50_000:
+                yield pd.DataFrame(found, columns=["u", "v", "depth"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=["u", "v", "depth"])
+
+    pairs = blocked(rows, "node", "cid", BLOCK, ["path"]).mapInPandas(scan, "u long, v long, depth int")
+    return stored(pairs.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("depth").alias("depth")), "candidates")
+
+
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Exact links inside candidate groups, by component.
+
+    Rows (cid, links, documents) of each class with a link, rows (cid, other) of a spanning forest, and rows (band, links): a run's pairs by similarity.
+    """
     members = stored(
         classes.select("cid", "copies", F.col("keep.doc_id").alias("rep"), F.col("keep.key").alias("rep_key")).join(
             groups.select(F.col("node").alias("cid"), "component"), "cid"
@@ -163,20 +183,54 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
             links = adj.sum(axis=1)
             if not links.any():
                 continue
-            copies = run["copies"][first]
-            weight = np.where(adj, 1.0 / recall_at(np.where(adj, like, 1.0), depth), 0.0).sum(axis=1)
+            copies, group, none = run["copies"][first], run["component"][0], pd.array([None], dtype="Int64")
             has = links > 0
-            yield pd.DataFrame({"cid": cid[has], "other": pd.array([None] * int(has.sum()), dtype="Int64"), "links": links[has], "documents": (adj @ copies)[has], "weight": weight[has]})
+            yield pd.DataFrame({"component": group, "cid": cid[has], "other": none.repeat(int(has.sum())), "links": links[has], "documents": (adj @ copies)[has], "band": -1})
             tree = np.array(forest(adj), dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"cid": cid[tree[:, 0]], "other": pd.array(cid[tree[:, 1]], dtype="Int64"), "links": 0, "documents": 0, "weight": 0.0})
+            yield pd.DataFrame({"component": group, "cid": cid[tree[:, 0]], "other": pd.array(cid[tree[:, 1]], dtype="Int64"), "links": 0, "documents": 0, "band": -1})
+            band, times = np.unique((like[np.triu(adj, 1)] * 100 + 1e-9).astype(np.int64), return_counts=True)
+            yield pd.DataFrame({"component": group, "cid": cid[0], "other": none.repeat(len(band)), "links": times, "documents": 0, "band": band})
 
-    out = stored(dealt.mapInPandas(verify, "cid long, other long, links long, documents long, weight double"), "links")
+    out = stored(dealt.mapInPandas(verify, "component long, cid long, other long, links long, documents long, band int"), "links")
     release(rows, members)
     return out
 
 
+def estimated_recall(links: DataFrame, depth: int, threshold: float) -> float:
+    """The least share of true links found over bands of similarity; a link's band is its per cent."""
+    rows = links.filter("band >= 0").groupBy("band").agg(F.sum("links").alias("n")).collect()  # at most a hundred rows
+    found, true = Counter(), Counter()
+    for r in rows:
+        wide = int((r.band / 100 - threshold + 1e-9) / BAND)
+        found[wide] += r.n
+        true[wide] += r.n / float(found_at(max(threshold, r.band / 100), depth, threshold))
+    return min((found[b] / true[b] for b in found), default=1.0)
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, threshold: float, target: float, begin: int) -> DataFrame:
+    """links of verified() for the prefix length at which every band's recall reaches the target."""
+    shortest = least_depth(threshold, target)
+    edges = tries(classes, threshold, shortest)
+    depth = max(shortest, begin)
+    groups = stored(components(edges.filter(F.col("depth") >= depth)), "candidate-groups")
+    links = verified(docs, classes, groups, threshold)
+    while depth > shortest and estimated_recall(links, depth, threshold) < target:
+        depth -= 1
+        wider = stored(components(edges.filter(F.col("depth") >= depth)), "candidate-groups")
+        before = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        # A group named by the same class with as many classes is the same: groups only grow.
+        grown = stored(wider.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(before, ["component", "n"], "left_anti").select("component"), "grown-groups")
+        more = verified(docs, classes, semi(wider, grown, ["component"], "left_semi"), threshold)
+        gone = stored(groups.join(wider.select("node", F.col("component").alias("now")), "node").join(grown.withColumnRenamed("component", "now"), "now", "left_semi").select("component").distinct(), "replaced-groups")
+        kept = stored(semi(links, gone, ["component"], "left_anti").unionByName(more), "links")
+        release(groups, links, more, grown, gone)
+        groups, links = wider, kept
+    release(edges, groups)
+    return links
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, depth: int = DEPTH, target: float = TARGET
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET, begin: int = BEGIN
 ) -> DataFrame:
     """One row per row of docs.
 
@@ -186,22 +240,14 @@ def near_duplicates(
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
-    while True:
-        rows = stored(signed(d, depth), "signatures")
-        best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
-        classes = stored(
-            rows.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), best.alias("keep"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")]),
-            "classes",
-        )
-        edges = candidates(classes, threshold)
-        groups = stored(components(edges), "candidate-groups")
-        links = verified(d, classes, groups, threshold, depth)
-        found, true = links.agg(F.sum("links"), F.sum("weight")).first()
-        if not found or found >= target * true or recall_at(threshold, depth) >= target or depth == 1:
-            break
-        depth -= 1
-        release(rows, classes, edges, groups, links)
-    counts = links.filter("other is null").groupBy("cid").agg(F.sum("links").alias("n_links"), F.sum("documents").alias("near"))
+    rows = stored(signed(d), "signatures")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
+    classes = stored(
+        rows.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), best.alias("keep"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "trees")]),
+        "classes",
+    )
+    links = linked_classes(d, classes, threshold, target, begin)
+    counts = links.filter("other is null and band < 0").groupBy("cid").agg(F.sum("links").alias("n_links"), F.sum("documents").alias("near"))
     pairs = links.filter("other is not null").select(F.greatest("cid", "other").alias("u"), F.least("cid", "other").alias("v")).distinct()
     true_groups = components(stored(pairs, "true-links"))
     named = stored(

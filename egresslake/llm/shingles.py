@@ -135,7 +135,7 @@ def _char_line(words: str) -> tuple[int, np.ndarray]:
 def line_parts(text: str, least: int = 1) -> tuple[np.ndarray, ...]:
     """Of the lines with at least so many words, in order.
 
-    line (number), node (hash of the words in order), sim (SimHash over distinct words, or over
+    line (number), node (hash of the words in order), sim (SimHash over pairs of neighbouring words, or over
     character trigrams where the words are long), few (whether keys are of all units but one), size
     (characters of the normalised line), and keys with the number of keys of each line.
     """
@@ -151,11 +151,9 @@ def line_parts(text: str, least: int = 1) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(h)) - first[row]
     node = mixed(np.add.reduceat(h * powers(int(n.max()))[place], first) + n.astype(_M))
-    _, once = np.unique(mixed(h + row.astype(_M) * _MULT), return_index=True)
-    once.sort()
-    words = row[once]
-    at = np.searchsorted(words, np.arange(len(n)))
-    sim = _majority(mixed(h[once]).view(np.uint8).reshape(-1, 8), at, np.diff(np.append(at, len(words))))
+    pair = mixed(h + _MULT * np.append(np.where(row[1:] == row[:-1], h[1:], _M(0)), _M(0)))
+    pair = np.where((place < n[row] - 1) | (n[row] == 1), pair, pair[np.maximum(np.arange(len(h)) - 1, 0)])  # the last word has no pair
+    sim = _majority(pair.view(np.uint8).reshape(-1, 8), first, n)
     used = (~_SPACES[raw]) & ((raw & 0xC0) != 0x80)
     before = np.concatenate([[0], np.cumsum(used)])
     size = before[np.append(starts[first[1:]], len(raw))] - before[starts[first]] + n - 1
