@@ -17,7 +17,7 @@ over all tokens and 0.5 for an unknown word, and transitions smoothed by class f
 
 An unknown word's is 0.5 / D, and the class after one has its share of all tokens. These add up to one.
 
-Texts are hashed once into stored tables of numbers. Workers hold counts and classes of the HEAD most frequent words; those of
+Texts are hashed once into stored tables of numbers. Workers hold counts and classes of the most frequent words, at most HEAD; those of
 the others are joined to the distinct words of blocks of texts in a shuffle, no key of which is frequent. The
 vocabulary is never on the driver; counts of the CLUSTERED words' pairs are, (CLUSTERED + 2) squared at most, and class counts.
 
@@ -298,6 +298,18 @@ class Model:
         return self.total + 0.5 * (self.distinct + 1)
 
 
+def frequent(vocabulary: DataFrame, most: int = HEAD) -> DataFrame:
+    """The most frequent words, at most so many: those from a count on, which a histogram of counts by their logarithm tells."""
+    size = F.floor(F.log2("c") * 8).cast("int")
+    seen, least = 0, None
+    for r in vocabulary.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():  # a few hundred rows
+        seen += r.n
+        if seen > most:
+            break
+        least = r["size"]
+    return vocabulary.filter("false") if least is None else vocabulary.filter(size >= least)
+
+
 def learn(train: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
     """Counts and classes of all words of training rows (h)."""
     counts = stored(token_counts(train), "token-counts")
@@ -314,7 +326,7 @@ def learn(train: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES)
     seen = contexts(train, top[order], cls[order], k)
     vocabulary = stored(placed(seen, member.T @ pairs @ member, k), "vocabulary")
     release(counts)
-    more = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    more = frequent(vocabulary).toPandas()
     mass = np.zeros(k + 1)
     np.add.at(mass, cls[: len(top)], top_c + 0.5)
     for r in vocabulary.groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("d")).collect():
