@@ -255,6 +255,8 @@ def test_sentencepiece_parity(spark, edge_dir, sf):
         rows = sentencepieces.encode(docs, data, parity_every=1, also=["text"]).collect()
         assert all(r.parity for r in rows) and all(r.round_trip for r in rows)
         assert all(list(r.token_ids) == sp.encode(r.text or "") for r in rows)
+        whole, text_of = sentencepieces.loaded(data), sentencepieces.speller(data)
+        assert all(whole.decode(list(r.token_ids)) == text_of(list(r.token_ids)) == (r.text or "") for r in rows)
     back = sentencepieces.decode(sentencepieces.encode(docs, data, also=["text"]), data).collect()
     assert all(r.decoded == r.text for r in back)
     for text in ("<s>hi</s> <0x0A>", "  a  b ", "\n\n", "😀 ź", "x\x00y", "a" * 3000):
