@@ -17,9 +17,9 @@ def keyframes(steps: DataFrame) -> DataFrame:
     return s.filter((F.col("rn") == 1) | (F.col("rn") == F.floor(F.col("n") / 2) + 1) | (F.col("rn") == F.col("n"))).select("step")
 
 
-def occupancy_and_slowdown(cells: DataFrame) -> DataFrame:
-    """Per cell: largest occupancy, mean slowdown below 1.5 m/s."""
-    return cells.groupBy("x", "y").agg(F.max("occupancy").alias("peak_occupancy"), F.avg(F.greatest(F.lit(0.0), 1.5 - F.col("speed"))).alias("mean_slowdown"))
+def occupancy_and_slowdown(cells: DataFrame, free_speed: float = 1.5) -> DataFrame:
+    """Per cell: largest occupancy, mean slowdown below the free speed (1.5 m/s; in the unit of the column)."""
+    return cells.groupBy("x", "y").agg(F.max("occupancy").alias("peak_occupancy"), F.avg(F.greatest(F.lit(0.0), free_speed - F.col("speed"))).alias("mean_slowdown"))
 
 
 def bottleneck_series(bottlenecks: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def raster(spark, sf_dir, where):
 
 
 def q_ember_field(spark, sf_dir):
-    return rounded(X.stamped_field(raster(spark, sf_dir, "k < 50"), raster(spark, sf_dir, "k >= 50"), 0.5))
+    return rounded(X.stamped_field(raster(spark, sf_dir, "k < 50"), raster(spark, sf_dir, "k >= 50"), 0.5), 7)  # halves of six digits have seven
 
 
 def q_topology_change(spark, sf_dir):
@@ -88,8 +88,9 @@ def q_keyframes(spark, sf_dir):
 
 
 def q_occupancy(spark, sf_dir):
-    g = A.cell_grid(traj(spark, sf_dir), ["k"]).select(F.col("cx").alias("x"), F.col("cy").alias("y"), "occupancy", F.col("mean_speed").alias("speed"))
-    return rounded(G.occupancy_and_slowdown(g))
+    hundredths = traj(spark, sf_dir).withColumn("speed", F.round(F.col("value") * 100).cast("long"))  # whole numbers add up alike in any order
+    g = A.cell_grid(hundredths, ["k"]).select(F.col("cx").alias("x"), F.col("cy").alias("y"), "occupancy", F.floor(F.col("mean_speed") * 100).cast("double").alias("speed"))
+    return G.occupancy_and_slowdown(g, 1_500_000.0).withColumn("mean_slowdown", F.col("mean_slowdown") / 1e6)
 
 
 def q_final_exits(spark, sf_dir):
@@ -148,7 +149,7 @@ SQL = {
     "q_initial_beliefs": f"WITH {_agents} SELECT agent_id, r_regionkey AS exit_id FROM agents, region WHERE {_u.format("'42|' || agent_id || '|' || r_regionkey")} < familiarity",
     "q_hazard_motion": """WITH t(step) AS (VALUES (0), (5), (10), (15)) SELECT s_suppkey AS hazard_id, step, round((s_suppkey % 10) + 0.5::DOUBLE * step, 6) AS x, round((s_nationkey % 7) - 0.25::DOUBLE * step, 6) AS y,
       round(greatest(0.0::DOUBLE, 3.0::DOUBLE - 0.2::DOUBLE * step), 6) AS radius, round(least(1.0, greatest(0.0, 0.8::DOUBLE * exp(-0.05::DOUBLE * step))), 6) AS severity FROM supplier, t""",
-    "q_ember_field": f"WITH {TRAJ_SQL}, f AS ({_raster.format('k < 50')}), s AS ({_raster.format('k >= 50')}), u AS (SELECT x, y, v * 0.5::DOUBLE AS v FROM f UNION ALL SELECT x, y, v FROM s), g AS (SELECT x, y, least(1.0::DOUBLE, sum(v)) AS v FROM u GROUP BY 1, 2) SELECT x, y, round(v, 6) AS v FROM g WHERE v > 0.01",
+    "q_ember_field": f"WITH {TRAJ_SQL}, f AS ({_raster.format('k < 50')}), s AS ({_raster.format('k >= 50')}), u AS (SELECT x, y, v * 0.5::DOUBLE AS v FROM f UNION ALL SELECT x, y, v FROM s), g AS (SELECT x, y, least(1.0::DOUBLE, sum(v)) AS v FROM u GROUP BY 1, 2) SELECT x, y, round(v, 7) AS v FROM g WHERE v > 0.01",
     "q_topology_change": f"""WITH {TRAJ_SQL}, b AS (SELECT DISTINCT floor(x)::INT AS x, floor(y)::INT AS y FROM traj WHERE variant_name = 'click' AND k < 20), n AS (SELECT DISTINCT floor(x)::INT AS x, floor(y)::INT AS y FROM traj WHERE variant_name <> 'click' AND k < 5)
       SELECT *, 'closed' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'opened' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM n)""",
     "q_mode_latch": f"WITH {TRAJ_SQL}, t AS (SELECT run_id, agent_id, event_id, floor(x)::INT AS cx, floor(y)::INT AS cy FROM traj) SELECT run_id, agent_id, min(event_id) AS switched_at FROM t WHERE cx = cy GROUP BY 1, 2",
@@ -165,7 +166,7 @@ SQL = {
       SELECT id AS segment_id, floor(coalesce(x1 * i / nullif(n, 0)::DOUBLE, 0) + 0.5)::INT AS x, floor(coalesce(y1 * i / nullif(n, 0)::DOUBLE, 0) + 0.5)::INT AS y FROM i""",
     "q_layout_mutation": f"WITH {TRAJ_SQL}, c AS (SELECT DISTINCT floor(x)::INT AS x, floor(y)::INT AS y FROM traj WHERE k = 7) SELECT CASE WHEN c.x IS NULL THEN '.' ELSE 'X' END AS token, count(*) AS n FROM (SELECT (i % 20)::INT AS x, (i // 20)::INT AS y FROM range(400) t(i)) g LEFT JOIN c USING (x, y) GROUP BY 1",
     "q_keyframes": f"WITH {TRAJ_SQL}, s AS (SELECT DISTINCT floor(time_s / 3600)::BIGINT AS step FROM traj), r AS (SELECT step, row_number() OVER (ORDER BY step) AS rn, count(*) OVER () AS n FROM s) SELECT step FROM r WHERE rn IN (1, n // 2 + 1, n)",
-    "q_occupancy": f"WITH {TRAJ_SQL}, g AS (SELECT k, floor(x)::INT AS x, floor(y)::INT AS y, count(*) AS o, avg(speed) AS s FROM traj GROUP BY ALL) SELECT x, y, max(o) AS peak_occupancy, round(avg(greatest(0.0::DOUBLE, 1.5 - s)), 6) AS mean_slowdown FROM g GROUP BY 1, 2",
+    "q_occupancy": f"WITH {TRAJ_SQL}, g AS (SELECT k, floor(x)::INT AS x, floor(y)::INT AS y, count(*) AS o, floor(avg(round(value * 100)::BIGINT) * 100) AS s FROM traj GROUP BY ALL) SELECT x, y, max(o) AS peak_occupancy, avg(greatest(0.0::DOUBLE, 1500000.0::DOUBLE - s)) / 1000000.0::DOUBLE AS mean_slowdown FROM g GROUP BY 1, 2",
     "q_final_exits": f"""WITH {RUNS_SQL}, n AS (SELECT variant_name AS run_id, status AS exit_label, seed AS step, count(*) + seed * 100 AS f FROM runs GROUP BY 1, 2, seed), l AS (SELECT run_id, exit_label, arg_max(f, step)::BIGINT AS flow FROM n GROUP BY 1, 2)
       SELECT run_id, exit_label, flow, round(coalesce(flow / nullif(sum(flow) OVER (PARTITION BY run_id), 0), 0), 6) AS share FROM l""",
     "q_variant_deltas": f"WITH {_deltas} SELECT variant_name, metric, round(value, 4) AS value, round(base, 4) AS base, round(delta, 4) AS delta, round(pct, 4) AS pct_change FROM d",
