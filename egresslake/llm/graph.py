@@ -132,32 +132,66 @@ def linked(rows: DataFrame, key: str, node: str, payload: list[str], near: Calla
     return stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
 
 
-def meetings(rows: DataFrame, key: str, node: str, payload: list[str], near: Callable[[dict[str, np.ndarray]], np.ndarray], block: int = 256) -> DataFrame:
-    """(run, node, side): the nodes of each bounded run of a bucket in which near() holds some pair close.
+def chunks(batches: Iterator[pd.DataFrame], keys: Sequence[str], least: int = 20_000) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Sorted batches as chunks (columns, bounds of runs of equal keys) of whole runs and, but for the last, at least so many rows."""
+    held: list[dict[str, np.ndarray]] = []
+    rows = 0
 
-    For checks that need more than a run's payload. Only nodes with a close pair are given. Where side is not the same for
-    all of a run, only pairs across the sides are to be compared: the others meet in another run. Buckets with
-    equal sets of close nodes are common and become one run, named by a hash of the set.
+    def joined() -> tuple[dict[str, np.ndarray], np.ndarray]:
+        cols = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        new = np.zeros(len(cols[keys[0]]) - 1, dtype=bool)
+        for c in keys:
+            new |= cols[c][1:] != cols[c][:-1]
+        return cols, np.concatenate([[0], np.flatnonzero(new) + 1, [len(new) + 1]])
+
+    for batch in batches:
+        if len(batch):
+            held.append({c: batch[c].to_numpy() for c in batch.columns})
+            rows += len(batch)
+        if rows >= least:
+            cols, bounds = joined()
+            if len(bounds) > 2:
+                last = bounds[-2]
+                yield {c: v[:last] for c, v in cols.items()}, bounds[:-1]
+                cols = {c: v[last:].copy() for c, v in cols.items()}
+            held, rows = [cols], len(cols[keys[0]])
+            least = max(least, 2 * rows)  # a run longer than a chunk is joined a few times only
+    if held:
+        yield joined()
+
+
+def meetings(rows: DataFrame, key: str, node: str, payload: list[str], close: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray], block: int = 256) -> DataFrame:
+    """(run, node, side): the nodes of each bounded run of a bucket of which some pair is close.
+
+    For checks that need more than a run's payload. close() tells it for arrays of payloads that broadcast. Only nodes with a
+    close pair are given. Where side is not the same for all of a run, only pairs across the sides are to be compared: the others meet
+    in another run. Buckets with equal sets of close nodes are common and become one run, named by a hash of the set.
     """
     dealt = blocked(rows.select(key, node, *payload), key, node, block)
 
+    def names(ids: np.ndarray, side: np.ndarray) -> np.ndarray:
+        return mixed(mixed(ids.view(np.uint64)) + side.astype(np.uint64))
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[pd.DataFrame] = []
-        for run in runs(batches, [key, "p", "q"]):
-            adj = near(run)
-            mask = pair_mask(run["p"][0], run["q"][0], run["b"])
-            if mask is not None:
-                adj &= mask
-            close = adj.any(axis=1)
-            if close.any():
-                ids = run[node][close]
-                side = (run["b"][close] != run["p"][0]).astype(np.int32)
-                name = mixed(np.array([mixed(mixed(ids.view(np.uint64)) + side.astype(np.uint64)).sum(dtype=np.uint64)]))
-                found.append(pd.DataFrame({"run": name.view(np.int64)[0], "node": ids, "side": side}))
-            if len(found) > 2000:
-                yield pd.concat(found)
-                found = []
-        if found:
+        for cols, bounds in chunks(batches, [key, "p", "q"]):
+            ids, side = cols[node], (cols["b"] != cols["p"]).astype(np.int32)
+            size = np.diff(bounds)
+            i = bounds[:-1][size == 2]  # most runs are pairs
+            across = cols["p"][i] != cols["q"][i]
+            yes = close({c: cols[c][i] for c in payload}, {c: cols[c][i + 1] for c in payload}) & (~across | (side[i] != side[i + 1])) & (ids[i] != ids[i + 1])
+            i = i[yes]
+            run = mixed(names(ids[i], side[i]) + names(ids[i + 1], side[i + 1])).view(np.int64)
+            found = [pd.DataFrame({"run": np.tile(run, 2), "node": np.concatenate([ids[i], ids[i + 1]]), "side": np.concatenate([side[i], side[i + 1]])})]
+            for k in np.flatnonzero(size > 2).tolist():
+                at = slice(bounds[k], bounds[k + 1])
+                adj = close({c: cols[c][at][:, None] for c in payload}, {c: cols[c][at][None, :] for c in payload}) & (ids[at][:, None] != ids[at][None, :])
+                mask = pair_mask(cols["p"][bounds[k]], cols["q"][bounds[k]], cols["b"][at])
+                if mask is not None:
+                    adj &= mask
+                some = np.flatnonzero(adj.any(axis=1)) + bounds[k]
+                if len(some):
+                    name = mixed(names(ids[some], side[some]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]
+                    found.append(pd.DataFrame({"run": name, "node": ids[some], "side": side[some]}))
             yield pd.concat(found)
 
     return stored(dealt.mapInPandas(scan, "run long, node long, side int").distinct(), "meetings")

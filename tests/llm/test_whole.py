@@ -64,7 +64,9 @@ def recall(words, replaced, edit, n=200):
         if line_dedup.similar(a, b):
             similar += 1
             _, _, sim, few, size, keys, m = line_parts(f"{a}\n{b}")
-            found += bool(set(keys[: m[0]].tolist()) & set(keys[m[0] :].tolist()) and line_dedup.near({"sim": sim, "few": few, "size": size})[0, 1])
+            pairs = [line_dedup.word_pairs(x) for x in (a, b)]
+            enough = few.any() or len(pairs[0] & pairs[1]) >= line_dedup.LEAST_PAIRS * max(map(len, pairs))
+            found += bool(enough and set(keys[: m[0]].tolist()) & set(keys[m[0] :].tolist()) and line_dedup.close(*({"sim": sim[[k]], "few": few[[k]], "size": size[[k]]} for k in (0, 1)))[0])
     return found / similar if similar else 1.0
 
 
@@ -131,12 +133,23 @@ def test_near_lines_are_found_within_a_tight_bound(spark):
     assert len(left) == 60
 
 
-def test_no_similar_pair_is_left_out_before_it_is_compared():
+def test_similar_is_edit_similarity():
     rng = np.random.default_rng(2)
-    lines = ["".join(rng.choice(list("abcé日 "), size=int(rng.integers(5, 12)))) for _ in range(150)]
-    may = line_dedup.may_be_similar(np.array(lines, dtype=object))
-    assert all(may[i, j] for i in range(150) for j in range(150) if line_dedup.similar(lines[i], lines[j]))
-    assert not may.all()
+    lines = [" ".join(rng.choice(["ab", "abc", "é", "日本", "x", "word"], size=int(rng.integers(3, 9)))) for _ in range(120)]
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, old = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(old[j] + 1, d[-1] + 1, old[j - 1] + (x != y)))
+        return d[-1]
+
+    for a in lines[:60]:
+        for b in lines[60:]:
+            d = distance(a, b)
+            assert line_dedup.similar(a, b) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+            assert line_dedup.aligned_cost(a.split(" "), b.split(" ")) >= d
 
 
 def test_short_lines_take_part_in_the_query(spark, tmp_path):
