@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import bounded
 from egresslake.functions.nullsafe import num, or_zero, pct_guarded, pearson, quantile, ratio, std_pop, truthy
 from egresslake.functions.text import cost_usd, reasons
+from egresslake.operators.ordered import quantiles, running_sums
 
 # Fixed values of the subgroup masks.
 IMPAIRED_FROM, LOW_FAMILIARITY, HIGH_FAMILIARITY = 0.1, 0.33, 0.67
@@ -62,14 +64,14 @@ def equity_subgroups(agents: DataFrame, run: Sequence[str] = ("run_id",)) -> Dat
         or_zero(F.avg(num("hazard_exposure"))).alias("mean_hazard_exposure"), or_zero(quantile("hazard_exposure", 0.95)).alias("p95_hazard_exposure"),
         F.avg(num("impairment")).alias("mean_impairment"), or_zero(F.avg(num("familiarity"))).alias("mean_familiarity"),
     )
-    g = g.join(F.broadcast(whole) if not run else whole, list(run)) if run else g.crossJoin(whole)
+    g = g.join(whole, list(run)) if run else g.crossJoin(F.broadcast(whole))  # one row
     gap = F.col("mean_travel_time_s") - F.col("run_mean_travel_time_s")
     return g.withColumn("evacuation_rate_gap_vs_run", F.col("evacuation_rate") - F.col("run_evacuation_rate")).withColumn("travel_time_gap_vs_run_s", gap).withColumn("equity_time_gap_s", F.abs(gap))
 
 
 def run_metrics(runs: DataFrame, key: str) -> DataFrame:
     """Per key: counts, mean, p50, p95 and gap of travel, exit shares (dominant exit, largest share, share spread)."""
-    base = runs.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.avg("travel").alias("mean_travel"), quantile("travel", 0.5).alias("p50_travel"), quantile("travel", 0.95).alias("p95_travel"))
+    base = runs.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.avg("travel").alias("mean_travel")).join(quantiles(runs, [key], "travel", {"p50_travel": 0.5, "p95_travel": 0.95}), key, "left")
     per = runs.groupBy(key, "exit").agg(F.count(F.lit(1)).alias("n"))
     shares = per.groupBy(key).agg(
         F.max_by("exit", F.struct("n", "exit")).alias("dominant_exit"), (F.max("n") / F.sum("n")).alias("dominant_share"), ((F.max("n") - F.min("n")) / F.sum("n")).alias("share_spread")
@@ -99,10 +101,10 @@ def compare_rows(baseline: DataFrame, variant: DataFrame, metrics: Sequence[str]
 
 def gini(counts: DataFrame, group: Sequence[str], n: str) -> DataFrame:
     """Gini of counts per group, (m + 1 - 2 sum of running totals / total) / m; 0 for one member; herding flag."""
-    w = Window.partitionBy(*group).orderBy(n)
-    c = counts.withColumn("_run", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    m = F.count(F.lit(1))
-    g = F.when(m > 1, or_zero((m + 1 - 2 * ratio(F.sum("_run"), F.sum(n))) / m)).otherwise(0.0)
+    c = running_sums(counts.groupBy(*group, n).agg(F.count(F.lit(1)).alias("_m")), group, n, {"t": F.col(n) * F.col("_m")})
+    run = F.col("t_below") * F.col("_m") + F.col(n) * F.col("_m") * (F.col("_m") + 1) / 2  # running totals over equal members
+    m = F.sum("_m")
+    g = F.when(m > 1, or_zero((m + 1 - 2 * ratio(F.sum(run), F.sum(F.col(n) * F.col("_m")))) / m)).otherwise(0.0)
     return c.groupBy(*group).agg(m.alias("members"), g.alias("gini")).withColumn("herding", F.col("gini") > HERDING_GINI)
 
 
@@ -168,7 +170,7 @@ def top_k(rows: DataFrame, group: Sequence[str], score: Column, k: int | Column,
 def dense_flow(events: DataFrame, steps: DataFrame, exits: DataFrame, step: str, exit_: str) -> DataFrame:
     """Every exit at every step: flow_step and flow_cumulative."""
     n = events.groupBy(step, exit_).agg(F.count(F.lit(1)).alias("flow_step"))
-    d = steps.crossJoin(F.broadcast(exits)).join(n, [step, exit_], "left").withColumn("flow_step", F.coalesce("flow_step", F.lit(0)))
+    d = steps.crossJoin(bounded(exits)).join(n, [step, exit_], "left").withColumn("flow_step", F.coalesce("flow_step", F.lit(0)))
     return d.withColumn("flow_cumulative", F.sum("flow_step").over(Window.partitionBy(exit_).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)))
 
 

@@ -40,7 +40,7 @@ def variant_deltas(summary: DataFrame, metrics: Sequence[str], baseline: str) ->
     """Every other variant against the baseline, long, with change in percent."""
     v = summary.select("variant_name", *[num(m).alias(m) for m in metrics]).unpivot(["variant_name"], list(metrics), "metric", "value")
     base = v.filter(F.col("variant_name") == baseline).select("metric", F.col("value").alias("base"))
-    d = v.filter(F.col("variant_name") != baseline).join(F.broadcast(base), "metric")
+    d = v.filter(F.col("variant_name") != baseline).join(base, "metric")
     return d.withColumn("delta", F.col("value") - F.col("base")).withColumn("pct_change", pct_signed(F.col("base"), F.col("value")))
 
 

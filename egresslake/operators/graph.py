@@ -109,4 +109,4 @@ def corridor_zones(cells: DataFrame, exits: DataFrame) -> DataFrame:
         if not new.filter("moved").limit(1).count():
             break
     z = c.select("label").distinct().withColumn("zone_id", F.concat(F.lit("bn_"), F.row_number().over(Window.orderBy("label")).cast("string")))
-    return c.join(F.broadcast(z), "label").select("x", "y", "orientation", "zone_id")
+    return c.join(z, "label").select("x", "y", "orientation", "zone_id")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import bounded
 from egresslake.functions.nullsafe import num
 from egresslake.operators.graph import edges, reachable
 from egresslake.operators.state import uniform
@@ -28,12 +29,12 @@ def population(cohorts: DataFrame, spawn: DataFrame, group_size: int = 4) -> Dat
     a = a.withColumn("group_id", F.floor(F.col("i") / group_size)).withColumn("leader_id", F.col("before") + F.col("group_id") * group_size)
     n = spawn.agg(F.count(F.lit(1)).alias("cells"))
     a = a.crossJoin(F.broadcast(n)).withColumn("spawn_id", F.col("agent_id") % F.col("cells"))
-    return a.join(F.broadcast(spawn), "spawn_id").select("agent_id", "cohort", "group_id", "leader_id", "x", "y")
+    return a.join(spawn, "spawn_id").select("agent_id", "cohort", "group_id", "leader_id", "x", "y")
 
 
 def sampled(rows: DataFrame, distribution: DataFrame, seed: int, ident: str, value: str) -> DataFrame:
     """Adds value drawn from a distribution (value, low, high): the one whose cumulative range holds the row's hash draw."""
-    return rows.withColumn("_u", uniform(F.lit(seed), ident)).join(F.broadcast(distribution.select(value, "low", "high")), (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_u", "low", "high")
+    return rows.withColumn("_u", uniform(F.lit(seed), ident)).join(bounded(distribution.select(value, "low", "high")), (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_u", "low", "high")
 
 
 def mutated(cells: DataFrame, changes: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def sweep_variants(spark: SparkSession, parameters: dict[str, Sequence[object]])
     out = None
     for name, values in parameters.items():
         t = spark.createDataFrame([(str(v),) for v in values], f"`{name}` string")
-        out = t if out is None else out.crossJoin(F.broadcast(t))
+        out = t if out is None else out.crossJoin(bounded(t))
     return out.withColumn("variant_name", F.concat_ws("__", *[F.concat(F.lit(f"{n}="), F.col(f"`{n}`")) for n in parameters]))
 
 

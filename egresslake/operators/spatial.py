@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import bounded
 from egresslake.functions.nullsafe import or_zero
 from egresslake.functions.scalars import falloff
 
@@ -61,17 +62,22 @@ def interval_first(left: DataFrame, right: DataFrame, left_time: str, right_time
     return first.select(*keys, left_id, F.col("f._rid").alias("match_id"), (F.col("f._rt") - F.col("_lt")).alias("gap"))
 
 
-def hazard_load(samples: DataFrame, hazards: DataFrame, ident: Sequence[str]) -> DataFrame:
-    """Per sample: summed intensity, strongest hazard, product of visibilities, and load by category.
+def hazard_load(samples: DataFrame, hazards: DataFrame, ident: Sequence[str], categories: Sequence[str] = ("toxic", "heat")) -> DataFrame:
+    """Per sample: summed intensity, strongest hazard, product of visibilities, and load by category; no shuffle.
 
     hazards: hazard_id, category, hx, hy, radius, severity; a scenario's own small table.
     """
-    d = F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2)
-    j = samples.crossJoin(F.broadcast(hazards)).withColumn("_i", falloff(d, F.col("radius"), F.col("severity")))
-    product = F.exp(F.sum(F.ln(F.greatest(1.0 - F.col("_i"), F.lit(1e-12)))))
-    return j.groupBy(*ident).agg(
-        F.sum("_i").alias("load"), F.max_by("hazard_id", F.struct("_i", "hazard_id")).alias("strongest"), product.alias("visibility"),
-        *[or_zero(F.sum(F.when(F.col("category") == c, F.col("_i")))).alias(f"{c}_load") for c in ("toxic", "heat")],
+    one = bounded(hazards).agg(F.array_sort(F.collect_list(F.struct("hazard_id", "category", "hx", "hy", "radius", "severity"))).alias("_h"))
+    at = F.transform("_h", lambda h: F.struct(falloff(F.sqrt((F.col("x") - h["hx"]) ** 2 + (F.col("y") - h["hy"]) ** 2), h["radius"], h["severity"]).alias("i"), h["hazard_id"].alias("id"), h["category"].alias("category")))
+    j = samples.crossJoin(F.broadcast(one)).select(*ident, at.alias("_at"))
+
+    def total(value) -> Column:
+        return F.aggregate("_at", F.lit(0.0), lambda s, h: s + value(h))
+
+    product = F.exp(total(lambda h: F.ln(F.greatest(1.0 - h["i"], F.lit(1e-12)))))
+    return j.select(
+        *ident, total(lambda h: h["i"]).alias("load"), F.array_max("_at")["id"].alias("strongest"), product.alias("visibility"),
+        *[total(lambda h, c=c: F.when(h["category"] == c, h["i"]).otherwise(0.0)).alias(f"{c}_load") for c in categories],
     )
 
 
@@ -96,13 +102,23 @@ def rasterized(cells: DataFrame, shapes: DataFrame) -> DataFrame:
     cx, cy = F.col("x") + 0.5, F.col("y") + 0.5
     rect = (F.col("kind") == "rect") & cx.between(F.col("x0"), F.col("x1")) & cy.between(F.col("y0"), F.col("y1"))
     circle = (F.col("kind") == "circle") & ((cx - F.col("x0")) ** 2 + (cy - F.col("y0")) ** 2 <= F.col("x1") ** 2)
-    j = cells.join(F.broadcast(shapes), rect | circle, "left")
+    j = cells.join(bounded(shapes), rect | circle, "left")
     return j.groupBy("x", "y").agg(F.coalesce(F.max_by("token", "shape_id"), F.lit(".")).alias("token"))
 
 
-def line_of_sight(pairs: DataFrame, walls: DataFrame, samples: int = 20) -> DataFrame:
-    """pairs (pair_id, ax, ay, bx, by) with clear: no sampled point between the ends falls in a wall cell (x, y)."""
-    p = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples)))).withColumn("f", F.col("i") / samples)
-    p = p.withColumn("x", F.floor(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("f")).cast("int")).withColumn("y", F.floor(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("f")).cast("int"))
-    p = p.join(walls.select("x", "y", F.lit(True).alias("wall")), ["x", "y"], "left")
-    return p.groupBy("pair_id").agg((~F.coalesce(F.bool_or("wall"), F.lit(False))).alias("clear"))
+def line_of_sight(pairs: DataFrame, walls: DataFrame, reach: float | None = None) -> DataFrame:
+    """pairs (pair_id, ax, ay, bx, by; optionally a_floor, b_floor) with clear.
+
+    Clear: within reach, on one floor, and no point between the ends, one every half metre, is in a wall cell (x, y; with
+    floors, floor_id). The ends themselves are not tested. Pairs out of reach never meet the walls.
+    """
+    floors = "a_floor" in pairs.columns
+    d = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    near = F.lit(True) if reach is None else d <= reach
+    p = pairs.withColumn("_n", F.greatest(F.lit(2), F.ceil(2 * d).cast("int"))).withColumn("_may", near & (F.col("a_floor") == F.col("b_floor") if floors else F.lit(True)))
+    p = p.withColumn("_i", F.explode(F.when(F.col("_may"), F.sequence(F.lit(1), F.col("_n") - 1)).otherwise(F.array(F.lit(0))))).withColumn("_f", F.col("_i") / F.col("_n"))
+    p = p.withColumn("x", F.floor(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("_f")).cast("int")).withColumn("y", F.floor(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("_f")).cast("int"))
+    on = ["x", "y", *(["floor_id"] if floors else [])]
+    p = p.withColumn("floor_id", F.col("a_floor")) if floors else p
+    p = p.join(walls.select(*on, F.lit(True).alias("wall")).distinct(), on, "left")
+    return p.groupBy("pair_id").agg((F.bool_and("_may") & ~F.coalesce(F.bool_or("wall"), F.lit(False))).alias("clear"))

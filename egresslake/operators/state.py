@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import bounded
 from egresslake.functions.nullsafe import clip, ratio
 from egresslake.operators.graph import cut
 
@@ -25,7 +26,7 @@ def uniform(*parts: Column | str) -> Column:
 def moved_hazards(hazards: DataFrame, steps: DataFrame, dt: float) -> DataFrame:
     """Hazards (x, y, vx, vy, radius, spread, severity, decay) at each step, in closed form."""
     t = F.col("step") * dt
-    return hazards.crossJoin(F.broadcast(steps)).select(
+    return hazards.crossJoin(bounded(steps)).select(
         "hazard_id", "step", (F.col("x") + F.col("vx") * t).alias("x"), (F.col("y") + F.col("vy") * t).alias("y"),
         F.greatest(F.lit(0.0), F.col("radius") + F.col("spread") * t).alias("radius"), clip(F.col("severity") * F.exp(-F.col("decay") * t), 0.0, 1.0).alias("severity"),
     )
@@ -56,7 +57,7 @@ def decayed_beliefs(beliefs: DataFrame, decay: float, dt: float, steps: Column)
 
 def initial_beliefs(agents: DataFrame, exits: DataFrame, seed: int, mode: str = "asymmetric") -> DataFrame:
     """(agent_id, exit_id) that agents know at the start: all (perfect), none, or each with probability familiarity."""
-    all_ = agents.select("agent_id", "familiarity").crossJoin(F.broadcast(exits.select("exit_id")))
+    all_ = agents.select("agent_id", "familiarity").crossJoin(bounded(exits.select("exit_id")))
     if mode == "asymmetric":
         all_ = all_.filter(uniform(F.lit(seed), "agent_id", "exit_id") < F.coalesce("familiarity", F.lit(0.0)))
     return all_.filter("false").select("agent_id", "exit_id") if mode == "none" else all_.select("agent_id", "exit_id")
@@ -120,7 +121,7 @@ def stage_counts(stages: DataFrame, keys: Sequence[str], step: str, flags: Seque
 
 def applied_message(beliefs: DataFrame, recipients: DataFrame, message: DataFrame) -> DataFrame:
     """Beliefs after a message (exit_id, prob, congestion) has reached recipients (agent_id)."""
-    news = recipients.select("agent_id").crossJoin(F.broadcast(message))
+    news = recipients.select("agent_id").crossJoin(bounded(message))
     j = beliefs.join(news.withColumnsRenamed({"prob": "_p", "congestion": "_c"}), ["agent_id", "exit_id"], "full")
     return j.select("agent_id", "exit_id", F.coalesce("_p", "prob").alias("prob"), F.coalesce("_c", "congestion").alias("congestion"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from egresslake.functions.nullsafe import or_zero, ratio
 from egresslake.functions.scalars import e_value, kolmogorov_p, normal_cdf
+from egresslake.operators.ordered import running_sums
 
 
 def matched_effect(base: DataFrame, test: DataFrame, key: str, metric: str) -> DataFrame:
@@ -46,9 +47,8 @@ def _values(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> Da
 
 def mann_whitney(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> DataFrame:
     """Per group: U of side a from average ranks, and its two-sided p (normal, tie and continuity corrected)."""
-    v = _values(rows, group, side, metric).withColumn("t", F.col("na") + F.col("nb"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*group).orderBy(metric).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    v = v.withColumn("rank", below + (F.col("t") + 1) / 2)
+    v = running_sums(_values(rows, group, side, metric).withColumn("t", F.col("na") + F.col("nb")), group, metric, {"t": F.col("t")})
+    v = v.withColumn("rank", F.col("t_below") + (F.col("t") + 1) / 2)
     g = v.groupBy(*group).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("rank") * F.col("na")).alias("r"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     ab = F.col("n_a").cast("double") * F.col("n_b")
@@ -61,8 +61,7 @@ def mann_whitney(rows: DataFrame, group: Sequence[str], side: str, metric: str)
 def wilcoxon(pairs: DataFrame, group: Sequence[str], delta: str) -> DataFrame:
     """Per group: signed-rank W (the smaller sum) of non-zero deltas and its two-sided p (normal, tie corrected)."""
     d = pairs.withColumn("m", F.abs(delta)).filter("m > 1e-12").groupBy(*group, "m").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(delta) > 0).alias("plus"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*group).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("rank", below + (F.col("t") + 1) / 2)
+    d = running_sums(d, group, "m", {"t": F.col("t")}).withColumn("rank", F.col("t_below") + (F.col("t") + 1) / 2)
     g = d.groupBy(*group).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("up"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     g = g.withColumn("w", F.least(F.col("up"), n * (n + 1) / 2 - F.col("up")))
@@ -73,9 +72,8 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], delta: str) -> DataFrame:
 
 def ks_gap(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> DataFrame:
     """Per group: two-sample Kolmogorov-Smirnov gap and asymptotic p; NULL where a side has under two rows."""
-    v = _values(rows, group, side, metric)
-    w, all_ = Window.partitionBy(*group).orderBy(metric).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
-    gap = F.abs(ratio(F.sum("na").over(w), F.sum("na").over(all_)) - ratio(F.sum("nb").over(w), F.sum("nb").over(all_)))
+    v = running_sums(_values(rows, group, side, metric), group, metric, {"a": F.col("na"), "b": F.col("nb")})
+    gap = F.abs(ratio(F.col("a_below") + F.col("na"), F.col("a_all")) - ratio(F.col("b_below") + F.col("nb"), F.col("b_all")))
     g = v.withColumn("gap", gap).groupBy(*group).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.max("gap").alias("gap"))
     root = F.sqrt(ratio(F.col("n_a").cast("double") * F.col("n_b"), F.col("n_a") + F.col("n_b")))
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)

@@ -83,7 +83,7 @@ def compare_trajectories(simulated: DataFrame, reference: DataFrame, group: Sequ
     """Long rows per group and metric: simulated, reference, delta, pct_delta (NULL for a reference of 0)."""
     sim = trajectory_summary(simulated, group, speed).unpivot(list(group), list(metrics), "metric", "simulated")
     ref = trajectory_summary(reference, (), speed).select(*metrics).unpivot([], list(metrics), "metric", "reference")
-    return sim.join(F.broadcast(ref), "metric").withColumn("delta", F.col("simulated") - F.col("reference")).withColumn("pct_delta", pct_abs(F.col("reference"), F.col("simulated")))
+    return sim.join(ref, "metric").withColumn("delta", F.col("simulated") - F.col("reference")).withColumn("pct_delta", pct_abs(F.col("reference"), F.col("simulated")))
 
 
 def crossings(df: DataFrame, p1: tuple[float, float], p2: tuple[float, float], keys: Sequence[str] = ("agent_id",), order: Sequence[str] = ("time_s", "event_id")) -> DataFrame:

@@ -131,7 +131,7 @@ def q_topk_policy(spark, sf_dir):
 
 def q_largest_remainder(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    w = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("weight"))
+    w = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("weight"))
     return A.largest_remainder(w, ["n_regionkey"], "weight", F.lit(240).cast("long"), ["n_name"])
 
 

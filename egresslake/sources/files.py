@@ -81,7 +81,7 @@ def hazard_csv(spark: SparkSession, path: str) -> DataFrame:
         metres.alias("visibility_m"), F.coalesce(gas, F.lit(0.0)).alias("gas_concentration"), F.coalesce(first("obscuration"), F.lit(0.0)).alias("obscuration"),
     )
     xs, ys = (out.select(c).distinct().withColumn(f"i{c}", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int")) for c in ("x", "y"))
-    return out.join(F.broadcast(xs), "x").join(F.broadcast(ys), "y")
+    return out.join(xs, "x").join(ys, "y")
 
 
 def hazard_json(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +154,7 @@ def gtfs_pathways(spark: SparkSession, folder: str, level_height: float = 3.0) -
     read = spark.read.option("header", True)
     stops, paths, lev = read.csv(f"{folder}/stops.txt"), read.csv(f"{folder}/pathways.txt"), read.csv(f"{folder}/levels.txt")
     s = stops.select("stop_id", "stop_name", num("stop_lat").alias("lat"), num("stop_lon").alias("lon"), F.coalesce(F.nullif("level_id", F.lit("")), F.lit("0")).alias("level_id"))
-    s = projected(s, "lat", "lon", METRES_PER_LAT_GTFS, True).join(F.broadcast(lev.select("level_id", num("level_index").alias("level_index"))), "level_id", "left")
+    s = projected(s, "lat", "lon", METRES_PER_LAT_GTFS, True).join(lev.select("level_id", num("level_index").alias("level_index")), "level_id", "left")
     s = s.withColumn("z", F.coalesce("level_index", F.lit(0.0)) * level_height).select("stop_id", "px", "py", "z", "level_id")
     a, b = (s.toDF(*[f"{p}_{c}" for c in s.columns]) for p in ("from", "to"))
     mode = F.lit("walkway")

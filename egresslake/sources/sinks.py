@@ -52,7 +52,7 @@ def viewer_frames(steps: DataFrame, max_frames: int = 500) -> DataFrame:
     w = Window.orderBy("step")
     picked = s.withColumn("rn", F.row_number().over(w)).filter(((F.col("rn") - 1) % stride == 0) | (F.col("rn") == n)).select("step")
     agent = F.struct("agent_id", finite(F.col("x")).alias("x"), finite(F.col("y")).alias("y"), finite(F.col("speed")).alias("speed"))
-    return steps.join(F.broadcast(picked), "step", "left_semi").groupBy("step").agg(F.to_json(F.array_sort(F.collect_list(agent))).alias("agents"))
+    return steps.join(picked, "step", "left_semi").groupBy("step").agg(F.to_json(F.array_sort(F.collect_list(agent))).alias("agents"))
 
 
 def exploded_traces(df: DataFrame, trace: str = "trace") -> DataFrame:
