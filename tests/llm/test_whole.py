@@ -149,7 +149,8 @@ def test_similar_is_edit_similarity():
         for b in lines[60:]:
             d = distance(a, b)
             assert line_dedup.similar(a, b) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
-            assert line_dedup.aligned_cost(a.split(" "), b.split(" ")) >= d
+            assert sum(max(len(x), len(y)) for x, y in line_dedup.gaps(a.split(" "), b.split(" "))) >= d
+            assert line_dedup.distance(a, b, 99) == d and line_dedup.distance(a, b, d - 1) is None
 
 
 def test_short_lines_take_part_in_the_query(spark, tmp_path):
