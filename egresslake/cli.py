@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from egresslake.operators.aggregates import compare_rows
-from egresslake.operators.audits import verified_chain
+from egresslake.operators.audits import CALL_ORDER, call_hash, verified_chain
 from egresslake.operators.trajectory import compare_trajectories, flow_summary, trajectory_summary
 from egresslake.plans.registry import QUERIES
 from egresslake.sources import files, sinks
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         StudyBundle.load(spark, a.bundle).with_aggregates(a.metrics.split(",")).show(200, truncate=False)
     elif a.command == "verify-chain":
         calls = StudyBundle.load(spark, a.bundle).tables["llm_calls"].withColumnsRenamed({"audit_chain_prev_hash": "prev_hash", "audit_chain_hash": "chain_hash"})
-        bad = verified_chain(calls.withColumn("row_hash", calls["cache_key"]), ["run_id"], ["step"]).filter("first_bad is not null")
+        bad = verified_chain(calls.withColumn("row_hash", call_hash(calls)), ["run_id"], CALL_ORDER).filter("first_bad is not null")
         bad.show(truncate=False)
         return int(bad.limit(1).count())
     elif a.command == "export":

@@ -5,28 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from egresslake.functions.fixed import ATTACK_MARKERS, DIRECTION_WORDS, VAGUE_PHRASES
+
 # Codes and the phrases that show them.
-ATTACK_MARKERS = (
-    ("aitm_interception", ("intercepted", "agent-in-the-middle", "man-in-the-middle")),
-    ("instruction_override", ("ignore previous", "override safety", "bypass validator")),
-    ("coercive_persuasion", ("do not verify", "trust me", "everyone else", "only safe exit")),
-    ("source_spoofing", ("spoofed authority", "fake dispatcher")),
-)
-VAGUE_PHRASES = ("evacuate safely", "follow instructions", "move to safety", "proceed calmly", "stay calm")
-DIRECTION_WORDS = ("avoid", "east", "exit", "left", "north", "right", "south", "west")
 
 
 def attack_reasons(text: Column, markers: tuple = ATTACK_MARKERS) -> Column:
-    """Codes whose marker the text holds, as attack_pattern:code."""
+    """Codes whose marker the text holds, as attack_pattern:code, each once."""
     low = F.lower(F.coalesce(text, F.lit("")))
-
-    def holds(phrases: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for p in phrases:
-            out = out | F.contains(low, F.lit(p))
-        return out
-
-    return F.array_compact(F.array(*[F.when(holds(phrases), F.lit(f"attack_pattern:{code}")) for code, phrases in markers]))
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(phrase)), F.lit(f"attack_pattern:{code}")) for code, phrase in markers]))
+    return F.array_distinct(found)
 
 
 def is_vague(text: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,21 +39,37 @@ def metric_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return j.withColumn("code", code).filter("code is not null")
 
 
-def chained(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_hash: Column) -> DataFrame:
-    """Adds prev_hash and chain_hash: each row's SHA-256 over the hash before it and its own content, per key.
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], more: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, tuple]]) -> DataFrame:
+    """df with the columns `more` that a fold over each key's rows in order gives.
 
-    A chain is a fold over its rows in order. The fold is per key (a run's calls), as an array aggregate.
+    Rows are dealt by key, sorted and passed through batch by batch; only the fold's state is held, so a key may have any number of rows.
     """
-    item = F.struct(*order, row_hash.alias("_h"))
-    c = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    start = F.struct(F.lit(GENESIS).alias("h"), F.array().cast("array<struct<p:string,h:string>>").alias("out"))
+    names = [c.split()[0] for c in more.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                now = tuple(row[k] for k in keys)
+                if now != key:
+                    key, state = now, start()
+                state, values = step(state, row)
+                out.append(values)
+            yield pdf.assign(**dict(zip(names, zip(*out, strict=True), strict=True)))
 
-    def link(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(acc["h"], x["_h"]), 256)
-        return F.struct(h.alias("h"), F.concat(acc["out"], F.array(F.struct(acc["h"].alias("p"), h.alias("h")))).alias("out"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{kinds}, {more}")
 
-    c = c.withColumn("links", F.aggregate("rows", start, link)["out"]).select(*keys, F.explode(F.arrays_zip("rows", "links")).alias("z"))
-    return c.select(*keys, *[F.col(f"z.rows.{o}").alias(o) for o in order], F.col("z.rows._h").alias("row_hash"), F.col("z.links.p").alias("prev_hash"), F.col("z.links.h").alias("chain_hash"))
+
+def chained(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_hash: Column) -> DataFrame:
+    """(keys, order, row_hash, prev_hash, chain_hash): each row's SHA-256 over the hash before it and its own content, per key."""
+
+    def link(before: str, row: dict) -> tuple[str, tuple]:
+        h = hashlib.sha256((before + row["row_hash"]).encode()).hexdigest()
+        return h, (before, h)
+
+    return folded(df.select(*keys, *order, row_hash.alias("row_hash")), keys, order, "prev_hash string, chain_hash string", lambda: GENESIS, link)
 
 
 def verified_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -63,14 +82,40 @@ def verified_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def budgeted(df: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, limit: float) -> DataFrame:
-    """Adds allowed: calls in order, each allowed if it still fits what allowed calls have left of the budget. A fold per key."""
-    item = F.struct(*order, F.col(cost).cast("double").alias("_c"))
-    c = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<boolean>").alias("ok"))
+    """(keys, order, cost, allowed): calls in order, each allowed if it still fits what allowed calls have left of the budget."""
+
+    def take(used: float, row: dict) -> tuple[float, tuple]:
+        fits = used + row[cost] <= limit
+        return (used + row[cost] if fits else used), (fits,)
+
+    return folded(df.select(*keys, *order, F.col(cost).cast("double").alias(cost)), keys, order, "allowed boolean", lambda: 0.0, take)
+
+
+def guarded(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: dict[str, float]) -> DataFrame:
+    """(keys, order, the columns of limits, allowed, exceeded): calls in order under several budgets; exceeded names the first that a refused call is over."""
+    costs = list(limits)
+
+    def take(used: tuple, row: dict) -> tuple[tuple, tuple]:
+        over = next((c for c, u in zip(costs, used, strict=True) if u + row[c] > limits[c]), None)
+        return (used if over else tuple(u + row[c] for c, u in zip(costs, used, strict=True))), (over is None, over)
+
+    rows = df.select(*keys, *order, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in costs])
+    return folded(rows, keys, order, "allowed boolean, exceeded string", lambda: (0.0,) * len(costs), take)
+
+
+#: Order of the call log within a run.
+CALL_ORDER = ("step", "surface", "cache_key")
+
+
+def call_hash(calls: DataFrame) -> Column:
+    """SHA-256 of a call's content: all its columns but the chain's, by name, as JSON."""
+    own = sorted(c for c in calls.columns if c not in ("prev_hash", "chain_hash", "row_hash", "audit_chain_prev_hash", "audit_chain_hash"))
+    return F.sha2(F.to_json(F.struct(*own)), 256)
 
-    def take(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["_c"] <= limit
-        return F.struct((acc["used"] + F.when(fits, x["_c"]).otherwise(0.0)).alias("used"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
 
-    c = c.withColumn("allowed", F.aggregate("rows", start, take)["ok"]).select(*keys, F.explode(F.arrays_zip("rows", "allowed")).alias("z"))
-    return c.select(*keys, *[F.col(f"z.rows.{o}").alias(o) for o in order], F.col("z.rows._c").alias(cost), F.col("z.allowed").alias("allowed"))
+def chained_calls(calls: DataFrame) -> DataFrame:
+    """The call log with audit_chain_prev_hash and audit_chain_hash, chained per run."""
+    keys = ["run_id", *CALL_ORDER]
+    links = chained(calls, ["run_id"], CALL_ORDER, call_hash(calls)).select(*keys, "row_hash", F.col("prev_hash").alias("audit_chain_prev_hash"), F.col("chain_hash").alias("audit_chain_hash"))
+    bare = calls.drop("audit_chain_prev_hash", "audit_chain_hash").withColumn("row_hash", call_hash(calls))
+    return bare.join(links, [*keys, "row_hash"]).drop("row_hash").select(*calls.columns)

@@ -153,7 +153,7 @@ SQL = {
       r(metric, least_, most) AS (VALUES ('quantity', 30.0::DOUBLE, 40.0::DOUBLE), ('discount', 0.0, 0.5), ('price', 5000.0, 1000000.0), ('density', 0.0, 4.0)),
       j AS (SELECT r.metric, least_ AS least, most, round(value, 4) AS value, CASE WHEN value IS NULL THEN 'missing_metric' WHEN value < least_ THEN 'below_minimum' WHEN value > most THEN 'above_maximum' END AS code FROM r LEFT JOIN m USING (metric)) SELECT * FROM j WHERE code IS NOT NULL""",
     "q_attack_reasons": f"""WITH c AS (SELECT doc_id, coalesce({_claim}, '') AS t FROM documents), n AS (SELECT *, lower(t) AS l, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS w FROM c)
-      SELECT doc_id, concat_ws(';', """ + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(l, '{p}')''' for p in ps)} THEN 'attack_pattern:{code}' END" for code, ps in X.ATTACK_MARKERS) + """) AS reasons,
+      SELECT doc_id, concat_ws(';', """ + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(l, '{p}')''' for c, p in X.ATTACK_MARKERS if c == code)} THEN 'attack_pattern:{code}' END" for code in dict.fromkeys(c for c, _ in X.ATTACK_MARKERS)) + """) AS reasons,
       w <> '' AND (w IN (""" + ", ".join(f"'{p}'" for p in X.VAGUE_PHRASES) + """) OR (len(string_split(w, ' ')) < 6 AND NOT (""" + " OR ".join(f"contains(w, '{d}')" for d in X.DIRECTION_WORDS) + """))) AS vague, greatest(1, (length(t) + 3) // 4) AS tokens FROM n""",
 }
 # fmt: on

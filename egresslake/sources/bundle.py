@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from egresslake.operators.audits import chained_calls
 from egresslake.operators.aggregates import summary_levels
 from egresslake.schemas import TABLES, empty, schema
 
@@ -49,6 +50,7 @@ class StudyBundle:
     def export(self, folder: str, formats: Iterable[str] = ("parquet", "csv")) -> None:
         """Writes every table; Parquet by variant and run, CSV with a header even when empty."""
         for name, df in self.tables.items():
+            df = chained_calls(df) if name == "llm_calls" else df
             if "parquet" in formats:
                 df.write.mode("overwrite").parquet(f"{folder}/tables/{name}.parquet")
             if "csv" in formats:

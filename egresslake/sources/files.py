@@ -75,7 +75,8 @@ def hazard_csv(spark: SparkSession, path: str) -> DataFrame:
 
     metres = F.coalesce(first("visibility_m"), F.lit(30.0))
     gas = first("gas_concentration")
-    scaled = F.coalesce(F.try_divide(gas, F.max(gas).over(Window.partitionBy())), F.lit(0.0))
+    df = df.crossJoin(F.broadcast(df.agg(F.max(gas).alias("_most"))))
+    scaled = F.coalesce(F.try_divide(gas, F.col("_most")), F.lit(0.0))
     out = df.select(
         num("x").alias("x"), num("y").alias("y"), F.coalesce(first("intensity"), scaled).alias("intensity"), F.coalesce(first("visibility"), clip(metres / 30.0, 0.0, 1.0)).alias("visibility"),
         metres.alias("visibility_m"), F.coalesce(gas, F.lit(0.0)).alias("gas_concentration"), F.coalesce(first("obscuration"), F.lit(0.0)).alias("obscuration"),
@@ -95,7 +96,29 @@ def hazard_json(spark: SparkSession, path: str) -> DataFrame:
             out = g if out is None else out.join(g, ["ix", "iy"], "full")
     if out is None:
         raise ValueError("no hazard grid")
-    return out
+    grids = [n for n in names if names[n]]
+    missing = F.lit(False)
+    for n in grids:
+        missing = missing | F.col(n).isNull()
+    out = out.select("ix", "iy", *[F.when(missing, F.raise_error(F.lit("hazard grids differ in shape")).cast("double")).otherwise(F.col(n).cast("double")).alias(n) for n in grids])
+    for n in set(HAZARD_ALIASES) - set(grids):
+        out = out.withColumn(n, F.lit(None).cast("double"))
+    gas = out.crossJoin(F.broadcast(out.agg(F.max("gas_concentration").alias("_most"))))
+    scaled = F.coalesce(F.try_divide(F.col("gas_concentration"), F.col("_most")), F.lit(0.0))
+    metres = F.coalesce("visibility_m", F.lit(30.0))
+    return gas.select(
+        "ix", "iy", F.coalesce("intensity", scaled).alias("intensity"), F.coalesce("visibility", clip(metres / 30.0, 0.0, 1.0)).alias("visibility"), metres.alias("visibility_m"),
+        F.coalesce("gas_concentration", F.lit(0.0)).alias("gas_concentration"), F.coalesce("obscuration", F.lit(0.0)).alias("obscuration"),
+    )
+
+
+def hazard_field(spark: SparkSession, path: str) -> DataFrame:
+    """A hazard raster by its file's suffix: .csv or .json."""
+    readers = {"csv": hazard_csv, "json": hazard_json}
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix not in readers:
+        raise ValueError(f"hazard field of unknown kind: {path}")
+    return readers[suffix](spark, path)
 
 
 def layout_text(layouts: DataFrame) -> DataFrame:
@@ -128,10 +151,10 @@ def cache_records(spark: SparkSession, root: str) -> DataFrame:
 
 def projected(df: DataFrame, lat: str, lon: str, per_lat: float, corner: bool) -> DataFrame:
     """Adds px, py metres east and north of the south-west corner (or of the mean), equirectangular."""
-    w = Window.partitionBy()
-    lat0, lon0 = (F.min(lat).over(w), F.min(lon).over(w)) if corner else (F.avg(lat).over(w), F.avg(lon).over(w))
-    mean = F.radians(F.avg(lat).over(w))
-    return df.withColumn("px", (F.col(lon) - lon0) * METRES_PER_LON * F.cos(mean)).withColumn("py", (F.col(lat) - lat0) * per_lat)
+    at = F.min if corner else F.avg
+    one = df.agg(at(lat).alias("_lat0"), at(lon).alias("_lon0"), F.radians(F.avg(lat)).alias("_mean"))
+    j = df.crossJoin(F.broadcast(one))
+    return j.withColumn("px", (F.col(lon) - F.col("_lon0")) * METRES_PER_LON * F.cos("_mean")).withColumn("py", (F.col(lat) - F.col("_lat0")) * per_lat).drop("_lat0", "_lon0", "_mean")
 
 
 def overpass(spark: SparkSession, path: str) -> DataFrame:
