@@ -459,9 +459,9 @@ def simulation_step(agents: DataFrame, routes: DataFrame, exits: DataFrame, haza
     """
     here = [F.floor("x").cast("int").alias("_cx"), F.floor("y").cast("int").alias("_cy")]
     a = agents.select("*", *here).withColumn("_go", active(step))
-    crowd = a.filter("_go").groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    a = a.withColumn("_n", F.count_if("_go").over(Window.partitionBy("_cx", "_cy")))  # a join with counts would double the plan with every step
     r = routes.select(F.col("x").alias("_cx"), F.col("y").alias("_cy"), "nx", "ny").join(closed.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.lit(True).alias("_shut")), ["nx", "ny"], "left")
-    a = a.join(crowd, ["_cx", "_cy"], "left").join(r, ["_cx", "_cy"], "left")
+    a = a.join(r, ["_cx", "_cy"], "left")
     h = bounded(hazards).agg(F.array_sort(F.collect_list(F.struct("hx", "hy", "radius", "severity"))).alias("_h"))
     a = a.crossJoin(F.broadcast(h))
     load = F.aggregate("_h", F.lit(0.0), lambda s, q: s + falloff(F.sqrt((F.col("x") - q["hx"]) ** 2 + (F.col("y") - q["hy"]) ** 2), q["radius"], q["severity"]))
