@@ -28,6 +28,8 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: Change of a weight over training for the sources in order, repeating: weight (1 + tilt (2 t - 1)), so the mean is the weight.
 TILTS = (-0.5, 0.0, 0.5)
+#: Buckets whose sums are added up first.
+GROUP_BUCKETS = 1024
 BUCKET_ROWS = 256
 SPAN = float(1 << 52)
 
@@ -95,8 +97,13 @@ def curriculum(
     bucket = F.floor(F.col("u") * buckets)
     sums = stored(small.groupBy("key", "source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size")), "buckets")
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats, tilts)
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size", "source")
+    # What lies before a bucket: sums of whole groups of buckets, then of the buckets before it in its group, so that no task sees all of a source.
+    group = F.floor(F.col("bucket") / GROUP_BUCKETS)
+    earlier = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("key", group.alias("group")).agg(F.sum("bucket_size").alias("n")).select("key", "group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = Window.partitionBy("key", "group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("group", group).withColumn("inside", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(groups, ["key", "group"])
+    offsets = offsets.select("key", "bucket", (F.col("before") + F.col("inside")).alias("offset"))
     offsets = offsets.join(targets.withColumn("key", key).drop("source"), "key")
     inner = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = (base if whole_rows else small).withColumn("bucket", bucket)
