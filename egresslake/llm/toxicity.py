@@ -14,7 +14,7 @@ the corpus size. Every document is scored whole.
 Defined results: a null or empty text has no features and gets the score of the intercept; a
 document with several labels is toxic if one of them says so; null labels are left out; without
 labels of both classes every score is the base rate (0.5 where there are none, just under it);
-rows that repeat are scored alike; further columns are ignored.
+of several texts under one id the least trains; rows that repeat are scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = (F.xxhash64("_el_id"), "_el_id")
     ids = lab.filter("_el_toxic = 1").orderBy(*order).limit(sample).unionByName(lab.filter("_el_toxic <> 1").orderBy(*order).limit(sample))
     rate = lab.agg(F.avg((F.col("_el_toxic") == 1).cast("double"))).first()[0]
-    texts = docs.select(F.col(id_col).alias("_el_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_el_id").select("text", "_el_toxic")
+    texts = docs.select(F.col(id_col).alias("_el_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_el_id")
+    texts = texts.groupBy("_el_id").agg(F.min("text").alias("text"), F.max("_el_toxic").alias("_el_toxic"))  # an id may stand for many rows
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

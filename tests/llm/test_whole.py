@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from egresslake.llm import brown, fingerprints, line_dedup
+from egresslake.llm import brown, fingerprints, line_dedup, toxicity
 from egresslake.llm.queries import QUERIES
 from egresslake.llm.shingles import hashed_words, line_parts
 from tests.llm.test_operators import brute_pii
@@ -223,3 +223,27 @@ def test_class_scores_by_brute_force(spark, sf):
     known = 10.0 ** part[:, : k + 1] @ np.array([sum(counts[w] + 0.5 for w in counts if cls[w] == c) for c in range(k + 1)])
     assert np.allclose(known + 0.5 / model.everything, 1.0)
     assert set(got) == set(texts)
+
+
+def brute_features(text):
+    raw = f" {' '.join(text.lower().split())} ".encode() if text else b""
+    out = set()
+    for n in toxicity.NGRAMS:
+        for i in range(len(raw) - n + 1):
+            h = raw[i] * 0x01000193 & 0xFFFFFFFF
+            for c in raw[i + 1 : i + n]:
+                h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+            out.add(((h * 0x9E3779B1 & 0xFFFFFFFF) + n & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark, edge, edge_dir):
+    """Scores are a sigmoid of the summed weights of a text's n-grams; an id that repeats trains once."""
+    labels = spark.createDataFrame([(i * 3, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(edge, labels)
+    again = toxicity.train(edge.unionByName(edge.filter("doc_id = 15")).unionByName(edge.filter("doc_id = 15")), labels)
+    assert np.array_equal(model[0], again[0]) and model[1] == again[1]
+    for r in edge.select("text", toxicity.scored(F.col("text"), model).alias("s")).collect():
+        z = float(model[0][sorted(brute_features(r.text))].sum(dtype=np.float64)) + model[1]
+        assert np.isclose(r.s, 1 / (1 + np.exp(-z)), atol=1e-9)
