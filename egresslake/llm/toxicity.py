@@ -13,8 +13,9 @@ the corpus size. Every document is scored whole.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a
 document with several labels is toxic if one of them says so; null labels are left out; without
-labels of both classes every score is the base rate (0.5 where there are none, just under it);
-of several texts under one id the least trains; rows that repeat are scored alike; further columns are ignored.
+labels of both classes every score is the base rate, but under 0.5: nothing is held toxic;
+of several texts under one id the least trains; equal scores are never
+on two sides of the threshold; rows that repeat are scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,12 +63,17 @@ def features(text: str | None) -> np.ndarray:
 
 
 def threshold(z: np.ndarray, toxic: np.ndarray, base_rate: float) -> float:
-    """The cut of held-back scores with the best accuracy at the base rate; the middle of the best range."""
+    """The cut of held-back scores with the best accuracy at the base rate; the middle of the best range.
+
+    A cut lies between two different scores or beyond an end, never inside a tie: equal scores get one verdict.
+    Where all scores are equal, that is the more frequent class (not toxic where both are as frequent).
+    """
     order = np.argsort(z, kind="stable")
     z, toxic = z[order], toxic[order]
     share = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6)
     weight = np.where(toxic == 1, base_rate / share, (1 - base_rate) / (1 - share))
     right = np.concatenate([[0.0], np.cumsum(np.where(toxic == 1, -weight, weight))])
+    right[1:-1][z[1:] == z[:-1]] = -np.inf
     best = np.flatnonzero(right >= right.max() - 1e-9)
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     return float(cuts[best[len(best) // 2]])
@@ -131,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     release(rows)
     toxic = np.array([y for y, _ in got], dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
-        p = min(max(rate if rate is not None else 0.499, 1e-6), 1 - 1e-6)
+        p = min(max(rate if rate is not None else 0.499, 1e-6), 0.499)
         return np.zeros(1 << BITS, dtype=np.float32), float(np.log(p / (1 - p)))
     return fit([np.frombuffer(f, dtype="<i4") for _, f in got], toxic, rate)
 
