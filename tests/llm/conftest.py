@@ -31,11 +31,24 @@ def nothing(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
+EMBEDDING = "vec_id long, embedding array<float>, label int, n long, key string, cell int, own string, size int"
+NAN, INF = float("nan"), float("inf")
+
+
+def vector_rows() -> list[tuple]:
+    """Vectors with nulls, zeros, odd components and lengths, copies, repeated rows and missing labels."""
+    a, b, near = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5], [1.01, 2.0, 3.0]
+    vectors = [(0, a, 1), (1, a, 1), (2, near, 1), (3, b, 1), (4, a, 2), (5, None, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1), (8, [1.0, None, 3.0], 1), (9, [NAN, 2.0, 3.0], 1), (10, [INF, 2.0, 3.0], 1)]
+    vectors += [(11, a, None), (12, [2.0, 4.0, 6.0], 1), (13, [1.0, 2.0], 1), (14, [1e-30, 2e-30, 3e-30], 1), (15, [1e30, 2e30, 3e30], 1), (None, near, 1), (16, b, 3), (16, b, 3), (17, [-1.0, -2.0, -3.0], 1)]
+    return [(*v, 7, "k", 3, "o", 2) for v in vectors]
+
+
 @pytest.fixture(scope="session")
 def edge_dir(spark, edge, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("edge"))
     edge.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(3, 1, 0), (9, 1, 1), (9, 0, 0), (None, 1, 1), (12, 0, None), (30, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(vector_rows(), EMBEDDING).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -44,4 +57,5 @@ def empty_dir(spark, nothing, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     nothing.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], EMBEDDING).write.parquet(f"{d}/embeddings.parquet")
     return d

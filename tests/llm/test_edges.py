@@ -4,15 +4,17 @@ import pytest
 
 import corpus_pipeline
 from egresslake.llm.queries import QUERIES
-from tests.llm.conftest import edge_rows
+from tests.llm.conftest import edge_rows, vector_rows
 
 N = len(edge_rows())
+#: Queries that return other than a row per document: phrases of the edge table are too rare to be frequent.
+ROWS = {"op12_collocations": 0, "op13_embedding_dedup": len(vector_rows())}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_edge_table(spark, edge_dir, name):
     rows = QUERIES[name](spark, edge_dir).collect()
-    assert len(rows) == N
+    assert len(rows) == ROWS.get(name, N)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,6 +32,8 @@ def test_stage_edges(spark, edge, edge_dir, nothing, empty_dir, stage):
     if stage in ("toxicity", "exact_dedup", "ngram_join"):
         keys = [(r.doc_id, r.text) for r in rows]
         assert set(keys) <= {(r[0], r[1]) for r in edge_rows()}
+    if stage == "toxicity":  # three labelled rows tell nothing: all stay
+        assert len(rows) == N
     if stage == "exact_dedup":
         texts = ["".join((r.text or "").split()) for r in rows]
         assert len(texts) == len(set(texts))
