@@ -1,8 +1,8 @@
 """Running sums and exact quantiles in groups of any size.
 
 A window over a whole group sorts it in one task. Here values are first counted by distinct value, and those are dealt to
-BUCKETS ranges between the group's least and greatest value. Sums run inside a range, and the ranges' own totals, at most BUCKETS rows a
-group, give each range what lies below it.
+BUCKETS ranges of about equally many distinct values, whose bounds are approximate quantiles of the group: outliers do not
+matter. Sums run inside a range, and the ranges' own totals, at most BUCKETS rows a group, give each range what lies below it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from egresslake.operators.graph import cut
+
+BUCKETS = 64
+#: Relative error of a bound is one in so many.
+ACCURACY = 1000
 
 
 def _keyed(rows: DataFrame, keys: Sequence[str], other: DataFrame) -> DataFrame:
@@ -29,12 +33,12 @@ def _keyed(rows: DataFrame, keys: Sequence[str], other: DataFrame) -> DataFrame:
 def running_sums(rows: DataFrame, keys: Sequence[str], x: str, amounts: Mapping[str, Column], buckets: int = BUCKETS) -> DataFrame:
     """rows with, for each amount, NAME_below (its sum over the group's rows of smaller x) and NAME_all (over the group).
 
-    rows must have at most one row per keys and x; x is a finite number.
+    rows must have at most one row per keys and x; x is a number.
     """
     v = rows.withColumns({f"_a_{n}": c for n, c in amounts.items()}).withColumn("_x", F.col(x).cast("double"))
-    ends = v.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    v = _keyed(v, keys, ends).withColumn("_bucket", F.least(F.lit(buckets - 1), F.coalesce(F.floor(share * buckets), F.lit(0))).cast("int")).drop("_lo", "_hi")
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    ends = v.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_x", shares, ACCURACY)).alias("_bounds"))
+    v = _keyed(v, keys, ends).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))).drop("_bounds")
     group, along = [*keys, "_bucket"], Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = v.groupBy(*group).agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in amounts])
     for n in amounts:
@@ -60,3 +64,15 @@ def quantiles(rows: DataFrame, keys: Sequence[str], x: str, wanted: Mapping[str,
         low, high, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
         out.append((low + (high - low) * part).alias(name))
     return v.groupBy(*keys).agg(*out)
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """rows with their place from 0 in this order over the whole table, which must tell all rows apart.
+
+    Rows are dealt by ranges and numbered inside each; ranges begin where the ones before end, by a table of one row per range.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return dealt.withColumn("_in", inside).join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_pid", "_in", "_start")

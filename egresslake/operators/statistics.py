@@ -1,20 +1,50 @@
 """Two-sample statistics: matched pairs, effect sizes, rank tests, distribution gaps, bootstrap, leaderboards.
 
-Rank and distribution statistics work on counts of distinct values, not on rows.
+Rank and distribution statistics work on counts of distinct values, not on rows. p-values of few untied values are exact: the
+distribution of the statistic is an array of counts per pair of sizes, made once for each pair of sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from egresslake.functions.nullsafe import or_zero, ratio
 from egresslake.functions.scalars import e_value, kolmogorov_p, normal_cdf
+from egresslake.operators.calibration import logistic
 from egresslake.operators.ordered import running_sums
+from egresslake.operators.resampling import intervals
+
+#: U has its exact distribution where a side has at most so many values, none tied, and both sizes multiply to at most EXACT_CELLS.
+EXACT_SIDE, EXACT_CELLS = 8, 2048
+#: W has its exact distribution up to so many differences, none tied.
+EXACT_PAIRS = 50
+
+
+def u_counts(m: Column, n: Column) -> Column:
+    """How many orders of m and n values have U = 0, 1, ... m x n: coefficients of the product over i = 1 to m of (1 - q^(n + i)) / (1 - q^i)."""
+    one = F.transform(F.sequence(F.lit(0), (m * n).cast("int")), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+
+    def factor(c: Column, i: Column) -> Column:
+        raised = F.transform(c, lambda v, k: v - F.coalesce(F.get(c, (k - n - i).cast("int")), F.lit(0.0)))
+        held = F.transform(F.array(raised), lambda r: F.transform(r, lambda v, k: F.aggregate(F.sequence(F.lit(0), F.floor(k / i).cast("int")), F.lit(0.0), lambda s, t: s + F.get(r, (k - t * i).cast("int")))))
+        return held[0]
+
+    return F.aggregate(F.sequence(F.lit(1), m.cast("int")), one, factor)
+
+
+def w_counts(n: Column) -> Column:
+    """How many of the 2^n sign patterns of ranks 1 to n have a positive rank sum of 0, 1, ... n (n + 1) / 2."""
+    one = F.transform(F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int")), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+    return F.aggregate(F.sequence(F.lit(1), n.cast("int")), one, lambda c, r: F.transform(c, lambda v, k: v + F.coalesce(F.get(c, (k - r).cast("int")), F.lit(0.0))))
+
+
+def _tail(counts: Column, upto: Column) -> Column:
+    """The share of the counts at 0 to `upto`."""
+    part = F.aggregate(F.slice(counts, F.lit(1), F.floor(upto).cast("int") + 1), F.lit(0.0), lambda s, v: s + v)
+    return part / F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)
 
 
 def matched_effect(base: DataFrame, test: DataFrame, key: str, metric: str) -> DataFrame:
@@ -45,8 +75,11 @@ def _values(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> Da
     return d.groupBy(*group, metric).agg(F.count_if(F.col(side) == "a").alias("na"), F.count_if(F.col(side) == "b").alias("nb"))
 
 
-def mann_whitney(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> DataFrame:
-    """Per group: U of side a from average ranks, and its two-sided p (normal, tie and continuity corrected)."""
+def mann_whitney(rows: DataFrame, group: Sequence[str], side: str, metric: str, exact: bool = True) -> DataFrame:
+    """Per group: U of side a from average ranks, and its two-sided p: exact for few untied values, else normal, tie and continuity corrected.
+
+    exact=False always takes the normal p.
+    """
     v = running_sums(_values(rows, group, side, metric).withColumn("t", F.col("na") + F.col("nb")), group, metric, {"t": F.col("t")})
     v = v.withColumn("rank", F.col("t_below") + (F.col("t") + 1) / 2)
     g = v.groupBy(*group).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("rank") * F.col("na")).alias("r"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -55,11 +88,22 @@ def mann_whitney(rows: DataFrame, group: Sequence[str], side: str, metric: str)
     g = g.withColumn("u", F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     var = ab / 12 * (n + 1 - ratio(F.col("ties"), F.when(n > 1, n * (n - 1))))
     z = ratio(F.greatest(F.abs(F.col("u") - ab / 2) - 0.5, F.lit(0.0)), F.sqrt(F.when(var > 0, var)))
-    return g.withColumn("p", F.coalesce(F.least(F.lit(1.0), 2 * (1 - normal_cdf(z))), F.lit(1.0))).drop("r", "ties")
+    g = g.withColumn("p", F.coalesce(F.least(F.lit(1.0), 2 * (1 - normal_cdf(z))), F.lit(1.0)))
+    if not exact:
+        return g.drop("r", "ties")
+    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    g = g.withColumn("_few", F.when((F.col("ties") == 0) & (few > 0) & (few <= EXACT_SIDE) & (few * many <= EXACT_CELLS), few)).withColumn("_many", F.when(F.col("_few").isNotNull(), many))
+    sizes = g.select("_few", "_many").filter("_few is not null").distinct()
+    sizes = F.broadcast(sizes.select("_few", "_many", u_counts(F.col("_few"), F.col("_many")).alias("_c")))  # at most EXACT_CELLS pairs of sizes a side of 1 to EXACT_SIDE
+    counted = F.least(F.lit(1.0), 2 * _tail(F.col("_c"), F.least("u", ab - F.col("u"))))
+    return g.join(sizes, ["_few", "_many"], "left").withColumn("p", F.when(F.col("_few").isNotNull(), counted).otherwise(F.col("p"))).select(*group, "n_a", "n_b", "u", "p")
 
 
-def wilcoxon(pairs: DataFrame, group: Sequence[str], delta: str) -> DataFrame:
-    """Per group: signed-rank W (the smaller sum) of non-zero deltas and its two-sided p (normal, tie corrected)."""
+def wilcoxon(pairs: DataFrame, group: Sequence[str], delta: str, exact: bool = True) -> DataFrame:
+    """Per group: signed-rank W (the smaller sum) of non-zero deltas and its two-sided p: exact for few untied ones, else normal, tie corrected.
+
+    exact=False always takes the normal p.
+    """
     d = pairs.withColumn("m", F.abs(delta)).filter("m > 1e-12").groupBy(*group, "m").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(delta) > 0).alias("plus"))
     d = running_sums(d, group, "m", {"t": F.col("t")}).withColumn("rank", F.col("t_below") + (F.col("t") + 1) / 2)
     g = d.groupBy(*group).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("up"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -67,7 +111,13 @@ def wilcoxon(pairs: DataFrame, group: Sequence[str], delta: str) -> DataFrame:
     g = g.withColumn("w", F.least(F.col("up"), n * (n + 1) / 2 - F.col("up")))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = ratio(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(F.when(var > 0, var)))
-    return g.withColumn("p", F.coalesce(2 * (1 - normal_cdf(z)), F.lit(1.0))).drop("up", "ties")
+    g = g.withColumn("p", F.coalesce(2 * (1 - normal_cdf(z)), F.lit(1.0)))
+    if not exact:
+        return g.drop("up", "ties")
+    g = g.withColumn("_n", F.when((F.col("ties") == 0) & (n <= EXACT_PAIRS), F.col("n")))
+    sizes = F.broadcast(g.select("_n").filter("_n is not null").distinct().select("_n", w_counts(F.col("_n")).alias("_c")))  # at most EXACT_PAIRS rows
+    counted = F.least(F.lit(1.0), 2 * _tail(F.col("_c"), F.col("w")))
+    return g.join(sizes, "_n", "left").withColumn("p", F.when(F.col("_n").isNotNull(), counted).otherwise(F.col("p"))).select(*group, "n", "w", "p")
 
 
 def ks_gap(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> DataFrame:
@@ -82,44 +132,14 @@ def ks_gap(rows: DataFrame, group: Sequence[str], side: str, metric: str) -> Dat
 
 
 def bootstrap_ci(rows: DataFrame, group: Sequence[str], value: str, samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Per group: mean and percentile interval of its bootstrap means. Groups are seeds' means, so they are small."""
-    tail = (1 - level) / 2 * 100
+    """Per group: n, mean and percentile interval of its bootstrap means, by hashed draws."""
+    return intervals(rows, group, value, samples, level, seed)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy(dtype=float)
-        x.sort()
-        keys = {g: [pdf[g].iloc[0]] for g in group}
-        if len(x) == 0:
-            return pd.DataFrame({**keys, "n": [0], "mean": [None], "ci_low": [None], "ci_high": [None]})
-        means = np.random.default_rng(seed).choice(x, size=(samples, len(x)), replace=True).mean(axis=1)
-        low, high = np.percentile(means, [tail, 100 - tail])
-        return pd.DataFrame({**keys, "n": [len(x)], "mean": [x.mean()], "ci_low": [low], "ci_high": [high]})
 
-    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-    return rows.select(*group, value).groupBy(*group).applyInPandas(one, f"{kinds}, n long, mean double, ci_low double, ci_high double")
-
-
-def logistic_fit(rows: DataFrame, features: Sequence[str], label: str, l2: float = 1e-3, rate: float = 0.1, steps: int = 2000) -> DataFrame:
-    """(feature, coefficient) of a logistic model by gradient descent on standardised features.
-
-    Each step's gradient would be a pass over the data, so rows are first reduced to distinct feature
-    vectors with counts, in the cluster; one task fits on those.
-    """
-    cells = rows.groupBy(*features).agg(F.count_if(F.col(label) == 1).alias("yes"), F.count_if(F.col(label) == 0).alias("no"))
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches))
-        x, n = pdf[list(features)].to_numpy(dtype=float), (pdf["yes"] + pdf["no"]).to_numpy(dtype=float)
-        mean = (x * n[:, None]).sum(0) / n.sum()
-        sd = np.sqrt((n[:, None] * (x - mean) ** 2).sum(0) / n.sum())
-        z = np.c_[np.ones(len(x)), (x - mean) / np.where(sd > 0, sd, 1.0)]
-        w = np.zeros(z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w -= rate * (z.T @ (n * p - pdf["yes"].to_numpy()) / n.sum() + l2 * np.r_[0, w[1:]])
-        yield pd.DataFrame({"feature": ["intercept", *features], "coefficient": w})
-
-    return cells.coalesce(1).mapInPandas(fit, "feature string, coefficient double")
+def logistic_fit(rows: DataFrame, features: Sequence[str], label: str, l2: float = 1e-3) -> DataFrame:
+    """(feature, coefficient) of a logistic model on standardised features, fitted by sums over all rows."""
+    model = logistic(rows, features, label, l2)
+    return rows.sparkSession.createDataFrame(list(zip(["intercept", *features], model.weights, strict=True)), "feature string, coefficient double")
 
 
 def seed_mean_leaderboard(rows: DataFrame, policy: str, seed: str, score: str, official_from: int = 20) -> DataFrame:
