@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from egresslake.functions.nullsafe import num, or_zero, ratio
 from egresslake.functions.scalars import weidmann
 from egresslake.operators.aggregates import largest_remainder
-from egresslake.operators.graph import cut
-from egresslake.operators.ordered import numbered
+from egresslake.operators.graph import cut, numbered
 
 ROUNDS = 50
 #: Probabilities in log losses, and logits, are kept within these bounds.

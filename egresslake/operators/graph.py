@@ -8,8 +8,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """rows with their place from 0 in this order over the whole table, which must tell all rows apart.
+
+    Rows are dealt by ranges and numbered inside each; ranges begin where the ones before end, by a table of one row per range.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return dealt.withColumn("_in", inside).join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_pid", "_in", "_start")
+
+
 def grid(spark: SparkSession, width: int = 20, height: int = 20) -> DataFrame:
     """A test layout (x, y, walkable): walls where (7 x + 11 y) mod 5 is 0 and the cell is not on the border."""
     g = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
@@ -96,17 +109,39 @@ def corridor_cells(cells: DataFrame, exits: DataFrame) -> DataFrame:
     return g.join(exits.select("x", "y"), ["x", "y"], "left_anti")
 
 
+def components(edge: DataFrame) -> DataFrame:
+    """(node, component) of an undirected graph (u, v) of long ids: the component is its least node.
+
+    Large-star and small-star steps in turn: neighbours, and then nodes, point to the least node that they know, so a chain of n nodes takes
+    about log n rounds. Each step is a grouped minimum and a join.
+    """
+    e = cut(edge.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        n, nodes = new.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if n == nodes and not new.select("v").join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e = new
+
+
+def cell_id(x: str = "x", y: str = "y") -> Column:
+    """A long for a cell, in the order of (x, y)."""
+    return F.shiftleft(F.col(x).cast("long"), 32) + F.col(y).cast("long") + F.lit(1 << 31)
+
+
 def corridor_zones(cells: DataFrame, exits: DataFrame) -> DataFrame:
     """(x, y, orientation, zone_id): connected corridor cells of one orientation; zones numbered by their least cell."""
-    c = cut(corridor_cells(cells, exits).withColumn("label", F.struct("x", "y")))
-    e = edges(c.withColumn("walkable", F.lit(True)))
-    o = c.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("orientation").alias("o2"))
-    e = cut(e.join(c.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("orientation").alias("o1")), ["sx", "sy"]).join(o, ["tx", "ty"]).filter("o1 = o2").select("sx", "sy", "tx", "ty"))
-    while True:
-        near = c.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("label").alias("l")).join(e, ["sx", "sy"]).groupBy(F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.min("l").alias("l"))
-        new = cut(c.join(near, ["x", "y"], "left").withColumn("moved", F.coalesce(F.col("l") < F.col("label"), F.lit(False))).withColumn("label", F.least("label", "l")))
-        c = new.select("x", "y", "orientation", "label")
-        if not new.filter("moved").limit(1).count():
-            break
-    z = c.select("label").distinct().withColumn("zone_id", F.concat(F.lit("bn_"), F.row_number().over(Window.orderBy("label")).cast("string")))
+    c = cut(corridor_cells(cells, exits).withColumn("id", cell_id()))
+    pairs = [
+        c.select("orientation", F.col("id").alias("u"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")).join(c.select("orientation", "x", "y", F.col("id").alias("v")), ["orientation", "x", "y"]).select("u", "v")
+        for dx, dy in ((1, 0), (0, 1))
+    ]
+    found = components(pairs[0].unionByName(pairs[1])).withColumnRenamed("node", "id")
+    c = cut(c.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")))
+    z = numbered(c.select("label").distinct(), ["label"]).select("label", F.concat(F.lit("bn_"), (F.col("place") + 1).cast("string")).alias("zone_id"))
     return c.join(z, "label").select("x", "y", "orientation", "zone_id")

@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from egresslake.operators.graph import cut
-
 BUCKETS = 64
 #: Relative error of a bound is one in so many.
 ACCURACY = 1000
@@ -64,15 +62,3 @@ def quantiles(rows: DataFrame, keys: Sequence[str], x: str, wanted: Mapping[str,
         low, high, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
         out.append((low + (high - low) * part).alias(name))
     return v.groupBy(*keys).agg(*out)
-
-
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
-    """rows with their place from 0 in this order over the whole table, which must tell all rows apart.
-
-    Rows are dealt by ranges and numbered inside each; ranges begin where the ones before end, by a table of one row per range.
-    """
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
-    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    starts = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return dealt.withColumn("_in", inside).join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_pid", "_in", "_start")

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from egresslake.functions.nullsafe import num, or_zero
-from egresslake.operators.graph import cut
-from egresslake.operators.ordered import numbered
+from egresslake.operators.graph import cut, numbered
 
 SEED, SAMPLES, LEVEL = 42, 1000, 0.95
 #: Seeds from which a leaderboard entry is official.

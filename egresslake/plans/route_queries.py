@@ -1,4 +1,4 @@
-"""Routes, targets and rasters on the generated grid and the harness tables."""
+"""Routes, targets and rasters on buildings of orders and the harness tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from egresslake.operators import graph as G
 from egresslake.operators import rasters as R
 from egresslake.operators import routing as N
-from egresslake.plans.structure_queries import _edges, _grid
 from egresslake.plans.trajectory_queries import rounded
-from egresslake.plans.views import table
+from egresslake.plans.views import BUILDINGS_SQL, DOORS_SQL, EDGES_SQL, PITCH, buildings, doors, table
 
 
 def start_rows(spark, sf_dir):
@@ -17,33 +16,43 @@ def start_rows(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(n.cast("long").alias("start_id"), (n * 7 % 20).cast("int").alias("x"), (n * 3 % 20).cast("int").alias("y"))
 
 
-def goals(spark):
-    return spark.createDataFrame([(19, 19), (0, 10)], "x int, y int")
+def entrances(spark, sf_dir):
+    """A start in each building."""
+    return buildings(spark, sf_dir).filter((F.col("x") % PITCH == 4) & (F.col("y") == 0)).select(F.col("building").cast("long").alias("start_id"), "x", "y")
+
+
+def weighted(cells):
+    """Edges that cost 1, 2 or 3, not the same both ways."""
+    return G.edges(cells).withColumn("weight", (1 + (F.col("sx") * 3 + F.col("sy") * 5 + F.col("tx") * 7 + F.col("ty") * 11) % 3).cast("double"))
 
 
 def q_reach_tree(spark, sf_dir):
-    return N.reach_tree(G.edges(G.grid(spark)), goals(spark))
+    g = buildings(spark, sf_dir)
+    return N.reach_tree(G.edges(g), doors(g))
 
 
 def q_route_cells(spark, sf_dir):
-    t = N.reach_tree(G.edges(G.grid(spark)), goals(spark)).select("x", "y", F.col("px").alias("nx"), F.col("py").alias("ny"))
-    p = N.followed(t, start_rows(spark, sf_dir))
+    g = buildings(spark, sf_dir)
+    t = N.reach_tree(G.edges(g), doors(g)).select("x", "y", F.col("px").alias("nx"), F.col("py").alias("ny"))
+    p = N.followed(t, entrances(spark, sf_dir))
     return p.groupBy("start_id").agg(F.count(F.lit(1)).alias("cells"), F.max("place").alias("last"))
 
 
 def q_unreachable(spark, sf_dir):
-    g = G.grid(spark).withColumn("walkable", F.col("walkable") & ~((F.col("x") == 17) | (F.col("y") == 16)))
-    return N.unreachable(g, G.reachable(G.edges(g), goals(spark)))
+    g = buildings(spark, sf_dir)
+    g = g.withColumn("walkable", F.col("walkable") & ~((F.col("x") % PITCH == 7) | (F.col("y") == 6)))
+    return N.unreachable(g, G.reachable(G.edges(g), doors(g)))
 
 
 def q_astar(spark, sf_dir):
-    return N.astar(G.edges(G.grid(spark)), start_rows(spark, sf_dir), goals(spark)).select("start_id", "cost")
+    g = buildings(spark, sf_dir)
+    return N.astar(weighted(g), entrances(spark, sf_dir), doors(g))
 
 
 def q_route_strategies(spark, sf_dir):
-    e, out = G.edges(G.grid(spark)), None
-    for s in ("hops", "shortest"):
-        c = N.Planner(s).costs(e, start_rows(spark, sf_dir), goals(spark))
+    g, out = buildings(spark, sf_dir), None
+    for s in ("hops", "shortest", "astar"):
+        c = N.Planner(s).costs(weighted(g), entrances(spark, sf_dir), doors(g))
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -82,7 +91,7 @@ def q_border_walls(spark, sf_dir):
 def q_painted_boxes(spark, sf_dir):
     n = F.col("start_id")
     b = start_rows(spark, sf_dir).select(n.alias("box_id"), "x", "y", (F.col("x") + n % 3).alias("x1"), (F.col("y") + n % 4).alias("y1"), F.when(n % 2 == 0, "X").otherwise("E").alias("token")).withColumnsRenamed({"x": "x0", "y": "y0"})
-    return R.painted_boxes(G.grid(spark).select("x", "y", F.lit(".").alias("token")), b).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return R.painted_boxes(buildings(spark, sf_dir).select("x", "y", F.lit(".").alias("token")), b).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_feature_raster(spark, sf_dir):
@@ -100,15 +109,19 @@ _names = [n for n in dir() if n.startswith("q_")]
 QUERIES = {n: globals()[n] for n in _names}
 
 _starts = "st AS (SELECT n_nationkey::BIGINT AS id, (n_nationkey * 7 % 20)::INT AS x, (n_nationkey * 3 % 20)::INT AS y FROM nation)"
-_hops = f"{_grid}, {_edges}, b(x, y, h) AS (SELECT x, y, 0 FROM g WHERE (x = 19 AND y = 19) OR (x = 0 AND y = 10) UNION SELECT tx, ty, h + 1 FROM b JOIN e ON sx = b.x AND sy = b.y WHERE h < 80), d AS (SELECT x, y, min(h) AS hops FROM b GROUP BY 1, 2)"
+_hops = f"{BUILDINGS_SQL}, {DOORS_SQL}, {EDGES_SQL}, b(x, y, h) AS (SELECT x, y, 0 FROM doors UNION SELECT tx, ty, h + 1 FROM b JOIN e ON sx = b.x AND sy = b.y WHERE h < 45), d AS (SELECT x, y, min(h) AS hops FROM b GROUP BY 1, 2)"
+_ways = f"{BUILDINGS_SQL}, {DOORS_SQL}, {EDGES_SQL}, c(id, x, y, c) AS (SELECT building, x, y, 0 FROM st UNION SELECT id, tx, ty, c + (1 + (sx * 3 + sy * 5 + tx * 7 + ty * 11) % 3)::INT FROM c JOIN e ON sx = c.x AND sy = c.y WHERE c < 45)"
+_starts10 = f"st AS (SELECT building, x, y FROM g WHERE x % {PITCH} = 4 AND y = 0)"
+_ways = _ways.replace(", c(id", f", {_starts10}, c(id")
 # fmt: off
 SQL = {
     "q_reach_tree": f"WITH RECURSIVE {_hops}, p AS (SELECT c.x, c.y, min((a.x, a.y)) AS p FROM d c JOIN e ON tx = c.x AND ty = c.y JOIN d a ON a.x = sx AND a.y = sy AND a.hops = c.hops - 1 GROUP BY 1, 2) SELECT d.x, d.y, hops, p[1] AS px, p[2] AS py FROM d LEFT JOIN p USING (x, y)",
-    "q_route_cells": f"WITH RECURSIVE {_hops}, {_starts} SELECT id AS start_id, hops + 1 AS cells, hops AS last FROM st JOIN d USING (x, y)",
-    "q_unreachable": """WITH RECURSIVE g AS (SELECT (i % 20)::INT AS x, (i // 20)::INT AS y, (i % 20 IN (0, 19) OR i // 20 IN (0, 19) OR ((i % 20) * 7 + (i // 20) * 11) % 5 <> 0) AND i % 20 <> 17 AND i // 20 <> 16 AS walkable FROM range(400) t(i)),
-      b AS (SELECT x, y FROM g WHERE (x = 19 AND y = 19) OR (x = 0 AND y = 10) UNION SELECT g.x, g.y FROM b JOIN g ON abs(g.x - b.x) + abs(g.y - b.y) = 1 AND g.walkable) SELECT x, y FROM g WHERE walkable EXCEPT SELECT x, y FROM b""",
-    "q_astar": f"WITH RECURSIVE {_hops}, {_starts} SELECT id AS start_id, hops::DOUBLE AS cost FROM st JOIN d USING (x, y)",
-    "q_route_strategies": f"WITH RECURSIVE {_hops}, {_starts} SELECT id AS start_id, hops::DOUBLE AS cost, s AS strategy FROM st JOIN d USING (x, y), (VALUES ('hops'), ('shortest')) v(s)",
+    "q_route_cells": f"WITH RECURSIVE {_hops}, {_starts10} SELECT building::BIGINT AS start_id, hops + 1 AS cells, hops AS last FROM st JOIN d USING (x, y)",
+    "q_unreachable": f"""WITH RECURSIVE {BUILDINGS_SQL.replace('g AS', 'g0 AS', 1)}, g AS (SELECT x, y, building, walkable AND x % {PITCH} <> 7 AND y <> 6 AS walkable FROM g0), {DOORS_SQL}, {EDGES_SQL},
+      b AS (SELECT x, y FROM doors UNION SELECT tx, ty FROM b JOIN e ON sx = b.x AND sy = b.y) SELECT x, y FROM g WHERE walkable EXCEPT SELECT x, y FROM b""",
+    "q_astar": f"WITH RECURSIVE {_ways} SELECT id::BIGINT AS start_id, arg_min(x, (c, x, y)) AS gx, arg_min(y, (c, x, y)) AS gy, min(c)::DOUBLE AS cost FROM c JOIN doors USING (x, y) GROUP BY id",
+    "q_route_strategies": f"""WITH RECURSIVE {_ways}, w AS (SELECT id, min(c) AS c FROM c JOIN doors USING (x, y) GROUP BY id), b(x, y, h) AS (SELECT x, y, 0 FROM doors UNION SELECT tx, ty, h + 1 FROM b JOIN e ON sx = b.x AND sy = b.y WHERE h < 45), d AS (SELECT x, y, min(h) AS h FROM b GROUP BY 1, 2)
+      SELECT building::BIGINT AS start_id, h::DOUBLE AS cost, 'hops' AS strategy FROM st JOIN d USING (x, y) UNION ALL SELECT id::BIGINT, c::DOUBLE, s FROM w, (VALUES ('shortest'), ('astar')) v(s)""",
     "q_nearest_target": f"""WITH {_starts}, a AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 40)::DOUBLE AS x, (s_suppkey * 11 % 40)::DOUBLE AS y FROM supplier), d AS (SELECT a.id, st.id AS t, sqrt((a.x - st.x * 2) * (a.x - st.x * 2) + (a.y - st.y * 2) * (a.y - st.y * 2)) AS d FROM a, st)
       SELECT id AS agent_id, arg_min(t, (d > 3, d, t)) AS target_id, round(min(d), 6) AS distance FROM d GROUP BY 1""",
     "q_nearest_floor": "SELECT s_suppkey AS point_id, 'f' || (SELECT arg_min(r_regionkey, (abs(r_regionkey * 3.0 - (s_suppkey % 23) / 2.0), r_regionkey)) FROM region) AS floor_id FROM supplier",
@@ -116,7 +129,7 @@ SQL = {
     "q_deduped": "SELECT o_orderpriority, count(*) AS n, sum(k)::BIGINT AS keys FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1",
     "q_mixed_sort": "SELECT o_orderkey FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 500",
     "q_border_walls": f"WITH {_starts}, c AS (SELECT DISTINCT x, y FROM st) SELECT x, y, CASE WHEN x IN ((SELECT min(x) FROM c), (SELECT max(x) FROM c)) OR y IN ((SELECT min(y) FROM c), (SELECT max(y) FROM c)) THEN 'X' ELSE '.' END AS token FROM c",
-    "q_painted_boxes": f"""WITH {_grid}, {_starts}, p AS (SELECT g.x, g.y, arg_max(CASE WHEN id % 2 = 0 THEN 'X' ELSE 'E' END, id) AS t FROM g LEFT JOIN st ON g.x BETWEEN st.x AND st.x + id % 3 AND g.y BETWEEN st.y AND st.y + id % 4 GROUP BY 1, 2) SELECT coalesce(t, '.') AS token, count(*) AS n FROM p GROUP BY 1""",
+    "q_painted_boxes": f"""WITH {BUILDINGS_SQL}, {_starts}, p AS (SELECT g.x, g.y, arg_max(CASE WHEN id % 2 = 0 THEN 'X' ELSE 'E' END, id) AS t FROM g LEFT JOIN st ON g.x BETWEEN st.x AND st.x + id % 3 AND g.y BETWEEN st.y AND st.y + id % 4 GROUP BY 1, 2) SELECT coalesce(t, '.') AS token, count(*) AS n FROM p GROUP BY 1""",
     "q_feature_raster": f"""WITH {_starts}, b AS (SELECT min(x) + 0.25 AS x0, min(y) + 0.25 AS y0, max(x + CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END) + 0.25 AS x1, max(y + CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END) + 0.25 AS y1 FROM st),
       s AS (SELECT *, ceil(x1 - x0)::INT + 3 AS w, ceil(y1 - y0)::INT + 3 AS h FROM b), c AS (SELECT i::INT AS x, j::INT AS y, x0 + i - 0.5 AS wx, y0 + j - 0.5 AS wy FROM s, range(60) t(i), range(60) u(j) WHERE i < w AND j < h),
       k AS (SELECT c.x, c.y, arg_max(CASE id % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'E' ELSE '@' END, id) AS token FROM c LEFT JOIN st ON (id % 2 = 0 AND wx >= st.x + 0.25 AND wx < st.x + 2.25 AND wy >= st.y + 0.25 AND wy < st.y + 3.25) OR (id % 2 = 1 AND abs(wx - st.x - 0.25) <= 0.5 AND abs(wy - st.y - 0.25) <= 0.5) GROUP BY 1, 2)

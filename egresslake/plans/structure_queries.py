@@ -1,4 +1,4 @@
-"""Spatial, graph and audit operators over events, a generated grid, conversations and the star schema."""
+"""Spatial, graph and audit operators over events, buildings of orders, conversations and the star schema."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from egresslake.operators import graph as R
 from egresslake.operators import spatial as J
 from egresslake.operators import trajectory as T
 from egresslake.plans.trajectory_queries import CROSS_SQL, P1, P2, rounded
-from egresslake.plans.views import TRAJ_SQL, table, traj
+from egresslake.plans.views import BUILDINGS_SQL, DOORS_SQL, EDGES_SQL, TRAJ_SQL, buildings, doors, table, traj
 
 HAZARDS = ((1, "toxic", 2.0, 2.0, 3.0, 0.8), (2, "heat", 7.0, 3.0, 2.5, 0.6), (3, "toxic", 5.0, 8.0, 4.0, 0.4), (4, "heat", 1.0, 9.0, 0.0, 0.9))
 SHAPES = ((1, "rect", 2.0, 2.0, 9.0, 6.0, "#"), (2, "circle", 10.0, 10.0, 4.5, 0.0, "o"), (3, "rect", 8.0, 5.0, 15.0, 12.0, "+"))
@@ -47,22 +47,22 @@ def q_hazard_load(spark, sf_dir):
 
 def q_raster_join(spark, sf_dir):
     s = spark.createDataFrame(SHAPES, "shape_id int, kind string, x0 double, y0 double, x1 double, y1 double, token string")
-    return J.rasterized(R.grid(spark).select("x", "y"), s)
+    return J.rasterized(buildings(spark, sf_dir).select("x", "y"), s)
 
 
 def q_bfs_reach(spark, sf_dir):
-    g = R.grid(spark)
-    return R.reachable(R.edges(g), g.filter("x = 0 and y = 0"))
+    g = buildings(spark, sf_dir)
+    return R.reachable(R.edges(g), g.filter("x % 12 = 0 and y = 0"))
 
 
 def q_shortest(spark, sf_dir):
-    g = R.grid(spark)
-    return R.shortest(R.edges(g), g.filter("(x = 19 and y = 19) or (x = 0 and y = 10)")).select("x", "y", "cost")
+    g = buildings(spark, sf_dir)
+    return R.shortest(R.edges(g), doors(g)).select("x", "y", "cost")
 
 
 def q_bottleneck_zones(spark, sf_dir):
-    g = R.grid(spark)
-    return R.corridor_zones(g, g.filter("x = 0 and y = 10"))
+    g = buildings(spark, sf_dir)
+    return R.corridor_zones(g, doors(g))
 
 
 def chain(spark, sf_dir):
@@ -108,8 +108,6 @@ QUERIES = {n: globals()[n] for n in _names}
 
 _hazards = "h(hazard_id, category, hx, hy, radius, severity) AS (VALUES " + ", ".join(f"({i}, '{c}', {x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE, {s}::DOUBLE)" for i, c, x, y, r, s in HAZARDS) + ")"
 _shapes = "s(shape_id, kind, x0, y0, x1, y1, token) AS (VALUES " + ", ".join(str(s) for s in SHAPES) + ")"
-_grid = "g AS (SELECT (i % 20)::INT AS x, (i // 20)::INT AS y, (i % 20 IN (0, 19) OR i // 20 IN (0, 19) OR ((i % 20) * 7 + (i // 20) * 11) % 5 <> 0) AS walkable FROM range(400) t(i))"
-_edges = "e AS (SELECT a.x AS sx, a.y AS sy, b.x AS tx, b.y AS ty FROM g a JOIN g b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.walkable AND b.walkable)"
 _chain = """c0 AS (SELECT conv_id, turn, sha256(role || '|' || text) AS rh, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 ch AS (SELECT conv_id, turn, n, 'genesis' AS prev_hash, sha256('genesis' || rh) AS chain_hash, rh FROM c0 WHERE n = 1
   UNION ALL SELECT c0.conv_id, c0.turn, c0.n, ch.chain_hash, sha256(ch.chain_hash || c0.rh), c0.rh FROM ch JOIN c0 ON c0.conv_id = ch.conv_id AND c0.n = ch.n + 1)"""
@@ -129,15 +127,15 @@ SQL = {
       WHEN sqrt((x - hx) ** 2 + (y - hy) ** 2) <= radius THEN severity * (1 - sqrt((x - hx) ** 2 + (y - hy) ** 2) / radius) ELSE 0 END)::DOUBLE AS i FROM traj, h)
       SELECT event_id, round(sum(i), 6) AS load, arg_max(hazard_id, (i, hazard_id)) AS strongest, round(exp(sum(ln(greatest(1.0 - i, 1e-12)))), 6) AS visibility, round(coalesce(sum(i) FILTER (category = 'toxic'), 0), 6) AS toxic_load,
       round(coalesce(sum(i) FILTER (category = 'heat'), 0), 6) AS heat_load FROM i GROUP BY 1""",
-    "q_raster_join": f"""WITH {_grid}, {_shapes} SELECT x, y, coalesce(arg_max(token, shape_id), '.') AS token FROM g LEFT JOIN s ON (kind = 'rect' AND x + 0.5 BETWEEN x0 AND x1 AND y + 0.5 BETWEEN y0 AND y1)
+    "q_raster_join": f"""WITH {BUILDINGS_SQL}, {_shapes} SELECT x, y, coalesce(arg_max(token, shape_id), '.') AS token FROM g LEFT JOIN s ON (kind = 'rect' AND x + 0.5 BETWEEN x0 AND x1 AND y + 0.5 BETWEEN y0 AND y1)
       OR (kind = 'circle' AND (x + 0.5 - x0) ** 2 + (y + 0.5 - y0) ** 2 <= x1 ** 2) GROUP BY 1, 2""",
-    "q_bfs_reach": f"""WITH RECURSIVE {_grid}, {_edges}, b(x, y, hops) AS (SELECT 0, 0, 0 UNION SELECT tx, ty, hops + 1 FROM b JOIN e ON sx = b.x AND sy = b.y WHERE hops < 80) SELECT x, y, min(hops) AS hops FROM b GROUP BY 1, 2""",
-    "q_shortest": f"""WITH RECURSIVE {_grid}, {_edges}, b(x, y, c) AS (SELECT x, y, 0 FROM g WHERE (x = 19 AND y = 19) OR (x = 0 AND y = 10) UNION SELECT sx, sy, c + 1 FROM b JOIN e ON tx = b.x AND ty = b.y WHERE c < 80) SELECT x, y, min(c)::DOUBLE AS cost FROM b GROUP BY 1, 2""",
-    "q_bottleneck_zones": f"""WITH RECURSIVE {_grid}, w AS (SELECT x, y FROM g WHERE walkable), n AS (SELECT a.x, a.y, count(*) FILTER (b.x <> a.x AND b.y = a.y) AS h, count(*) FILTER (b.x = a.x AND b.y <> a.y) AS v, count(*) - 1 AS op
-      FROM w a JOIN w b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2),
-      c AS (SELECT x, y, CASE WHEN h > 0 THEN 'horizontal' ELSE 'vertical' END AS o FROM n WHERE op <= 4 AND ((h > 0 AND v = 0) OR (v > 0 AND h = 0)) AND NOT (x = 0 AND y = 10)),
-      r(x, y, o, lx, ly) AS (SELECT x, y, o, x, y FROM c UNION SELECT c.x, c.y, c.o, r.lx, r.ly FROM r JOIN c ON abs(c.x - r.x) + abs(c.y - r.y) = 1 AND c.o = r.o),
-      l AS (SELECT x, y, o, min((lx, ly)) AS lab FROM r GROUP BY 1, 2, 3) SELECT x, y, o AS orientation, 'bn_' || dense_rank() OVER (ORDER BY lab) AS zone_id FROM l""",
+    "q_bfs_reach": f"""WITH RECURSIVE {BUILDINGS_SQL}, {EDGES_SQL}, b(x, y, hops) AS (SELECT x, y, 0 FROM g WHERE x % 12 = 0 AND y = 0 UNION SELECT tx, ty, hops + 1 FROM b JOIN e ON sx = b.x AND sy = b.y WHERE hops < 45) SELECT x, y, min(hops) AS hops FROM b GROUP BY 1, 2""",
+    "q_shortest": f"""WITH RECURSIVE {BUILDINGS_SQL}, {DOORS_SQL}, {EDGES_SQL}, b(x, y, c) AS (SELECT x, y, 0 FROM doors UNION SELECT sx, sy, c + 1 FROM b JOIN e ON tx = b.x AND ty = b.y WHERE c < 45) SELECT x, y, min(c)::DOUBLE AS cost FROM b GROUP BY 1, 2""",
+    "q_bottleneck_zones": f"""WITH RECURSIVE {BUILDINGS_SQL}, {DOORS_SQL}, w AS (SELECT x, y FROM g WHERE walkable), n AS (SELECT a.x, a.y, count(*) FILTER (b.x <> a.x AND b.y = a.y) AS h, count(*) FILTER (b.x = a.x AND b.y <> a.y) AS v, count(*) - 1 AS op
+      FROM w a CROSS JOIN (VALUES (-1), (0), (1)) d(dx) JOIN w b ON b.x = a.x + dx AND abs(a.y - b.y) <= 1 GROUP BY 1, 2),
+      c AS (SELECT x, y, CASE WHEN h > 0 THEN 'horizontal' ELSE 'vertical' END AS o FROM n WHERE op <= 4 AND ((h > 0 AND v = 0) OR (v > 0 AND h = 0)) AND (x, y) NOT IN (SELECT (x, y) FROM doors)),
+      s AS (SELECT a.x, a.y, b.x AS tx, b.y AS ty FROM c a CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) JOIN c b ON b.x = a.x + dx AND b.y = a.y + dy AND a.o = b.o), r(x, y, lx, ly) AS (SELECT x, y, x, y FROM c UNION SELECT s.tx, s.ty, r.lx, r.ly FROM r JOIN s ON s.x = r.x AND s.y = r.y),
+      l AS (SELECT x, y, o, min((lx, ly)) AS lab FROM r JOIN c USING (x, y) GROUP BY 1, 2, 3) SELECT x, y, o AS orientation, 'bn_' || dense_rank() OVER (ORDER BY lab) AS zone_id FROM l""",
     "q_hash_chain": f"WITH RECURSIVE {_chain} SELECT conv_id, turn, prev_hash, chain_hash FROM ch",
     "q_hash_verify": f"""WITH RECURSIVE {_chain}, t AS (SELECT conv_id, turn, n, prev_hash, rh, CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN repeat('0', 64) ELSE chain_hash END AS chain_hash FROM ch),
       b AS (SELECT *, CASE WHEN prev_hash <> coalesce(lag(chain_hash) OVER (PARTITION BY conv_id ORDER BY turn), 'genesis') THEN 'previous_hash_mismatch' WHEN chain_hash <> sha256(prev_hash || rh) THEN 'row_hash_mismatch' END AS bad FROM t)

@@ -93,7 +93,7 @@ def load_table(spark: SparkSession, root: str, name: str, schema: str | None = N
         raise ValueError(f"no committed run has a table {name}")
     folders = {f"{run_folder(root, r.run_index)}/{name}.parquet": r for r in runs}
     reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
-    df = reader.parquet(*folders).withColumn("run_index", F.regexp_extract(F.input_file_name(), r"/runs/([0-9]+)/", 1).cast("int"))
+    df = reader.parquet(*folders).withColumn("run_index", F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([0-9]+)/", 1).cast("int"))
     counts = {r.run_index: r["count"] for r in df.groupBy("run_index").count().collect()}
     wrong = sorted(r.run_index for r in runs if counts.get(r.run_index, 0) != r.rows)
     if wrong:

@@ -107,8 +107,8 @@ def event_documents(spark: SparkSession, path: str, glob: str = "*.{yaml,yml,jso
             frame["observations"] = [[dict(zip(keys, o, strict=True)) for o in rows] for rows in frame["observations"]]
             yield frame
 
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-    return texts.withColumn("path", F.input_file_name()).mapInPandas(parse, _schema())
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return texts.select("value", F.col("_metadata.file_path").alias("path")).mapInPandas(parse, _schema())
 
 
 def document_issues(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from egresslake.operators import calibration, ordered, statistics
+from egresslake.operators import calibration, graph, ordered, statistics
 
 # Hourly riders of one station on one day, and its fit for 240 agents.
 RIDERS = "2828 1198 565 396 435 846 1410 2113 2843 3191 3729 4543 5178 5523 5857 5997"
@@ -164,9 +164,9 @@ def test_w_by_enumeration(spark):
 def test_numbers_and_ranges(spark):
     rows = [(g, v) for g, n in (("hot", 3000), ("a", 3), (None, 5)) for v in range(n)]
     df = spark.createDataFrame([(g, float(v)) for g, v in rows] + [("hot", 1e12), ("hot", float("inf")), ("hot", -1e300)], "g string, v double").repartition(6)
-    got = [(r.g, r.v) for r in ordered.numbered(df, ["g", "v"]).orderBy("place").collect()]
+    got = [(r.g, r.v) for r in graph.numbered(df, ["g", "v"]).orderBy("place").collect()]
     assert got == sorted(got, key=lambda r: (r[0] is not None, r[0] or "", r[1])) and len(got) == 3011
-    assert sorted(r.place for r in ordered.numbered(df, ["g", "v"]).collect()) == list(range(3011))
+    assert sorted(r.place for r in graph.numbered(df, ["g", "v"]).collect()) == list(range(3011))
     sums = {(r.g, r.v): (r.n_below, r.n_all) for r in ordered.running_sums(df, ["g"], "v", {"n": F.lit(1)}).collect()}
     for g in ("hot", "a", None):
         values = sorted(v for k, v in sums if k == g)
