@@ -154,19 +154,25 @@ def density_band(density: Column, bands: Sequence[tuple[str, float, float | None
     return F.lit("out_of_range") if out is None else out.otherwise("out_of_range")
 
 
-def travel_times_by_density(samples: DataFrame, crossings: DataFrame, radius: float, bands: Sequence[tuple[str, float, float | None]], slack: float = 1.0) -> DataFrame:
+def travel_times_by_density(samples: DataFrame, crossings: DataFrame, radius: float, bands: Sequence[tuple[str, float, float | None]], slack: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
     """Per crossing agent: time from its first sample to the crossing, and the density around the crossing's place at the nearest sample time.
 
-    crossings: agent_id, crossing_time_s, midpoint_x, midpoint_y. The nearest time (the earlier of two) is looked for in buckets of
-    `slack` seconds, which must be at least the time between samples; samples of that time are then counted by an equi-join on it.
+    crossings: keys (of runs), agent_id, crossing_time_s, midpoint_x, midpoint_y. The nearest time (the earlier of two) is looked for in buckets of
+    `slack` seconds, which must be at least the time between samples; samples of that time are then counted by an equi-join on run, time and cells as
+    wide as the radius, so that a time with many samples is not one key. Nobody near is a density of 0.
     """
-    times = samples.select("time_s").distinct()
-    asked = crossings.select("agent_id", "crossing_time_s", F.explode(F.array(*[F.floor(F.col("crossing_time_s") / slack) + d for d in (-1, 0, 1)])).alias("_b"))
-    j = asked.join(times.withColumn("_b", F.floor(F.col("time_s") / slack)), "_b")
-    near = j.groupBy("agent_id").agg(F.min_by("time_s", F.struct(F.abs(F.col("time_s") - F.col("crossing_time_s")), "time_s")).alias("near_s"))
-    at = crossings.join(near, "agent_id").join(samples.select(F.col("time_s").alias("near_s"), "x", "y"), "near_s")
+    agent = [*keys, "agent_id"]
+    times = samples.select(*keys, "time_s").distinct()
+    asked = crossings.select(*agent, "crossing_time_s", F.explode(F.array(*[F.floor(F.col("crossing_time_s") / slack) + d for d in (-1, 0, 1)])).alias("_b"))
+    j = asked.join(times.withColumn("_b", F.floor(F.col("time_s") / slack)), [*keys, "_b"])
+    near = j.groupBy(*agent).agg(F.min_by("time_s", F.struct(F.abs(F.col("time_s") - F.col("crossing_time_s")), "time_s")).alias("near_s"))
+    around = F.explode(F.array(*[F.struct((F.floor(F.col("midpoint_x") / radius) + dx).alias("bx"), (F.floor(F.col("midpoint_y") / radius) + dy).alias("by")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    at = crossings.join(near, agent)
+    asked = at.withColumn("_c", around).withColumns({"_bx": F.col("_c.bx"), "_by": F.col("_c.by")}).drop("_c")
+    seen = samples.select(*keys, F.col("time_s").alias("near_s"), "x", "y", F.floor(F.col("x") / radius).alias("_bx"), F.floor(F.col("y") / radius).alias("_by"))
     d2 = (F.col("x") - F.col("midpoint_x")) ** 2 + (F.col("y") - F.col("midpoint_y")) ** 2
-    inside = at.groupBy("agent_id").agg((F.count_if(d2 <= radius * radius) / F.lit(3.141592653589793 * radius * radius)).alias("local_density_ped_m2"))
-    first = samples.groupBy("agent_id").agg(F.min("time_s").alias("entry_time_s"))
-    out = crossings.select("agent_id", "crossing_time_s").join(first, "agent_id").join(inside, "agent_id")
+    found = asked.join(seen, [*keys, "near_s", "_bx", "_by"]).filter(d2 <= radius * radius).groupBy(*agent).agg(F.count(F.lit(1)).alias("_n"))
+    inside = at.join(found, agent, "left").select(*agent, (F.coalesce("_n", F.lit(0)) / F.lit(3.141592653589793 * radius * radius)).alias("local_density_ped_m2"))
+    first = samples.groupBy(*agent).agg(F.min("time_s").alias("entry_time_s"))
+    out = crossings.select(*agent, "crossing_time_s").join(first, agent).join(inside, agent)
     return out.withColumn("travel_time_s", F.col("crossing_time_s") - F.col("entry_time_s")).withColumn("density_band", density_band(F.col("local_density_ped_m2"), bands))

@@ -16,6 +16,7 @@ from egresslake.functions.bounds import bounded
 from egresslake.functions.nullsafe import clip, or_zero, ratio
 from egresslake.functions.scalars import falloff, weidmann
 from egresslake.operators.graph import cut
+from egresslake.operators.spatial import within_reach
 
 #: Fixed value: the distance of zones on different floors.
 OTHER_FLOOR = 999_999
@@ -101,9 +102,9 @@ def zone_distance(cells: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def visible_pairs(agents: DataFrame, things: DataFrame, thing_id: str) -> DataFrame:
-    """(agent_id, thing_id, distance): things (thing_id, tx, ty) within each agent's own vision radius; a scenario's own things."""
+    """(agent_id, thing_id, distance): things (thing_id, tx, ty) within each agent's own vision radius."""
     d2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-    j = agents.select("agent_id", "x", "y", "vision_radius").join(bounded(things.select(thing_id, "tx", "ty")), d2 <= F.col("vision_radius") ** 2)
+    j = within_reach(agents.select("agent_id", "x", "y", "vision_radius"), things.select(thing_id, "tx", "ty"), F.col("vision_radius"))
     return j.select("agent_id", thing_id, F.sqrt(d2).alias("distance"))
 
 
@@ -112,7 +113,7 @@ def beacon_news(agents: DataFrame, beacons: DataFrame, beliefs: DataFrame, radiu
 
     beacons: beacon_id, tx, ty, exits (array).
     """
-    near = agents.join(bounded(beacons), (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 <= radius * radius)
+    near = within_reach(agents, beacons, F.lit(radius))
     told = near.select("agent_id", F.explode("exits").alias("exit_id")).distinct()
     return told.join(beliefs.filter("source_credibility >= 0.9").select("agent_id", "exit_id"), ["agent_id", "exit_id"], "left_anti")
 

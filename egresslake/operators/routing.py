@@ -101,7 +101,7 @@ class Planner:
 
     def costs(self, edge: DataFrame, starts: DataFrame, goals: DataFrame, signature: str = "") -> DataFrame:
         """(start_id, cost, strategy)."""
-        key = (self.strategy, signature, *sorted(map(tuple, bounded(goals.select("x", "y").distinct()).collect())), starts.semanticHash())
+        key = (self.strategy, signature, edge.semanticHash(), *sorted(map(tuple, bounded(goals.select("x", "y").distinct()).collect())), starts.semanticHash())
         self.counts["asked"] += 1
         if key in self._kept:
             self.counts["kept"] += 1
@@ -116,11 +116,18 @@ class Planner:
 
 
 def nearest_target(agents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(agent_id, target_id, distance): the nearest visible target, else the nearest of all. targets: a scenario's own (target_id, tx, ty); agents: agent_id, x, y, vision_radius."""
-    d = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
-    j = agents.select("agent_id", "x", "y", "vision_radius").crossJoin(bounded(targets.select("target_id", "tx", "ty")))
-    best = F.min(F.struct((d > F.col("vision_radius")).alias("far"), d.alias("distance"), "target_id"))
-    return j.groupBy("agent_id").agg(best.alias("b")).select("agent_id", "b.target_id", "b.distance")
+    """(agent_id, target_id, distance): the nearest visible target, else the nearest of all. targets: a scenario's own (target_id, tx, ty); agents: agent_id, x, y, vision_radius.
+
+    All targets go to each row as one array, and the least is taken there: no rows are made and none are shuffled. Without targets there are no rows.
+    """
+    one = bounded(targets.select("target_id", "tx", "ty")).agg(F.collect_list(F.struct("tx", "ty", "target_id")).alias("_t"))
+    d = agents.select("agent_id", "x", "y", "vision_radius").crossJoin(F.broadcast(one))
+
+    def gap(t: Column) -> Column:
+        d = F.sqrt((F.col("x") - t["tx"]) ** 2 + (F.col("y") - t["ty"]) ** 2)
+        return F.struct((d > F.col("vision_radius")).alias("far"), d.alias("distance"), t["target_id"].alias("target_id"))
+
+    return d.withColumn("b", F.array_min(F.transform("_t", gap))).filter("b is not null").select("agent_id", "b.target_id", "b.distance")
 
 
 def nearest_floor(points: DataFrame, floors: DataFrame) -> DataFrame:

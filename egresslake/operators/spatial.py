@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from egresslake.functions.bounds import bounded
+from egresslake.functions.bounds import SMALL_ROWS, bounded
 from egresslake.functions.nullsafe import or_zero
 from egresslake.functions.scalars import falloff
 
@@ -30,6 +30,24 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: Sequenc
     return j.filter((F.col("distance") <= radius) & (F.col("distance") > least if least else F.lit(True)))
 
 
+def within_reach(left: DataFrame, things: DataFrame, reach: Column, most: int = SMALL_ROWS) -> DataFrame:
+    """Rows of left (x, y) with each thing (tx, ty) at most `reach` away; reach is a column of left.
+
+    Few things go to every task. More are met in an equi-join on buckets as wide as the greatest reach, so that only rows of neighbouring buckets meet.
+    """
+    near = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 <= F.col("_reach") ** 2
+    a = left.withColumn("_reach", reach.cast("double"))
+    if things.limit(most + 1).count() <= most:
+        return a.join(F.broadcast(things), near).drop("_reach")
+    width = a.agg(F.max("_reach")).first()[0]
+    if not width or width <= 0:
+        width = 1.0
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    b = things.withColumn("_n", F.explode(around)).withColumn("_bx", F.floor(F.col("tx") / width) + F.col("_n.dx")).withColumn("_by", F.floor(F.col("ty") / width) + F.col("_n.dy")).drop("_n")
+    a = a.withColumn("_bx", F.floor(F.col("x") / width)).withColumn("_by", F.floor(F.col("y") / width))
+    return a.join(b, ["_bx", "_by"]).filter(near).drop("_reach", "_bx", "_by")
+
+
 def local_density(samples: DataFrame, radius: float, keys: Sequence[str], ident: str) -> DataFrame:
     """(keys, ident, neighbours, density): other rows within the radius, and their number per area."""
     p = radius_pairs(samples.select(*keys, ident, "x", "y"), samples.select(*keys, ident, "x", "y"), radius, keys).filter(F.col(f"l_{ident}") != F.col(f"r_{ident}"))

@@ -10,10 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from egresslake.functions.nullsafe import avg, num, pct_abs, quantile, ratio
+from egresslake.functions.nullsafe import num, pct_abs, ratio
 from egresslake.functions.scalars import signed_distance
+from egresslake.operators.graph import cut
+from egresslake.operators.ordered import quantiles
 
 REQUIRED = ("agent_id", "time_s", "x", "y")
+SUMMARY = ("agent_count", "sample_count", "duration_s", "mean_agent_duration_s", "mean_path_length_m", "p95_path_length_m", "mean_displacement_m", "mean_speed_mps", "p95_speed_mps", "mean_local_density", "p95_local_density")
 #: Half width that a crossing's midpoint may lie beyond the ends of a line.
 SLACK = 0.5
 
@@ -38,7 +41,10 @@ def with_motion(df: DataFrame, keys: Sequence[str] = ("agent_id",), order: Seque
 
 def agent_paths(df: DataFrame, keys: Sequence[str] = ("agent_id",), order: Sequence[str] = ("time_s", "event_id")) -> DataFrame:
     """Per agent: samples, first and last time, path length, displacement."""
-    m = with_motion(df, keys, order)
+    return _paths(with_motion(df, keys, order), keys, order)
+
+
+def _paths(m: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     at = F.struct(*order)
     return m.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"), F.min("time_s").alias("first_s"), F.max("time_s").alias("last_s"),
@@ -55,16 +61,23 @@ def trajectory_summary(df: DataFrame, group: Sequence[str] = (), speed: str | No
     require_columns(df)
     order = ("time_s", "event_id") if "event_id" in df.columns else ("time_s",)
     keys = (*group, "agent_id")
-    paths = agent_paths(df, keys, order).groupBy(*group).agg(
+    v = num(speed) if speed else F.col("speed_mps")
+    density = num("local_density") if "local_density" in df.columns else F.lit(None).cast("double")
+    m = cut(with_motion(df, keys, order).select(*keys, *order, "x", "y", "dist_m", v.alias("_speed"), density.alias("_density")))  # the motion of a sample, made once
+    paths = _paths(m, keys, order)
+    figures = paths.groupBy(*group).agg(
         F.count(F.lit(1)).alias("agent_count"), F.sum("samples").alias("sample_count"),
         (F.max("last_s") - F.min("first_s")).alias("duration_s"), F.avg(F.col("last_s") - F.col("first_s")).alias("mean_agent_duration_s"),
-        F.avg("path_m").alias("mean_path_length_m"), quantile("path_m", 0.95).alias("p95_path_length_m"), F.avg("displacement_m").alias("mean_displacement_m"),
+        F.avg("path_m").alias("mean_path_length_m"), F.avg("displacement_m").alias("mean_displacement_m"),
     )
-    m = with_motion(df, keys, order)
-    v = num(speed) if speed else F.col("speed_mps")
-    density = num("local_density") if "local_density" in df.columns else F.lit(None).cast("double")
-    rates = m.groupBy(*group).agg(F.avg(v).alias("mean_speed_mps"), F.percentile(v, 0.95).alias("p95_speed_mps"), F.avg(density).alias("mean_local_density"), F.percentile(density, 0.95).alias("p95_local_density"))
-    return null_safe_join(paths, rates, group) if group else paths.crossJoin(rates)
+    rates = m.groupBy(*group).agg(F.avg("_speed").alias("mean_speed_mps"), F.avg("_density").alias("mean_local_density"))
+    long = paths.select(*group, F.lit("path").alias("_kind"), F.col("path_m").alias("_v")).unionByName(m.select(*group, F.lit("speed").alias("_kind"), F.col("_speed").alias("_v")))
+    long = long.unionByName(m.select(*group, F.lit("density").alias("_kind"), F.col("_density").alias("_v"))) if "local_density" in df.columns else long
+    q = quantiles(long, [*group, "_kind"], "_v", {"_q": 0.95})
+    q = q.groupBy(*group).agg(*[F.max(F.when(F.col("_kind") == k, F.col("_q"))).alias(n) for k, n in (("path", "p95_path_length_m"), ("speed", "p95_speed_mps"), ("density", "p95_local_density"))])
+    out = null_safe_join(figures, rates, group) if group else figures.crossJoin(rates)
+    out = null_safe_join(out, q, group, "left") if group else out.crossJoin(q)
+    return out.select(*group, *SUMMARY)
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -76,13 +89,15 @@ def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "in
     return a.join(b, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+#: The metrics that a comparison has by default; SUMMARY are all eleven.
 METRICS = ("duration_s", "mean_agent_duration_s", "mean_path_length_m", "p95_path_length_m", "mean_displacement_m", "mean_speed_mps", "p95_speed_mps")
 
 
 def compare_trajectories(simulated: DataFrame, reference: DataFrame, group: Sequence[str] = ("variant_name",), metrics: Sequence[str] = METRICS, speed: str | None = None) -> DataFrame:
     """Long rows per group and metric: simulated, reference, delta, pct_delta (NULL for a reference of 0)."""
-    sim = trajectory_summary(simulated, group, speed).unpivot(list(group), list(metrics), "metric", "simulated")
-    ref = trajectory_summary(reference, (), speed).select(*metrics).unpivot([], list(metrics), "metric", "reference")
+    doubles = [F.col(c).cast("double").alias(c) for c in metrics]
+    sim = trajectory_summary(simulated, group, speed).select(*group, *doubles).unpivot(list(group), list(metrics), "metric", "simulated")
+    ref = trajectory_summary(reference, (), speed).select(*doubles).unpivot([], list(metrics), "metric", "reference")
     return sim.join(ref, "metric").withColumn("delta", F.col("simulated") - F.col("reference")).withColumn("pct_delta", pct_abs(F.col("reference"), F.col("simulated")))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from egresslake.operators import movement as M
 from egresslake.operators import spatial as P
+from egresslake.operators.graph import edges
 from egresslake.plans.trajectory_queries import rounded
-from egresslake.plans.views import TRAJ_SQL, table, traj
+from egresslake.plans.views import BUILDINGS_SQL, EDGES_SQL, TRAJ_SQL, buildings, table, traj
 
 
 def walkers(spark, sf_dir):
@@ -51,15 +52,16 @@ def cells(spark):
 
 
 def q_open_cells(spark, sf_dir):
-    return M.open_cells(cells(spark), places(spark, sf_dir)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    """Cells of buildings that stay open where every thirteenth is shut."""
+    g = buildings(spark, sf_dir).withColumn("floor_id", F.lit("g"))
+    return M.open_cells(g, g.filter("cell_key % 13 = 0")).groupBy("building").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_open_edges(spark, sf_dir):
-    p = places(spark, sf_dir)
-    e = cells(spark).filter("walkable").select(F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") + 1).alias("tx"), F.col("y").alias("ty"))
-    shut = p.filter("exit_id % 2 = 0").select(F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") + 1).alias("tx"), F.col("y").alias("ty"))
-    return M.open_edges(e, shut, p.filter("exit_id % 2 = 1")).groupBy("sy").agg(F.count(F.lit(1)).alias("n"))
-
+    """Edges of buildings that stay open where some edges and some cells are shut."""
+    g = buildings(spark, sf_dir)
+    e = edges(g).select("sx", "sy", "tx", "ty")
+    return M.open_edges(e, e.filter("(sx * 3 + ty * 5) % 7 = 0"), g.filter("cell_key % 13 = 0"))
 
 def q_persona_match(spark, sf_dir):
     p = spark.createDataFrame([("a", "BUILDING", "m1", ""), ("b", "", "M2", "SENIOR"), ("c", "", "", "Adult")], "persona_id string, cohort_name string, mobility_class string, age_band string")
@@ -260,9 +262,8 @@ _pace = "CASE WHEN n <= 0.01 THEN 1.34 WHEN n >= 5.4 THEN 0 ELSE 1.34 * (1 - exp
 # fmt: off
 SQL = {
     "q_agent_states": f"{_w} SELECT count(*) FILTER (NOT evacuated AND release_step <= 20) AS active, count(*) FILTER (NOT evacuated AND release_step > 20) AS pending, count(*) FILTER (release_step <= 20) AS released FROM walkers",
-    "q_open_cells": f"WITH {_cells}, {_places}, p AS (SELECT {_pl} FROM places) SELECT x, count(*) AS n FROM cells WHERE walkable AND (x, y) NOT IN (SELECT (px, py) FROM p) GROUP BY 1",
-    "q_open_edges": f"""WITH {_cells}, {_places}, p AS (SELECT exit_id, {_pl} FROM places) SELECT y AS sy, count(*) AS n FROM cells WHERE walkable AND (x, y) NOT IN (SELECT (px, py) FROM p WHERE exit_id % 2 = 0) AND (x, y) NOT IN (SELECT (px, py) FROM p WHERE exit_id % 2 = 1)
-      AND (x + 1, y) NOT IN (SELECT (px, py) FROM p WHERE exit_id % 2 = 1) GROUP BY 1""",
+    "q_open_cells": f"WITH {BUILDINGS_SQL} SELECT building, count(*) AS n FROM g WHERE walkable AND cell_key % 13 <> 0 GROUP BY 1",
+    "q_open_edges": f"""WITH {BUILDINGS_SQL}, {EDGES_SQL}, c AS (SELECT x, y FROM g WHERE cell_key % 13 = 0) SELECT sx, sy, tx, ty FROM e WHERE (sx * 3 + ty * 5) % 7 <> 0 AND (sx, sy) NOT IN (SELECT (x, y) FROM c) AND (tx, ty) NOT IN (SELECT (x, y) FROM c)""",
     "q_persona_match": f"""{_w}, p(persona_id, c, m, a) AS (VALUES ('a', 'BUILDING', 'm1', ''), ('b', '', 'm2', 'senior'), ('c', '', '', 'adult'))
       SELECT persona_id, count(*) AS n, sum(agent_id)::BIGINT AS ids FROM walkers JOIN p ON (c = '' OR c = cohort_name) AND (m = '' OR m = lower(mobility_class)) AND (a = '' OR a = lower(age_band)) GROUP BY 1""",
     "q_impossible_jumps": f"""WITH {TRAJ_SQL}, t AS (SELECT agent_id, event_id AS step, floor(x)::INT AS x, floor(y)::INT AS y, k % 2 AS f FROM traj), l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(f) OVER w AS pf FROM t WINDOW w AS (PARTITION BY agent_id ORDER BY step)),

@@ -57,11 +57,11 @@ SIDE, PITCH = 10, 12
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as cells (x, y, walkable, building): a hundred orders are a building of ten by ten cells, open along its border, with walls inside."""
+    """orders as cells (x, y, walkable, building, cell_key): a hundred orders are a building of ten by ten cells, open along its border, with walls inside."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     b, lx, ly = F.floor(k / (SIDE * SIDE)).cast("int"), (k % SIDE).cast("int"), F.floor(k % (SIDE * SIDE) / SIDE).cast("int")
     border = lx.isin(0, SIDE - 1) | ly.isin(0, SIDE - 1)
-    return o.select((b * PITCH + lx).alias("x"), ly.alias("y"), (border | ((k * 7 + F.col("o_custkey") * 11) % 5 != 0)).alias("walkable"), b.alias("building"))
+    return o.select((b * PITCH + lx).alias("x"), ly.alias("y"), (border | ((k * 7 + F.col("o_custkey") * 11) % 5 != 0)).alias("walkable"), b.alias("building"), k.alias("cell_key"))
 
 
 def doors(cells: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def doors(cells: DataFrame) -> DataFrame:
     return cells.filter(((lx == SIDE - 1) & (F.col("y") == SIDE - 1)) | ((lx == 0) & (F.col("y") == 4))).select("x", "y")
 
 
-BUILDINGS_SQL = f"""g AS (SELECT (o_orderkey // {SIDE * SIDE} * {PITCH} + o_orderkey % {SIDE})::INT AS x, (o_orderkey % {SIDE * SIDE} // {SIDE})::INT AS y, (o_orderkey // {SIDE * SIDE})::INT AS building,
+BUILDINGS_SQL = f"""g AS (SELECT (o_orderkey // {SIDE * SIDE} * {PITCH} + o_orderkey % {SIDE})::INT AS x, (o_orderkey % {SIDE * SIDE} // {SIDE})::INT AS y, (o_orderkey // {SIDE * SIDE})::INT AS building, o_orderkey AS cell_key,
   o_orderkey % {SIDE} IN (0, {SIDE - 1}) OR o_orderkey % {SIDE * SIDE} // {SIDE} IN (0, {SIDE - 1}) OR (o_orderkey * 7 + o_custkey * 11) % 5 <> 0 AS walkable FROM orders)"""
 DOORS_SQL = f"doors AS (SELECT x, y FROM g WHERE (x % {PITCH} = {SIDE - 1} AND y = {SIDE - 1}) OR (x % {PITCH} = 0 AND y = 4))"
 EDGES_SQL = "e AS (SELECT a.x AS sx, a.y AS sy, b.x AS tx, b.y AS ty FROM g a CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) JOIN g b ON b.x = a.x + dx AND b.y = a.y + dy WHERE a.walkable AND b.walkable)"
