@@ -204,7 +204,7 @@ def q_semi_anti(spark, sf_dir):
 
 def q_bootstrap(spark, sf_dir):
     s = runs(spark, sf_dir).groupBy("variant_name", "seed").agg(F.avg("travel").alias("s"))
-    return S.bootstrap_ci(s, ["variant_name"], "s")
+    return rounded(S.bootstrap_ci(s, ["variant_name"], "s"), 4)
 
 
 def q_wilcoxon(spark, sf_dir):

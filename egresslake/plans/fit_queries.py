@@ -134,7 +134,17 @@ _demand = """d AS (SELECT o_orderpriority AS station, month(o_orderdate) AS hour
   g AS (SELECT station, hour, observed, exact AS raw_agents, (floor(exact) + CASE WHEN r <= spare THEN 1 ELSE 0 END)::BIGINT AS agents, a FROM f),
   profile AS (SELECT station, hour, observed, raw_agents, agents, agents * a / 240 AS predicted, observed - agents * a / 240 AS residual, row_number() OVER (PARTITION BY station ORDER BY hour) - 1 AS release_step FROM g)"""
 _few = "few AS (SELECT o_custkey, o_totalprice AS v, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'a' ELSE 'b' END AS side FROM orders)"
+_curve = """p AS (SELECT 0.3 + l_orderkey % 50 / 10 AS d, 1.2 * (1 - exp(-2.5 * (1 / (0.3 + l_orderkey % 50 / 10) - 1 / 6.0::DOUBLE))) + (l_partkey % 21 - 10) / 1000 AS v FROM lineitem), f AS (SELECT d::DOUBLE AS d, v FROM p WHERE d > 0.01 AND v > 0.01),
+  c AS (SELECT d, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM f GROUP BY 1),
+  it(i, v0, gm, jam) AS (SELECT 0, 1.34::DOUBLE, 1.913::DOUBLE, 5.4::DOUBLE UNION ALL SELECT i + 1, v0 + (ga * (bb * cc - bc * bc) - ab * (gb * cc - bc * gc) + ac * (gb * bc - bb * gc)) / det, gm + (aa * (gb * cc - bc * gc) - ga * (ab * cc - bc * ac) + ac * (ab * gc - gb * ac)) / det,
+    jam + (aa * (bb * gc - gb * bc) - ab * (ab * gc - gb * ac) + ga * (ab * bc - bb * ac)) / det FROM (
+    SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM (
+    SELECT i, v0, gm, jam, sum(n * a * a) AS aa, sum(n * a * b) AS ab, sum(n * a * k) AS ac, sum(n * b * b) AS bb, sum(n * b * k) AS bc, sum(n * k * k) AS cc, sum(a * r) AS ga, sum(b * r) AS gb, sum(k * r) AS gc FROM (
+    SELECT i, v0, gm, jam, n, 1 - e AS a, v0 * arm * e AS b, v0 * gm * e / (jam * jam) AS k, s - n * v0 * (1 - e) AS r FROM (SELECT it.*, n, s, 1 / d - 1 / jam AS arm, exp(-gm * (1 / d - 1 / jam)) AS e FROM it, c)) GROUP BY i, v0, gm, jam)) WHERE i < 25),
+  w AS (SELECT v0, gm, jam FROM it WHERE i = 25), t AS (SELECT sum(n) AS n, sum(q) AS q, sum(s) AS s FROM c), e AS (SELECT sum(q - 2 * g * s + n * g * g) AS sse FROM (SELECT c.*, v0 * (1 - exp(-gm * (1 / d - 1 / jam))) AS g FROM c, w))"""
 SQL = {
+    "q_curve_fit": f"WITH RECURSIVE {_curve} SELECT round(v0, 4) AS v0_fit, round(gm, 4) AS gamma_fit, round(jam, 4) AS rho_max_fit, round(1 - sse / (q - s * s / n), 4) AS r_squared, round(sqrt(sse / n), 4) AS rmse, n::BIGINT AS n_points FROM w, t, e",
+    "q_bootstrap": f"WITH {_runs}, s AS (SELECT variant_name, avg(travel) AS v FROM runs GROUP BY variant_name, seed), {_boot('s', 'variant_name').replace('range(1, 201)', 'range(1, 1001)')} SELECT variant_name, n, round(mean, 4) AS mean, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ci",
     "q_zone_transitions": f"WITH {_changes} SELECT run_id, agent_id, step, round(time_s, 6) AS time_s, zone_id, kind, round(dwell_s, 6) AS dwell_s FROM t",
     "q_bottleneck_rows": f"""WITH {_changes}, o AS (SELECT run_id, zone_id, step, count(*) AS occupancy, avg(speed) AS mean_speed, avg(local_density) AS mean_density FROM s WHERE zone_id IS NOT NULL GROUP BY ALL),
       g AS (SELECT run_id, zone_id, step, count(*) FILTER (kind = 'enter') AS inflow, count(*) FILTER (kind = 'exit') AS outflow, coalesce(sum(dwell_s), 0) AS ds, count(dwell_s) AS dn FROM t GROUP BY ALL),
