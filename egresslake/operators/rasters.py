@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from egresslake.functions.bounds import bounded
@@ -89,7 +89,7 @@ def strict_layout(features: DataFrame, cell: float = 1.0, padding: int = 1) -> t
     """(cells by floor, connectors) of features with levels (array) and properties (map).
 
     A feature is drawn on each of its levels and on those that its property repeat_on lists. A connector joins its two levels at its first point and
-    must have exactly two; z is the level's height property, else level times 3 m.
+    must have exactly two. Heights of floors: level_heights().
     """
     again = F.split(F.coalesce(F.col("properties")["repeat_on"], F.lit("")), r"\s*[,;]\s*")
     floors = F.array_distinct(F.filter(F.concat(F.transform("levels", lambda v: v.cast("string")), again), lambda v: v != ""))
@@ -111,6 +111,14 @@ def strict_layout(features: DataFrame, cell: float = 1.0, padding: int = 1) -> t
     return cells, at.select("feature_id", kind.alias("kind"), F.col("_l")[0].alias("from_floor"), F.col("_l")[1].alias("to_floor"), cx.alias("x"), cy.alias("y"))
 
 
+def level_heights(features: DataFrame, step: float = 3.0) -> DataFrame:
+    """(floor_id, z): the least height property of a level's features, else the level's number times `step`, else its rank times `step`."""
+    f = features.select(F.explode("levels").alias("floor_id"), F.col("properties")["height"].try_cast("double").alias("h"))
+    g = f.groupBy(F.col("floor_id").cast("string").alias("floor_id")).agg(F.min("h").alias("h"))
+    rank = F.row_number().over(Window.orderBy("floor_id")) - 1  # a building's floors
+    return g.withColumn("_r", rank).select("floor_id", F.coalesce("h", F.col("floor_id").try_cast("double") * step, F.col("_r") * step).alias("z"))
+
+
 def pathway_layout(pathways: DataFrame, cell: float = 1.0, padding: int = 2) -> tuple[DataFrame, DataFrame]:
     """(cells floor_id, x, y, token; connectors) of pathways as gtfs_pathways() reads them.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from egresslake.functions.nullsafe import clip, num, or_zero, ratio
+from egresslake.functions.nullsafe import clip, num, or_zero, ratio, truthy
 from egresslake.functions.text import attack_reasons
 from egresslake.operators.figures import calibration_score
 from egresslake.operators.trajectory import rolling_mean
@@ -138,6 +138,68 @@ def equity_bars(equity: DataFrame, tags: Sequence[str]) -> DataFrame:
     return equity.crossJoin(F.broadcast(some)).filter(shown | ~F.col("_some")).drop("_some")
 
 
+def generation_report(rows: DataFrame, keys: Sequence[str] = ("variant_name", "generation_provider", "generation_model")) -> DataFrame:
+    """Per keys (NULL a group of its own): events, recipients, cache and validation counts, distinct cache keys, fallbacks, mean confidence, how many different
+    exits were recommended and avoided, how often a congested exit was, and mean deltas of entropy and accuracy. Columns that are not there count 0.
+    """
+    have = set(rows.columns)
+
+    def col(c: str, kind: str = "string") -> Column:
+        return F.col(c) if c in have else F.lit(None).cast(kind)
+
+    def tokens(c: str) -> Column:
+        return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
+
+    def status(c: str, v: str) -> Column:
+        return F.count_if(col(c) == v)
+
+    fallback = F.coalesce(truthy(col("used_fallback")), F.lit(False))
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(num(col("recipients"))), F.lit(0.0)).cast("long").alias("recipients"), status("cache_status", "hit").alias("cache_hits"), status("cache_status", "miss").alias("cache_misses"),
+        status("cache_status", "disabled").alias("cache_disabled"), status("validation_status", "accepted").alias("accepted"), status("validation_status", "rejected").alias("rejected"), F.count_distinct(F.nullif(col("cache_key"), F.lit(""))).alias("unique_cache_keys"),
+        F.count_if(fallback).alias("fallback_events"), or_zero(F.avg(num(col("generated_confidence")))).alias("mean_generated_confidence"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(tokens("generated_recommended_exits"))))).cast("long").alias("recommendation_diversity"), F.size(F.array_distinct(F.flatten(F.collect_set(tokens("generated_avoid_exits"))))).cast("long").alias("avoidance_diversity"),
+        F.sum(F.size(F.filter(tokens("validation_reasons"), lambda t: F.startswith(t, F.lit("congested_recommendation"))))).alias("raw_congested_recommendations"),
+        F.avg(num(col("entropy_delta"))).alias("mean_entropy_delta"), F.avg(num(col("accuracy_delta"))).alias("mean_accuracy_delta"),
+    )
+    return out.orderBy(*keys[:2])
+
+
+def labelled_union(frames: Mapping[str, DataFrame], label: str = "series") -> DataFrame:
+    """All rows of named frames with their name; columns that one lacks are NULL."""
+    if not frames:
+        raise ValueError("no frames")
+    out: DataFrame | None = None
+    for name, df in frames.items():
+        df = df.withColumn(label, F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def hazard_config_issues(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
+    """(id, severity, code, source) of hazard lists in scenario documents (JSON): entries that are no mappings, and lists that are none."""
+    v = F.try_parse_json(payload)
+    d = rows.select(F.col(id_col), F.try_variant_get(v, "$.hazards", "variant").alias("h"))
+    kind = F.coalesce(F.schema_of_variant("h"), F.lit("VOID"))
+    items = F.coalesce(F.try_variant_get("h", "$", "array<variant>"), F.array().cast("array<variant>"))
+    bad = F.filter(F.transform(items, lambda x, i: F.when(F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)), F.lit(None).cast("string")).otherwise(F.concat(F.lit("hazards["), i.cast("string"), F.lit("]")))), lambda x: x.isNotNull())
+    found = F.when(kind == "VOID", F.array().cast("array<string>")).when(~kind.startswith("ARRAY"), F.array(F.lit("hazards"))).otherwise(bad)
+    return d.select(id_col, F.lit("error").alias("severity"), F.lit("invalid_hazard_config").alias("code"), F.explode(found).alias("source"))
+
+
+def floor_tokens(cells: DataFrame, tokens: Mapping[str, str], free: Sequence[str] = ("X",)) -> DataFrame:
+    """Per floor: width, height, cells, walkable (not one of `free`'s walls), and a count for each named token."""
+    return cells.groupBy("floor_id").agg(
+        (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("token").isin(*free)).alias("walkable"),
+        *[F.count_if(F.col("token") == t).alias(n) for n, t in tokens.items()],
+    )
+
+
+def issue_totals(issues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Findings by keys: all, errors and warnings, and how many kinds."""
+    return issues.groupBy(*keys).agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_distinct("code").alias("codes"))
+
+
 def prompt_payloads(requests: DataFrame, style: str = "prompt_style") -> DataFrame:
     """requests with payload: the JSON of the fields that the prompt's style keeps, fields in order; NULL fields are left out.
 

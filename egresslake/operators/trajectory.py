@@ -172,15 +172,29 @@ def dose(df: DataFrame, load: str, dt: str, keys: Sequence[str] = ("agent_id",),
     return df.withColumn("dose", F.sum(F.col(load) * F.col(dt)).over(w)).withColumn("peak", F.max(load).over(w))
 
 
+#: Changes since the sample before that make an agent look for a new way.
+VISIBILITY_DROP, FLOOD_RISE, HAZARD_RISE = 0.35, 0.2, 0.3
+
+
 def replan_reasons(df: DataFrame, keys: Sequence[str] = ("agent_id",), order: Sequence[str] = ("time_s",)) -> DataFrame:
-    """Adds reason: the first of visibility drop, flood rise, hazard rise, newer topology, since the sample before."""
+    """Adds reason, the first that holds: blocked_path, topology_changed, visibility_drop, flood_depth_rise, hazard_spike, belief_update; NULL for none.
+
+    Changes are since the agent's sample before (clear sight, no flood, no load before the first). Columns that are not there hold for nobody:
+    path_blocked; navigation_topology_revision (negative: none yet) and topology_revision; navigation_belief_step (negative: none yet) and belief_step;
+    visibility; flood_depth_m; hazard_load.
+    """
     w = per_agent(keys, order)
+    have = set(df.columns)
+
+    def change(c: str, first: float) -> Column:
+        return F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(first)) if c in have else F.lit(None).cast("double")
 
-    def change(c: str) -> Column:
-        return F.col(c) - F.lag(c).over(w)
+    def newer(now: str, seen: str) -> Column:
+        return (F.col(seen) >= 0) & (F.col(now) > F.col(seen)) if {now, seen} <= have else F.lit(False)
 
+    blocked = F.coalesce(F.col("path_blocked"), F.lit(False)) if "path_blocked" in have else F.lit(False)
     return df.withColumn(
         "reason",
-        F.when(change("visibility") <= -0.35, "visibility_drop").when(change("flood_depth_m") >= 0.2, "flood_rise")
-        .when(change("hazard_load") >= 0.3, "hazard_rise").when(change("topology_revision") > 0, "topology_changed"),
+        F.when(blocked, "blocked_path").when(newer("topology_revision", "navigation_topology_revision"), "topology_changed").when(-change("visibility", 1.0) >= VISIBILITY_DROP, "visibility_drop")
+        .when(change("flood_depth_m", 0.0) >= FLOOD_RISE, "flood_depth_rise").when(change("hazard_load", 0.0) >= HAZARD_RISE, "hazard_spike").when(newer("belief_step", "navigation_belief_step"), "belief_update"),
     )

@@ -13,10 +13,11 @@ from collections.abc import Iterator, Mapping, Sequence
 from fnmatch import fnmatch
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from egresslake.functions.text import decimal_comma
+from egresslake.operators.calibration import COUNTDOWN_MS
 
 #: Rows that a parser hands over at a time.
 ROWS = 5000
@@ -99,14 +100,38 @@ def task_fields(task: Column) -> dict[str, Column]:
 
 
 def choice_features(choices: DataFrame, task: str = "taskId") -> DataFrame:
-    """choices with the fields of their task and what speaks for the right way: wider, shorter, without stairs. Other tasks are left out."""
+    """choices with the fields of their task and what the right way has more of: width, shortness, stairs. Other tasks are left out."""
     d = choices.withColumns(task_fields(F.col(task))).filter("left_width_m is not null")
     return d.withColumns({
         "right_width_advantage_m": F.col("right_width_m") - F.col("left_width_m"), "right_shortness_advantage_m": F.col("left_length_m") - F.col("right_length_m"),
-        "right_stairs_advantage": F.col("left_stairs") - F.col("right_stairs"),
+        "right_stairs_advantage": F.col("right_stairs") - F.col("left_stairs"),
     })
 
 
+def route_observations(responses: DataFrame, confidence: DataFrame) -> DataFrame:
+    """Choices of corridors as calibration.route_choice_fit takes them: user_id, task_count, task_id, choice_right, the features, decision_time_ms, confidence.
+
+    responses: userId, taskId, taskCount, AOI, time (what was left of the countdown); confidence: userId, taskId, taskCount, confidence, line (of equal ones the last counts).
+    Training tasks, clicks beside the corridors, rows without a number of the task or a time, and tasks whose name does not tell its corridors are left out. The
+    choice before is 1 right, -1 left, 0 none; progress is the share of the greatest task number of all.
+    """
+    t, n = F.col("taskId"), F.col("taskCount").try_cast("double")
+    training = t.endswith("_tr") | t.contains("_tr_")
+    d = responses.withColumns({"_n": n, "time_remaining_ms": decimal_comma(F.col("time"))}).filter(F.col("AOI").isin("corridor_left", "corridor_right") & F.col("_n").isNotNull() & F.col("time_remaining_ms").isNotNull() & ~F.coalesce(training, F.lit(False)))
+    most = d.agg(F.greatest(F.max("_n"), F.lit(1.0)).alias("_most"))  # one row
+    d = choice_features(d).withColumn("choice_right", (F.col("AOI") == "corridor_right").cast("int"))
+    before = F.lag("choice_right").over(Window.partitionBy("userId").orderBy("_n", "taskId"))
+    d = d.withColumn("previous_choice_right", F.when(before == 1, 1.0).when(before == 0, -1.0).otherwise(0.0)).withColumn("task_count", F.col("_n").cast("int")).crossJoin(F.broadcast(most))
+    keys = ["user_id", "task_id", "task_count"]
+    c = confidence.select(F.col("userId").alias("user_id"), F.col("taskId").alias("task_id"), F.col("taskCount").try_cast("double").cast("int").alias("task_count"), F.col("confidence").try_cast("double").alias("confidence"), "line").filter("task_count is not null and confidence is not null")
+    c = c.groupBy(*keys).agg(F.max_by("confidence", "line").alias("confidence"))
+    d = d.select(
+        F.col("userId").alias("user_id"), F.col("taskId").alias("task_id"), "task_count", "choice_right", *[c for c in d.columns if c.startswith(("left_", "right_"))], "previous_choice_right",
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("task_count") / F.col("_most"))).alias("trial_progress"), "time_remaining_ms", F.greatest(F.lit(0.0), COUNTDOWN_MS - F.col("time_remaining_ms")).alias("decision_time_ms"),
+    )
+    return d.join(c, keys, "left")
+
+
 def decimal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with columns of numbers that may have a decimal comma as doubles; NULL where there is none."""
     return df.withColumns({c: decimal_comma(F.col(c)) for c in columns})

@@ -67,8 +67,9 @@ def policy_brief(rows: DataFrame, title: str, limit: int = 20) -> str:
 
 
 def store_records(df: DataFrame, root: str) -> None:
-    """Generation records as JSON, a folder per key, so that a reader prunes to the keys that it wants."""
-    df.write.mode("append").partitionBy("cache_key").json(root)
+    """Generation records as JSON lines, in at most 256 folders by the first digits of the key's hash, so that a reader prunes to the part that has a key."""
+    part = F.substring(F.sha2(F.coalesce(F.col("cache_key"), F.lit("")), 256), 1, 2)
+    df.withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").json(root)
 
 
 def submission_issues(payload: str, scenarios: list[str]) -> list[str]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from egresslake.functions.nullsafe import clip, num
 from egresslake.functions.scalars import METRES_PER_LAT_GTFS, METRES_PER_LAT_OSM, METRES_PER_LON
 from egresslake.functions.text import levels
+from egresslake.operators.submissions import hash_drift
 
 
 def required(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,7 +148,35 @@ def cache_records(spark: SparkSession, root: str) -> DataFrame:
 
     return df.select(
         "key", "provider", "model", F.col("validation.status").alias("validation_status"), F.array_join("validation.reasons", ";").alias("validation_reasons"),
-        either("input_tokens", "prompt_tokens").alias("input_tokens"), either("output_tokens", "completion_tokens").alias("output_tokens"), F.input_file_name().alias("source_file"),
+        either("input_tokens", "prompt_tokens").alias("input_tokens"), either("output_tokens", "completion_tokens").alias("output_tokens"), F.col("_metadata.file_path").alias("source_file"),
+    )
+
+
+def population_records(spark: SparkSession, root: str) -> DataFrame:
+    """Records of generated population calibrations below a folder; files without a calibration and its validation are left out.
+
+    cache_key (the file's name where the record has none), scenario_name, provider, model, validation_status, lists joined by ;, confidence, abstain, tokens by either usage name.
+    """
+    usage = "struct<input_tokens:long, prompt_tokens:long, output_tokens:long, completion_tokens:long>"
+    schema = (
+        "cache_key string, request struct<scenario_name:string, allowed_targets:array<string>>, validation struct<accepted:boolean, reasons:array<string>>, application struct<applied_targets:array<string>, skipped:array<string>>, "
+        f"calibration struct<provider:string, model:string, confidence:double, abstain:boolean, raw_response:struct<usage:{usage}, response:struct<usage:{usage}>>>"
+    )
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(root)
+    df = df.withColumn("path", F.col("_metadata.file_path")).filter("calibration is not null and validation is not null")
+
+    def either(a: str, b: str) -> Column:
+        own, inner = "calibration.raw_response.usage", "calibration.raw_response.response.usage"
+        first = F.when(F.col(own).isNotNull(), F.coalesce(F.nullif(F.col(f"{own}.{a}"), F.lit(0)), F.col(f"{own}.{b}")))
+        return F.coalesce(first, F.when(F.col(own).isNull(), F.coalesce(F.nullif(F.col(f"{inner}.{a}"), F.lit(0)), F.col(f"{inner}.{b}"))), F.lit(0)).cast("long")
+
+    def joined(c: str) -> Column:
+        return F.coalesce(F.array_join(c, ";"), F.lit(""))
+
+    return df.select(
+        F.coalesce("cache_key", F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("cache_key"), F.coalesce("request.scenario_name", F.lit("")).alias("scenario_name"), F.coalesce("calibration.provider", F.lit("")).alias("provider"), F.coalesce("calibration.model", F.lit("")).alias("model"),
+        F.when(F.col("validation.accepted"), "accepted").otherwise("rejected").alias("validation_status"), joined("validation.reasons").alias("validation_reasons"), F.coalesce("calibration.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("calibration.abstain", F.lit(False)).alias("abstain"),
+        joined("request.allowed_targets").alias("allowed_targets"), joined("application.applied_targets").alias("applied_targets"), joined("application.skipped").alias("skipped_overwrite_attempts"), either("input_tokens", "prompt_tokens").alias("input_tokens"), either("output_tokens", "completion_tokens").alias("output_tokens"), "path",
     )
 
 
@@ -188,9 +219,13 @@ def gtfs_pathways(spark: SparkSession, folder: str, level_height: float = 3.0) -
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a FeatureCollection: feature_id, properties, kind, coordinates (JSON), floor levels."""
-    schema = "type string, features array<struct<properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature_id", "f"))
+    """Features of a FeatureCollection, a Feature, or a bare geometry: feature_id, properties, kind, coordinates (JSON), floor levels."""
+    feature = "struct<properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
+    schema = f"type string, features array<{feature}>, properties map<string,string>, geometry struct<type:string, coordinates:string>, coordinates string"
+    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    one = F.struct(F.col("properties"), F.when(F.col("type") == "Feature", F.col("geometry")).otherwise(F.struct("type", "coordinates")).alias("geometry"))
+    every = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.array(one.cast(feature)))
+    f = d.select(F.posexplode(every).alias("feature_id", "f"))
     floor = F.coalesce(F.col("f.properties")["level"], F.col("f.properties")["level_id"], F.col("f.properties")["floor"], F.lit("0"))
     out = f.select("feature_id", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), levels(floor).alias("levels"))
     known = ("Polygon", "MultiPolygon", "LineString", "MultiLineString", "Point", "MultiPoint")
@@ -212,6 +247,15 @@ def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def hash_audit(spark: SparkSession, document: str, root: str) -> DataFrame:
+    """(path, documented, actual, status) of the files below root against the manifest lines `digest  path` of a document: same, changed, missing, undocumented."""
+    line = F.regexp_extract("value", r"^\s*([0-9a-f]{64})  (.+?)\s*$", 2)
+    told = spark.read.text(document).select(line.alias("path"), F.regexp_extract("value", r"^\s*([0-9a-f]{64})  ", 1).alias("sha256")).filter("path <> ''")
+    base = root.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/"
+    have = file_hashes(spark, root).withColumn("path", F.element_at(F.split("path", re.escape(base), 2), -1))
+    return hash_drift(told, have)
+
+
 def documented_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256) of manifest lines in a text file."""
     t = spark.read.text(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
+from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +60,31 @@ def viewer_frames(steps: DataFrame, max_frames: int = 500) -> DataFrame:
 def exploded_traces(df: DataFrame, trace: str = "trace") -> DataFrame:
     """One row per point of each agent's trace, with its index."""
     return df.select(*[c for c in df.columns if c != trace], F.posexplode(trace).alias("index", "p")).select("*", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).drop("p")
+
+
+def write_steps(steps: DataFrame, path: str, order: tuple[str, ...] = ("run_id", "step")) -> None:
+    """Steps as JSON lines in order; numbers that JSON cannot hold become null."""
+    cols = [finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in steps.dtypes]
+    steps.select(*cols).orderBy(*[c for c in order if c in steps.columns]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_document(df_or_spark: DataFrame | SparkSession, document: Mapping, path: str) -> None:
+    """A small document (a fit, a verdict) as one JSON file in a folder, keys sorted."""
+    spark = df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark
+    spark.createDataFrame([(json.dumps(document, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def export_comparison(rows: DataFrame, folder: str, base: str, variant: str) -> None:
+    """Comparison rows (metric, ...) as Parquet and CSV, and which studies they are of."""
+    rows.write.mode("overwrite").parquet(f"{folder}/comparison.parquet")
+    rows.orderBy("metric").write.mode("overwrite").option("header", True).csv(f"{folder}/comparison.csv")
+    write_document(rows, {"baseline": base, "variant": variant, "metrics": rows.count()}, f"{folder}/comparison.json")
+
+
+def write_flow_report(curves: DataFrame, folder: str, most: float = 0.25) -> dict:
+    """figures.flow_curve_error rows as CSV and the verdict: widths, rmse, whether it is at most `most`."""
+    curves.write.mode("overwrite").option("header", True).csv(f"{folder}/specific_flow_comparison.csv")
+    got = curves.agg(F.count(F.lit(1)).alias("n"), F.max("rmse").alias("rmse")).first()
+    verdict = {"widths": int(got["n"]), "rmse_specific_flow_ped_m_s": got["rmse"], "threshold": most, "ok": bool(got["n"]) and got["rmse"] <= most}
+    write_document(curves, verdict, f"{folder}/specific_flow_summary.json")
+    return verdict

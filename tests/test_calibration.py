@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from egresslake.operators import calibration, graph, ordered, statistics
 
-# Hourly riders of one station on one day, and its fit for 240 agents.
-RIDERS = "2828 1198 565 396 435 846 1410 2113 2843 3191 3729 4543 5178 5523 5857 5997"
+# Hourly riders of one station on one day, as published.
+RIDERS = "2828 1198 565 399 315 1838 3820 4584 5223 4984 4908 5484 5137 5737 5454 5997 5145 4784 4269 3833 4366 3884 3599 1780"
 
 
 def choices(n=900, users=53, seed=3):
@@ -84,6 +84,7 @@ def test_demand_profile(spark):
     left = np.array(riders) - counts * sum(riders) / 240
     m = {r.station: r for r in calibration.demand_metrics(got).collect()}["s"]
     assert (m.mae, m.rmse, m.max_abs) == pytest.approx((np.abs(left).mean(), np.sqrt((left**2).mean()), np.abs(left).max()))
+    assert (m.hours, m.observed_total, m.mae, m.rmse, by["s", 15].agents) == (24, 90131.0, pytest.approx(99.86006944444449), pytest.approx(112.59463320471644), 16)
     assert m.total_residual == pytest.approx(0, abs=1e-6) and m.agents_per_rider == pytest.approx(240 / sum(riders))
     with pytest.raises(ValueError):
         calibration.demand_profile(got, "station", "hour", "observed", 0)

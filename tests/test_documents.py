@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from egresslake.operators import fields, resampling, submissions
+from egresslake.operators import calibration, fields, resampling, submissions
 from egresslake.sources import archives, commits, references
 
 
@@ -116,11 +116,38 @@ def test_thousand_archives(spark, tmp_path):
     assert {r.extra for r in rows if r.line == 2} == {None} and len({r.userId for r in rows}) == 1000
     f = {r.line: r for r in archives.choice_features(df.filter("userId = 'u7'")).collect()}
     assert (f[1].left_width_m, f[1].right_width_m, f[1].left_length_m, f[1].right_length_m, f[1].left_stairs, f[1].right_stairs) == (4.0, 2.0, 10.0, 20.0, 0, 1)
-    assert (f[1].right_width_advantage_m, f[1].right_shortness_advantage_m, f[1].right_stairs_advantage, f[2].right_stairs_advantage) == (-2.0, -10.0, -1, 0)
+    assert (f[1].right_width_advantage_m, f[1].right_shortness_advantage_m, f[1].right_stairs_advantage, f[2].right_stairs_advantage) == (-2.0, -10.0, 1, 0)
     odd = spark.createDataFrame([("L-WS0_R-XX1",), (None,), ("",)], "taskId string")
     assert archives.choice_features(odd).count() == 0
 
 
+def test_route_observations_from_an_archive(spark, tmp_path):
+    """Choices as typed observations, and a fit on them."""
+    rng = random.Random(6)
+    lines, conf, want = ["userId,taskId,taskCount,AOI,time"], ["userId,taskId,taskCount,confidence"], {}
+    for u in range(40):
+        before = None
+        for n in range(1, 11):
+            task = f"{n}_L-{rng.choice('WNE')}{rng.choice('SML')}{rng.choice('01')}_R-{rng.choice('WNE')}{rng.choice('SML')}{rng.choice('01')}_v"
+            right = int(rng.random() < 0.5 + 0.3 * (task.split("_R-")[1][2] > task.split("_R-")[0][-1]) - 0.3 * (task.split("_R-")[1][2] < task.split("_R-")[0][-1]))
+            lines.append(f'u{u:02d},{task},{n},corridor_{"right" if right else "left"},"{1000 + n},5"')
+            want[f"u{u:02d}", n] = (task, right, 0.0 if before is None else 1.0 if before else -1.0)
+            before = right
+        conf += [f"u{u:02d},{want[f'u{u:02d}', 3][0]},3,{k}" for k in (1, 4)]
+    lines += ["u00,L-WS0_R-NL1_tr,11,corridor_left,5", "u00,L-WS0_R-NL1,x,corridor_left,5", "u00,L-WS0_R-NL1,11,floor,5", "u00,other,20,corridor_left,5", "u00,L-WS0_R-NL1,12,corridor_left,null"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("export/responses.csv", "\n".join(lines))
+        z.writestr("export/confidence.csv", "\n".join(conf))
+    responses = archives.archive_csv(spark, str(tmp_path), ["userId", "taskId", "taskCount", "AOI", "time"], "responses.csv")
+    got = archives.route_observations(responses, archives.archive_csv(spark, str(tmp_path), ["userId", "taskId", "taskCount", "confidence"], "confidence.csv"))
+    rows = {(r.user_id, r.task_count): r for r in got.collect()}
+    assert {k: (r.task_id, r.choice_right, r.previous_choice_right) for k, r in rows.items()} == want
+    assert all(r.trial_progress == r.task_count / 20 and r.decision_time_ms == 8000 - 1000.5 - r.task_count for r in rows.values())
+    assert {r.confidence for k, r in rows.items() if k[1] == 3} == {4.0} and {r.confidence for k, r in rows.items() if k[1] != 3} == {None}
+    fit = calibration.route_choice_fit(got)
+    assert fit["records"]["participants"] == 40 and fit["records"]["holdout_participants"] == 8 and fit["coefficients"]["right_stairs_advantage"] > 0.5 and set(fit["priors"]) == {"familiarity", "herding", "exit_affinity"}
+
+
 def test_what_is_no_archive_is_named(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
     with pytest.raises(Exception, match="bad.zip"):

@@ -125,3 +125,30 @@ def test_folds():
     held, out = cross(held, (1, 1, 0.5, -1.0, 1.0))
     assert out == [(1, 0.5, 1)]
     assert cross(held, (2, 2, 1.0, 1.0, 30.0))[1] == []
+
+
+def test_a_stream_that_is_killed_in_a_batch_goes_on(spark, tmp_path):
+    """The fold fails in the middle of the first batch that has ready rows; the next start does that batch again."""
+    rows, flag = rows_of(5), tmp_path / "killed"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, rows, folder)
+    put(spark, [("r9", 99, 1000, 5000.0, 0.0, 0.0, None)], folder)
+    path, whole = str(flag), ordered_state.membership(0.5)
+
+    def fold(held, row):
+        import os
+
+        if row[1] == 30 and not os.path.exists(path):
+            open(path, "w").close()
+            raise RuntimeError("killed")
+        return whole(held, row)
+
+    def start():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+        made = ordered_state.in_order(stream, ["run_id", "agent_id"], ["time_s", "zone_id"], "zone string, entry long", "step long, time_s double, zone_id string, kind string, dwell_s double", fold, "1 second")
+        return ordered_state.finished(made, out, "zones")
+
+    with pytest.raises(Exception, match="killed"):
+        start()
+    assert flag.exists()
+    assert key(start().collect()) == key(zones.zone_transitions(frame(spark, rows), 0.5).collect())

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from egresslake.operators import comparison, reports
+from egresslake.operators import comparison, plausibility, reports
 
 
 def test_intents_sum_and_keep_missing_keys(spark):
@@ -91,3 +91,35 @@ def test_profiles_timings_and_congestion(spark, tmp_path):
     assert "| a | 42 | 1.000 s | 1.500 s | 50.000 % | regression |" in text and "| b | 42 | n/a |" in text and text.endswith("1 of 2 over 10%")
     flows = spark.createDataFrame([("g", "a", 5), ("g", "b", 5), ("g", "c", 0), ("z", "a", 0)], "g string, e string, n int")
     assert {(r.g, r.e): r.congested for r in reports.congestion_share(flows, ["g"], "n").collect()} == {("g", "a"): True, ("g", "b"): True, ("g", "c"): False, ("z", "a"): False}
+
+
+def metrics(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.run_id, {})[r.metric] = r.value
+    return out
+
+
+def test_plausibility_maps(spark):
+    hazards = spark.createDataFrame([("r", True, 2.0, 0.5, 3.0, 4.0, None), ("r", False, 5.0, 0.9, 99.0, 0.1, 9.0), ("q", None, None, None, None, None, None)], "run_id string, imported boolean, radius double, severity double, max_gas_concentration double, min_visibility_m double, max_obscuration_percent_m double")
+    steps = spark.createDataFrame([("r", 1.0, 2.0), ("r", 3.0, None)], "run_id string, hazard_load double, hazard_exposure double")
+    agents = spark.createDataFrame([("r", 50.0, 50.0), ("z", 7.0, 1.0)], "run_id string, hazard_load double, hazard_exposure double")
+    got = metrics(plausibility.hazard_metrics(hazards, steps, agents))
+    assert got["r"] == {
+        "hazard_count": 2, "imported_hazard_count": 1, "stylized_hazard_count": 1, "max_hazard_radius_m": 5, "max_hazard_severity": 0.9, "max_imported_gas_concentration": 3, "min_imported_visibility_m": 4, "max_obscuration_percent_m": 0,
+        "mean_agent_hazard_load": 2, "max_agent_hazard_load": 3, "mean_agent_hazard_exposure": 1, "max_agent_hazard_exposure": 2,
+    }
+    assert got["q"]["stylized_hazard_count"] == 1 and got["q"]["max_agent_hazard_load"] == 0 and got["z"]["mean_agent_hazard_load"] == 7 and got["z"]["hazard_count"] == 0
+    connectors = spark.createDataFrame([("r", 1, "Elevator"), ("r", 2, "stairs"), ("r", 3, None), ("q", 9, "walkway")], "run_id string, connector_id int, type string")
+    usage = spark.createDataFrame([("r", "1", 4), ("r", "1", 1), ("r", "2", 7), ("r", "3", 90)], "run_id string, connector_id string, used int")
+    queue = spark.createDataFrame([("r", 1, 3, 0.5), ("r", 2, 8, 2.0), ("s", 5, 1, None)], "run_id string, connector_id int, queue_length int, capacity_used double")
+    got = metrics(plausibility.transport_metrics(connectors, usage, queue))
+    assert got["r"] == {"connector_count": 3, "vertical_connector_count": 2, "elevator_count": 1, "vertical_connector_usage": 12, "elevator_usage": 5, "max_connector_queue_length": 8, "max_connector_capacity_used": 2, "max_elevator_queue_length": 3, "max_elevator_capacity_used": 0.5}
+    assert got["q"]["connector_count"] == 1 and got["q"]["max_connector_queue_length"] == 0 and got["s"]["max_connector_queue_length"] == 1
+    one = spark.createDataFrame([("r",)], "run_id string")
+    events = spark.createDataFrame([("r", 3, 0.5), ("r", None, 1.5)], "run_id string, recipients int, credibility double")
+    calls = spark.createDataFrame([("r", "accepted", "hit", "budget_guard", "true"), ("r", "rejected", "budget_exceeded", None, None), ("q", None, "miss", None, "no")], "run_id string, validation_status string, cache_status string, provider string, used_fallback string")
+    decisions = spark.createDataFrame([("r", "accepted", True)], "run_id string, validation_status string, used_fallback boolean")
+    got = metrics(plausibility.hostile_metrics(one, events, calls, decisions))
+    assert (got["r"]["hostile_channel_recipients"], got["r"]["mean_hostile_credibility"], got["r"]["llm_budget_blocked_count"], got["r"]["llm_fallback_count"], got["r"]["agent_llm_fallback_count"], got["q"]["llm_cache_miss_count"], got["q"]["hostile_channel_count"]) == (3, 1.0, 2, 1, 1, 1, 0)
+    assert metrics(plausibility.hostile_metrics(one.limit(0), events.limit(0), calls.limit(0), decisions.limit(0))) == {}
