@@ -94,7 +94,8 @@ def _(spark, a):
 @command("export", "path", "format", "out")
 def _(spark, a):
     writers = {"jupedsim": sinks.write_jupedsim, "vadere": sinks.write_vadere, "pedpy": sinks.write_pedpy, "sqlite": sinks.write_sqlite}
-    writers[a.format](files.trajectory_table(spark, a.path), a.out)
+    df = files.trajectory_table(spark, a.path)
+    writers[a.format](sinks.external_frame(df) if a.format == "sqlite" else df, a.out)
 
 
 @command("cache", "root")

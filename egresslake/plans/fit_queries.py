@@ -73,7 +73,8 @@ def q_demand_profile(spark, sf_dir):
 
 
 def q_demand_metrics(spark, sf_dir):
-    return rounded(C.demand_metrics(C.demand_profile(demand(spark, sf_dir), "station", "hour", "riders", 240)), 4)
+    m = rounded(C.demand_metrics(C.demand_profile(demand(spark, sf_dir), "station", "hour", "riders", 240)), 4)
+    return m.withColumn("total_residual", F.col("total_residual") + 0.0)  # no negative zero
 
 
 def q_bootstrap_ci(spark, sf_dir):
@@ -174,7 +175,7 @@ SQL = {
         round(avg(y * ln(p) + (1 - y) * ln(1 - p) - y * ln(rate) - (1 - y) * ln(1 - rate)) FILTER (test), 5) AS test_log_loss_improvement, round(any_value(w0), 5) AS intercept, round(any_value(w1), 5) AS price, round(any_value(mu), 5) AS mean, round(any_value(sd), 5) AS scale FROM q""",
     "q_demand_profile": f"WITH {_demand} SELECT station, hour, round(observed, 5) AS observed, round(raw_agents, 5) AS raw_agents, agents, round(predicted, 5) AS predicted, round(residual, 5) AS residual, release_step FROM profile",
     "q_demand_metrics": f"""WITH {_demand} SELECT station, count(*) AS hours, round(sum(observed), 4) AS observed_total, round(sum(agents) / sum(observed), 4) AS agents_per_rider, round(avg(abs(residual)), 4) AS mae, round(sqrt(avg(residual * residual)), 4) AS rmse,
-      round(max(abs(residual)), 4) AS max_abs, round(sum(residual), 4) AS total_residual FROM profile GROUP BY station""",
+      round(max(abs(residual)), 4) AS max_abs, round(sum(residual), 4) + 0.0 AS total_residual FROM profile GROUP BY station""",
     "q_bootstrap_ci": f"WITH {_runs}, s AS (SELECT variant_name, avg(travel) AS v FROM runs GROUP BY variant_name, seed), {_boot('s', 'variant_name')} SELECT variant_name, n, round(mean, 4) AS mean, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ci",
     "q_paired_ci": f"""WITH {_runs}, s AS (SELECT status, avg(travel) FILTER (variant_name = '1-URGENT') - avg(travel) FILTER (variant_name = '5-LOW') AS v FROM runs GROUP BY status, seed), {_boot('s', 'status')}
       SELECT status, n, round(mean, 4) AS mean, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM ci""",
