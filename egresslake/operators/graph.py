@@ -1,35 +1,17 @@
-"""Grids as graphs: reachability, shortest paths, corridor zones, by joins of frontiers until nothing changes.
+"""Grids as graphs: reachability, shortest paths, corridor zones.
 
-Each round joins only the frontier with edges. Lineage is cut every round with checkpoint().
+Searches go by tiles (tiles.py); components by star steps. Lineage is cut every round with checkpoint().
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Rounds after which a growing table is written anew.
-EVERY = 10
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is spark.checkpoint.dir, or one of this process in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        if not found:
-            found = tempfile.mkdtemp(prefix="egresslake-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-        sc.setCheckpointDir(found)
-    return df.checkpoint()
+from egresslake.operators.checkpoints import cut
+from egresslake.operators.tiles import code_x, code_y, relaxed
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
@@ -65,35 +47,21 @@ def edges(cells: DataFrame, connectors: DataFrame | None = None) -> DataFrame:
 
 def reachable(edge: DataFrame, sources: DataFrame) -> DataFrame:
     """(x, y, hops) for all cells that edges lead to from the sources (x, y): breadth-first, any number of sources."""
-    edge = cut(edge.select("sx", "sy", "tx", "ty"))
-    front = cut(sources.select("x", "y").distinct().withColumn("hops", F.lit(0)))
-    seen, hops = front, 0
-    while True:
-        hops += 1
-        nxt = front.withColumnsRenamed({"x": "sx", "y": "sy"}).join(edge, ["sx", "sy"]).select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct()
-        front = cut(nxt.join(seen, ["x", "y"], "left_anti").withColumn("hops", F.lit(hops)))
-        if not front.limit(1).count():
-            return seen
-        seen = seen.unionByName(front)  # of checkpointed frontiers; itself written anew every EVERY rounds only
-        seen = cut(seen) if hops % EVERY == 0 else seen
+    return hop_tree(edge, sources).select("x", "y", "hops")
+
+
+def hop_tree(edge: DataFrame, sources: DataFrame) -> DataFrame:
+    """reachable() with px, py: the cell before each (the least of several); NULL for sources."""
+    found = relaxed(edge.select("sx", "sy", "tx", "ty"), sources.select(F.lit(0).alias("start_id"), "x", "y"))
+    return found.select("x", "y", F.col("cost").cast("int").alias("hops"), code_x(F.col("before")).alias("px"), code_y(F.col("before")).alias("py"))
 
 
 def shortest(edge: DataFrame, goals: DataFrame) -> DataFrame:
-    """(x, y, cost, nx, ny): least cost to any goal and the next cell on the way (least of equal ones), by relaxation."""
-    edge = cut(edge)
-    best = cut(goals.select("x", "y").distinct().withColumn("cost", F.lit(0.0)))
-    front = best
-    while True:
-        back = front.withColumnsRenamed({"x": "tx", "y": "ty"}).join(edge, ["tx", "ty"]).groupBy(F.col("sx").alias("x"), F.col("sy").alias("y")).agg(F.min(F.col("cost") + F.col("weight")).alias("cost"))
-        known = best.withColumnRenamed("cost", "_old")
-        front = cut(back.join(known, ["x", "y"], "left").filter(F.col("_old").isNull() | (F.col("cost") < F.col("_old") - 1e-12)).drop("_old"))
-        if not front.limit(1).count():
-            break
-        best = cut(best.unionByName(front).groupBy("x", "y").agg(F.min("cost").alias("cost")))
-    step = edge.join(best.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("cost").alias("_c")), ["tx", "ty"])
-    way = step.groupBy(F.col("sx").alias("x"), F.col("sy").alias("y")).agg(F.min(F.struct((F.col("_c") + F.col("weight")).alias("c"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))).alias("n"))
-    done = F.col("cost") == 0
-    return best.join(way, ["x", "y"], "left").select("x", "y", "cost", F.when(~done, F.col("n.nx")).alias("nx"), F.when(~done, F.col("n.ny")).alias("ny"))
+    """(x, y, cost, nx, ny): least cost to any goal and the next cell on the way (least of equal ones), by relaxation from the goals back."""
+    back = edge.select(F.col("tx").alias("sx"), F.col("ty").alias("sy"), F.col("sx").alias("tx"), F.col("sy").alias("ty"), "weight")
+    found = relaxed(back, goals.select(F.lit(0).alias("start_id"), "x", "y"))
+    nxt = F.when(F.col("cost") != 0, F.col("before"))
+    return found.select("x", "y", "cost", code_x(nxt).alias("nx"), code_y(nxt).alias("ny"))
 
 
 def corridor_cells(cells: DataFrame, exits: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from egresslake.functions.bounds import bounded
-from egresslake.operators.graph import cut, reachable, shortest
+from egresslake.operators.checkpoints import cut
+from egresslake.operators.graph import hop_tree, reachable, shortest
+from egresslake.operators.tiles import relaxed, walked
 
 
 def reach_tree(edge: DataFrame, sources: DataFrame) -> DataFrame:
@@ -17,60 +19,29 @@ def reach_tree(edge: DataFrame, sources: DataFrame) -> DataFrame:
 
     edge leads from a source outwards; on a grid that is the same as inwards.
     """
-    seen = cut(reachable(edge, sources))
-    before = edge.join(seen.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("hops").alias("_h")), ["sx", "sy"])
-    parent = before.select(F.col("tx").alias("x"), F.col("ty").alias("y"), "sx", "sy", "_h").join(seen, ["x", "y"]).filter("_h = hops - 1")
-    parent = parent.groupBy("x", "y").agg(F.min(F.struct("sx", "sy")).alias("p")).select("x", "y", F.col("p.sx").alias("px"), F.col("p.sy").alias("py"))
-    return seen.join(parent, ["x", "y"], "left")
+    return hop_tree(edge, sources)
 
 
-def followed(next_cell: DataFrame, starts: DataFrame, every: int = 8) -> DataFrame:
+def followed(next_cell: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_id, place, x, y): the cells from each start on, by next_cell (x, y, nx, ny; NULL at the end), the start first.
 
-    All starts take a step in one join; lineage is cut every few steps. Cycles are an error of the caller's table.
+    All starts go on tile by tile. Cycles are an error of the caller's table.
     """
-    nxt = cut(next_cell.select("x", "y", "nx", "ny"))
-    front = cut(starts.select("start_id", F.lit(0).alias("place"), "x", "y").join(nxt.select("x", "y"), ["x", "y"], "left_semi"))
-    out, step = front, 0
-    while True:
-        step += 1
-        front = cut(front.join(nxt.filter("nx is not null"), ["x", "y"]).select("start_id", F.lit(step).alias("place"), F.col("nx").alias("x"), F.col("ny").alias("y")))
-        if not front.limit(1).count():
-            return out.select("start_id", "place", "x", "y")
-        out = out.unionByName(front)
-        out = cut(out) if step % every == 0 else out
+    return walked(next_cell, starts)
 
 
 def unreachable(cells: DataFrame, seen: DataFrame) -> DataFrame:
     return cells.filter("walkable").select("x", "y").join(seen, ["x", "y"], "left_anti")
 
 
-def lower_bound(goals: DataFrame) -> tuple[DataFrame, Column]:
-    """(one row with all goals, Manhattan distance from (x, y) to the nearest of them): never over the cost where each step costs 1 or more."""
-    one = bounded(goals.select("x", "y").distinct()).agg(F.collect_list(F.struct(F.col("x").alias("gx"), F.col("y").alias("gy"))).alias("_goals"))
-    return one, F.array_min(F.transform("_goals", lambda g: F.abs(g["gx"] - F.col("x")) + F.abs(g["gy"] - F.col("y")))).cast("double")
-
-
 def astar(edge: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
     """(start_id, gx, gy, cost) of each start that reaches a goal: least cost, then least goal.
 
-    A frontier of all starts is relaxed together; a cell is dropped as soon as its cost and the lower bound of what is left are over the best
-    cost that its start has found. Edges must cost 1 or more.
+    All starts are searched together, tile by tile; a cell is dropped as soon as its cost and the lower bound of what is left (Manhattan
+    distance to a goal of its tile or out of the tile) are over the best cost that its start has found. Edges must cost 1 or more.
     """
-    edge, goal = cut(edge), goals.select("x", "y", F.lit(True).alias("_goal")).distinct()
-    one, bound = lower_bound(goals)
-    front = cut(starts.select("start_id", "x", "y", F.lit(0.0).alias("cost")))
-    best = front
-    while True:
-        found = best.join(goal, ["x", "y"]).groupBy("start_id").agg(F.min("cost").alias("_found"))
-        ahead = front.withColumnsRenamed({"x": "sx", "y": "sy"}).join(edge, ["sx", "sy"]).groupBy("start_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.min(F.col("cost") + F.col("weight")).alias("cost"))
-        ahead = ahead.crossJoin(F.broadcast(one)).withColumn("_h", bound).drop("_goals").join(found, "start_id", "left").filter(F.col("_found").isNull() | (F.col("cost") + F.col("_h") < F.col("_found") - 1e-12))
-        ahead = ahead.join(best.withColumnRenamed("cost", "_old"), ["start_id", "x", "y"], "left").filter(F.col("_old").isNull() | (F.col("cost") < F.col("_old") - 1e-12))
-        front = cut(ahead.filter(F.col("cost") < float("inf")).select("start_id", "x", "y", "cost"))
-        if not front.limit(1).count():
-            break
-        best = cut(best.unionByName(front).groupBy("start_id", "x", "y").agg(F.min("cost").alias("cost")))
-    end = best.join(goal, ["x", "y"]).groupBy("start_id").agg(F.min(F.struct("cost", F.col("x").alias("gx"), F.col("y").alias("gy"))).alias("b"))
+    end = relaxed(edge, starts, goals).join(goals.select("x", "y").distinct(), ["x", "y"])
+    end = end.groupBy("start_id").agg(F.min(F.struct("cost", F.col("x").alias("gx"), F.col("y").alias("gy"))).alias("b"))
     return end.select("start_id", "b.gx", "b.gy", "b.cost")
 
 
@@ -88,6 +59,12 @@ def _by_hops(edge: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
 STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {"shortest": _by_shortest, "astar": lambda e, s, g: astar(e, s, g).select("start_id", "cost"), "hops": _by_hops}
 
 
+def cells_signature(cells: DataFrame) -> tuple:
+    """Equal for equal sets of cells (x, y), in any order: their number, and sum and XOR of 64-bit hashes."""
+    h = F.xxhash64(F.col("x").cast("long"), F.col("y").cast("long"))
+    return tuple(cells.select("x", "y").distinct().agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 class Planner:
     """Costs of routes by a named strategy; starts that it finds no way for are asked of `fallback`.
 
@@ -101,7 +78,7 @@ class Planner:
 
     def costs(self, edge: DataFrame, starts: DataFrame, goals: DataFrame, signature: str = "") -> DataFrame:
         """(start_id, cost, strategy)."""
-        key = (self.strategy, signature, edge.semanticHash(), *sorted(map(tuple, bounded(goals.select("x", "y").distinct()).collect())), starts.semanticHash())
+        key = (self.strategy, signature, edge.semanticHash(), *cells_signature(goals), starts.semanticHash())
         self.counts["asked"] += 1
         if key in self._kept:
             self.counts["kept"] += 1
