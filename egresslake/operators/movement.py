@@ -357,16 +357,26 @@ def _in_reach(agents: DataFrame, others: DataFrame, ox: str, oy: str, reach: flo
 def social_force_step(agents: DataFrame, walls: DataFrame | None = None, dt: float = 0.1, p: Forces = Forces(), counter_flow: bool = False) -> DataFrame:
     """(agent_id, dx, dy, vx, vy): displacement and velocity after a step under drive, neighbours and walls, speed clamped.
 
-    agents: agent_id, x, y, vx, vy, dvx, dvy (desired velocity); walls: wx, wy.
+    agents: agent_id (which tells them apart), x, y, vx, vy, dvx, dvy (desired velocity); walls: wx, wy. Agents of one state are under one
+    force, and neighbours of one place and velocity put it on them as often as there are of them: only states meet.
     """
-    n = agents.select(F.col("agent_id").alias("_other"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("vx").alias("nvx"), F.col("vy").alias("nvy"))
+    state = ["x", "y", "vx", "vy", "dvx", "dvy"]
+    states = agents.select(*state).distinct()
+    n = agents.groupBy(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("vx").alias("nvx"), F.col("vy").alias("nvy")).agg(F.count(F.lit(1)).alias("_n"))
     fx, fy = neighbour_force(p, counter_flow)
-    j = _in_reach(agents, n, "nx", "ny", p.agent_interaction_radius_m).filter("agent_id <> _other").select("agent_id", fx.alias("fx"), fy.alias("fy"))
+    own = F.lit(True)
+    for c in ("x", "y", "vx", "vy"):
+        own = own & F.col(c).eqNullSafe(F.col(f"n{c}"))
+    others = F.col("_n") - own.cast("int")
+    j = _in_reach(states, n, "nx", "ny", p.agent_interaction_radius_m).filter(others > 0).select(*state, (fx * others).alias("fx"), (fy * others).alias("fy"))
     if walls is not None:
         wx, wy = wall_force(p)
-        j = j.unionByName(_in_reach(agents, walls.select("wx", "wy"), "wx", "wy", p.wall_interaction_radius_m).select("agent_id", wx.alias("fx"), wy.alias("fy")))
-    f = j.groupBy("agent_id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    a = agents.join(f, "agent_id", "left")
+        j = j.unionByName(_in_reach(states, walls.select("wx", "wy"), "wx", "wy", p.wall_interaction_radius_m).select(*state, wx.alias("fx"), wy.alias("fy")))
+    f = j.groupBy(*[F.col(c).alias(f"_s{c}") for c in state]).agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    same = F.lit(True)
+    for c in state:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+    a = agents.join(f, same, "left").drop(*[f"_s{c}" for c in state])
 
     def new(v: str, want: str, force: str) -> Column:
         return F.col(v) + ((F.col(want) - F.col(v)) / p.relaxation_time_s + or_zero(F.col(force))) * dt
