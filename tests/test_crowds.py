@@ -54,3 +54,21 @@ def test_force_in_a_crowd_of_few_states(spark):
     many = movement.social_force_step(a, None, 0.1, p).filter("agent_id = 0").first()
     drive = 0.1 / p.relaxation_time_s
     assert many.vx - drive == pytest.approx((few.vx - drive) * (N - 1)) and few.vx != drive
+
+
+def test_near_pairs_of_crowded_places(spark, sf, tmp_path):
+    """Events of one place are members of it; pairs of places stand for all their pairs."""
+    from egresslake.plans import structure_queries, views
+
+    e = spark.read.parquet(f"{sf}/events.parquet").filter("event_id < 60")
+    e.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(*[(F.col("event_id") + F.col("i") * 101 * 97).alias(c) if c == "event_id" else F.lit('{"k": 1}').alias(c) if c == "props" else c for c in e.columns]).write.parquet(f"{tmp_path}/events.parquet")
+    t = {r.event_id: (r.x, r.y) for r in views.traj(spark, str(tmp_path)).collect()}
+    rows = structure_queries.q_proximity_pairs(spark, str(tmp_path)).collect()
+    member = {i: {i} for i in t}
+    for r in rows:
+        if not r.distance:
+            member[r.a].add(r.b)
+            del member[r.b]
+    found = {(min(i, j), max(i, j)) for r in rows if r.distance for i in member[r.a] for j in member[r.b]}
+    want = {(i, j) for i in t for j in t if i < j and 1e-6 < ((t[i][0] - t[j][0]) ** 2 + (t[i][1] - t[j][1]) ** 2) ** 0.5 <= 0.5}
+    assert found == want and want and len(rows) == sum(1 for r in rows if r.distance) + len(t) - 60
