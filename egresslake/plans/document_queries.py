@@ -16,9 +16,13 @@ HASHES = {k: S.content_hash(s.document()) for k, s in S.suites().items()}
 
 
 def raster(spark, sf_dir):
-    """A raster of 9 by 9 cells: mean discounts and taxes of line items by part and supplier; some values are missing."""
+    """A raster of 9 by 9 cells: mean discounts and taxes of line items by part and supplier; some values are missing.
+
+    Means are taken of whole hundredths and rounded half up to six digits, so they do not depend on the order of the sums.
+    """
     li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy((F.col("l_partkey") % 9).cast("int").alias("ix"), (F.col("l_suppkey") % 9).cast("int").alias("iy")).agg(F.round(F.avg("l_discount"), 6).alias("d"), F.round(F.avg("l_tax"), 6).alias("t"))
+    mean = {n: F.avg(F.col(c).cast("decimal(12,2)")).cast("decimal(16,6)").cast("double").alias(n) for n, c in (("d", "l_discount"), ("t", "l_tax"))}
+    g = li.groupBy((F.col("l_partkey") % 9).cast("int").alias("ix"), (F.col("l_suppkey") % 9).cast("int").alias("iy")).agg(mean["d"], mean["t"])
     odd = (F.col("ix") + F.col("iy")) % 5 == 0
     return g.select("ix", "iy", (F.col("d") * 10).alias("intensity"), (1 - F.col("d") * 8).alias("visibility"), F.when(~odd, F.col("t") * 200).alias("visibility_m"), F.col("t").alias("gas_concentration"), (F.col("d") * 3).alias("obscuration"))
 
@@ -97,7 +101,8 @@ def q_station_issues(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (q_field_samples, q_field_edges, q_route_penalty, q_submission_issues, q_hash_drift, q_attribute_columns, q_natural_join, q_station_issues)}
 
 # fmt: off
-_raster = """r AS (SELECT l_partkey % 9 AS ix, l_suppkey % 9 AS iy, round(avg(l_discount), 6) AS d, round(avg(l_tax), 6) AS t FROM lineitem GROUP BY 1, 2)"""
+_mean = lambda c: f"((20000 * sum(round({c} * 100)::BIGINT) + count({c})) // (2 * nullif(count({c}), 0)))::DOUBLE / 1000000"  # noqa: E731 - of hundredths, half up
+_raster = f"""r AS (SELECT l_partkey % 9 AS ix, l_suppkey % 9 AS iy, {_mean('l_discount')} AS d, {_mean('l_tax')} AS t FROM lineitem GROUP BY 1, 2)"""
 _values = """coalesce(d * 10 * f, 0) AS intensity, CASE WHEN d IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - (1 - greatest(0.0, least(1.0, 1 - d * 8))) * f)) END AS visibility, coalesce(t * f, 0) AS gas_concentration, coalesce(d * 3 * f, 0) AS obscuration,
   CASE WHEN (ix + iy) % 5 <> 0 THEN greatest(0.0, least(30.0, 30 - (30 - greatest(0.0, least(30.0, t * 200))) * f)) END AS vm"""
 _samples = f"""{TRAJ_SQL}, {_raster}, p AS (SELECT event_id, x, y, k / 4.0::DOUBLE AS z, floor((x - 1.0) / 0.8::DOUBLE)::INT AS ix, floor((y - 1.0) / 0.8::DOUBLE)::INT AS iy FROM traj),
@@ -108,7 +113,7 @@ SQL = {
     "q_field_samples": f"WITH {_samples} SELECT event_id, x, y, z, {_rounded} FROM s",
     "q_field_edges": f"""WITH {TRAJ_SQL}, {_raster}, p AS (SELECT event_id, x, y, {_at('x', X_EDGES)} AS ix, {_at('y', Y_EDGES)} AS iy FROM traj), s AS (SELECT event_id, x, y, {_values} FROM (SELECT p.*, d, t, 1.0::DOUBLE AS f FROM p LEFT JOIN r USING (ix, iy)))
       SELECT event_id, x, y, {_rounded} FROM s""",
-    "q_route_penalty": f"""WITH {_samples} SELECT event_id, round(CASE WHEN event_id % 11 = 0 THEN 'Infinity'::DOUBLE ELSE 1.2371::DOUBLE * (intensity + obscuration + CASE WHEN z <= 0 THEN 0 ELSE (z / 5) / 0.3::DOUBLE + CASE WHEN z / 5 >= 0.9 THEN 10 ELSE 0 END END) END, 5) AS penalty FROM s""",
+    "q_route_penalty": f"""WITH {_samples} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'Infinity'::DOUBLE ELSE round((1.2371::DOUBLE * (intensity + obscuration + CASE WHEN z <= 0 THEN 0 ELSE (z / 5) / 0.3::DOUBLE + CASE WHEN z / 5 >= 0.9 THEN 10 ELSE 0 END END))::VARCHAR::DECIMAL(38, 20), 5)::DOUBLE END AS penalty FROM s""",
     "q_submission_issues": f"""WITH c AS (SELECT c_custkey AS submission_id, c_custkey AS k FROM customer), g AS (SELECT * FROM c WHERE k % 17 <> 0)
       SELECT submission_id, '$' AS path, 'submission must be a JSON object' AS message FROM c WHERE k % 17 = 0
       UNION ALL SELECT submission_id, '$.suite', 'must be one of v1, v2, v3' FROM g WHERE k % 13 = 0
