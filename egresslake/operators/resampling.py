@@ -1,29 +1,58 @@
-"""Bootstrap intervals by hashed draws: no group is ever in one task, and reruns give the same numbers.
+"""Bootstrap intervals by seeded draws: no group is ever in one task, no draw is shuffled, and reruns give the same numbers.
 
-A group's values are numbered from 0 in ascending order. Draw j of replicate b is the value whose number is a hash of (seed, b, j) modulo the
-group's size; all groups use the same hashes. So replicates are exact resamples with replacement for groups of any size. Draws are made
-where the values are, meet their values in a join on numbers, and are summed per replicate before the shuffle.
+A group's values are numbered from 0 in ascending order. In groups of up to FEW values, draw j of replicate b is the value whose number is a
+hash of (seed, b, j) modulo the group's size. Larger groups are dealt to blocks of BLOCK values. How many of a replicate's n draws fall into a
+block is told by halving: a binomial draw, seeded by seed, n and the range of blocks, says how many fall into the lower half of a range, so each
+block finds its own count by itself, and all counts of a replicate add up to n. A block makes its draws and gives one sum per replicate. Both are
+exact resamples with replacement; groups of equal size have the same draws.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from egresslake.functions.nullsafe import num, or_zero
 from egresslake.operators.graph import cut, numbered
 
 SEED, SAMPLES, LEVEL = 42, 1000, 0.95
+#: Sizes of groups that are drawn by hashes, and of the blocks of larger ones.
+FEW, BLOCK = 1024, 1 << 14
+#: Blocks that a task holds at a time.
+BATCH = 128
 #: Seeds from which a leaderboard entry is official.
 OFFICIAL_SEEDS = 20
 
 
-def draw(replicate: Column, j: Column, n: Column, seed: int = SEED) -> Column:
-    """A number from 0 to n - 1: the first 32 bits of an MD5 hash, modulo n."""
-    text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), j.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+@lru_cache(maxsize=4)
+def _hashes(samples: int, size: int, seed: int) -> np.ndarray:
+    """The first 32 bits of MD5 of seed:replicate:draw, for replicates from 1 and draws from 0."""
+    raw = b"".join(hashlib.md5(f"{seed}:{b}:{j}".encode()).digest()[:4] for b in range(1, samples + 1) for j in range(size))
+    return np.frombuffer(raw, ">u4").astype(np.int64).reshape(samples, size)
+
+
+def _share(n: int, block: int, samples: int, seed: int) -> np.ndarray:
+    """How many of each replicate's n draws fall into a block."""
+    low, high, many = 0, -(-n // BLOCK), np.full(samples, n)
+    while high - low > 1:
+        mid = (low + high) // 2
+        below = np.random.default_rng([seed % (1 << 32), n, low, high]).binomial(many, (mid - low) * BLOCK / (min(high * BLOCK, n) - low * BLOCK))
+        low, high, many = (low, mid, below) if block < mid else (mid, high, many - below)
+    return many
+
+
+def _sums(values: np.ndarray, n: int, block: int, samples: int, seed: int) -> np.ndarray:
+    """Per replicate the sum of the values that it draws from a block."""
+    if n <= FEW:
+        return values[_hashes(samples, 1 << (n - 1).bit_length(), seed)[:, :n] % n].sum(axis=1)
+    rng = np.random.default_rng([seed % (1 << 32), n, block])
+    return np.array([values[rng.integers(0, len(values), k)].sum() for k in _share(n, block, samples, seed)])
 
 
 def placed(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -40,12 +69,20 @@ def placed(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def replicates(rows: DataFrame, group: Sequence[str], value: str, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """(group, replicate, mean): the mean of each resample."""
-    d = cut(placed(rows, group, value))
-    asked = d.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    asked = asked.select(*group, "n", "replicate", (F.col("first") + draw(F.col("replicate"), F.col("place") - F.col("first"), F.col("n"), seed)).alias("place"))
-    drawn = asked.groupBy(*group, "n", "replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    drawn = drawn.join(d.select("place", "v"), "place")
-    return drawn.groupBy(*group, "n", "replicate").agg((F.sum(F.col("v") * F.col("times")) / F.first("n")).alias("mean")).drop("n")
+    blocks = placed(rows, group, value).groupBy(*group, "n", F.floor((F.col("place") - F.col("first")) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list("v")).alias("v"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name in group)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, v = b.column("v").offsets.to_numpy(), b.column("v").values.to_numpy(zero_copy_only=False)
+            many = zip(b.column("n").to_pylist(), b.column("block").to_pylist(), ends[:-1], ends[1:], strict=True)
+            sums = pa.array([_sums(v[i:j], n, block, samples, seed) for n, block, i, j in many], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(g) for g in group], b.column("n"), sums], names=[*group, "n", "sums"])
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    drawn = blocks.mapInArrow(summed, f"{kinds + ', ' if group else ''}n long, sums array<double>")
+    drawn = drawn.select(*group, "n", F.posexplode("sums").alias("replicate", "s"))
+    return drawn.groupBy(*group, "n", (F.col("replicate") + 1).alias("replicate")).agg((F.sum("s") / F.first("n")).alias("mean")).drop("n")
 
 
 def intervals(rows: DataFrame, group: Sequence[str], value: str, samples: int = SAMPLES, level: float = LEVEL, seed: int = SEED) -> DataFrame:

@@ -44,6 +44,24 @@ def test_draws_are_even_and_intervals_are_those_of_resampling():
     assert np.percentile(means, [2.5, 97.5]) == pytest.approx(np.percentile(grid, [2.5, 97.5]), abs=0.15 * x.std())
 
 
+def test_large_groups_are_drawn_block_by_block(spark, monkeypatch):
+    """Counts of a replicate's draws add up, the deviation of its means is that of a mean of n values, and no draw is a row."""
+    n, samples = 5 * resampling.BLOCK // 2, 400
+    shares = np.array([resampling._share(n, block, samples, 42) for block in range(3)])
+    assert (shares.sum(axis=0) == n).all() and abs(shares.mean(axis=1) / n - [0.4, 0.4, 0.2]).max() < 0.001
+    rows = spark.range(n + 30).select(F.when(F.col("id") < n, "large").otherwise("small").alias("g"), F.pmod(F.hash("id"), F.lit(1000)).cast("double").alias("v"))
+    got = {r.g: r for r in resampling.replicates(rows, ["g"], "v", samples).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.avg("mean").alias("m"), F.stddev("mean").alias("s")).collect()}
+    want = rows.groupBy("g").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).filter("g = 'large'").first()
+    error = want.s / n**0.5
+    assert got["large"].k == got["small"].k == samples and abs(got["large"].m - want.m) < 4 * error / samples**0.5 and 0.85 < got["large"].s / error < 1.15
+    again = resampling.intervals(rows.repartition(3), ["g"], "v", samples).collect()
+    assert sorted(again) == sorted(resampling.intervals(rows, ["g"], "v", samples).collect())
+    written = []
+    monkeypatch.setattr(resampling, "cut", lambda d: written.append(d.count()) or d.localCheckpoint())
+    resampling.intervals(rows, ["g"], "v", samples).collect()
+    assert written and max(written) <= n + 30
+
+
 def test_leaderboard(spark):
     rows = [("p", 1, "a", 10.0), ("p", 1, "b", 20.0), ("p", 2, "a", 30.0), ("p", 2, "b", 40.0)] + [("q", s, "a", float(s)) for s in range(20)] + [("q", 3, None, 3.0)]
     board = {(r.policy, r.scenario): r for r in resampling.leaderboard(spark.createDataFrame(rows, "policy string, seed int, scenario string, score double"), "policy", "seed", "score", "scenario", 200).collect()}
