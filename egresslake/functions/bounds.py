@@ -14,3 +14,9 @@ def bounded(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"a table that is compared with every row may have at most {most} rows")
     return F.broadcast(df)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to several tasks per core: a small file is one task, however much work its rows are."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import spread
 from egresslake.operators import fields as D
 from egresslake.operators import submissions as S
 from egresslake.plans.trajectory_queries import rounded
@@ -47,7 +48,7 @@ def q_route_penalty(spark, sf_dir):
 
 def payloads(spark, sf_dir):
     """Customers' submissions: right ones, and ones with a wrong hash, order, seed, suite or scenario."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     k = F.col("c_custkey")
     names = F.when(k % 7 == 0, F.array(F.lit("flood_urban"))).otherwise(F.array(F.lit("flood_urban"), F.lit("quake_aftershock")))
     low = F.when(k % 5 == 0, F.lit(60.5)).otherwise(F.lit(40.5))
