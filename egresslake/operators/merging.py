@@ -1,7 +1,7 @@
 """Generated values merged into scenario documents of any form: whitelisted paths are filled, nothing that is there is overwritten.
 
 Documents are JSON texts, read as VARIANT and taken apart into leaves (a path and a value) level by level with variant_explode; a level is one
-lateral join over what is still nested. Steps of a path are keys, or, for items of a list, the item's name where it has one, else its place.
+lateral join over what is still nested, written once. Steps of a path are keys, or, for items of a list, the item's name where it has one, else its place.
 Merging is then a join on (document, path), whatever the documents' forms, and refusals are rows. Documents are put together
 again from the deepest level up; a document is in one group there, as its text was before.
 """
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import spread
 from egresslake.operators.graph import cut
 
 #: Levels that documents may be nested.
@@ -37,10 +38,11 @@ def leaves(docs: DataFrame, id_col: str, payload: str, by_name: str | None = "na
     containers are the kinds (o or a) of the levels above a leaf, places the order of its steps there. A payload that is NULL or no JSON has no leaves.
     """
     spark = docs.sparkSession
-    top = docs.select(F.col(id_col).alias("id"), F.try_parse_json(payload).alias("v")).filter("v is not null")
+    top = spread(docs.select(F.col(id_col).alias("id"), F.col(payload).alias("v"))).withColumn("v", F.try_parse_json("v")).filter("v is not null")
     front = top.select("id", F.lit("").alias("path"), F.lit("").alias("containers"), F.array().cast("array<long>").alias("places"), "v")
     out: DataFrame | None = None
     for _ in range(DEPTH):
+        front = cut(front)  # else each level would take all levels above it apart again
         kind = _kind(F.col("v"))
         nested = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~F.to_json("v").isin("{}", "[]")
         done = front.filter(~F.coalesce(nested, F.lit(False))).select("id", "path", "containers", "places", F.to_json("v").alias("value"))
@@ -85,7 +87,7 @@ def merged_leaves(existing: DataFrame, generated: DataFrame, allowed: Sequence[s
     status = (
         F.when(~F.col("_fits"), "not_allowed").when(F.col("_leaf").isNotNull() | F.col("_inner").isNotNull(), "existing_value").when(F.col("_blocked").isNotNull(), "existing_parent").otherwise("applied")
     )
-    g = g.withColumn("status", status).drop("_fits", "_leaf", "_inner", "_blocked")
+    g = cut(g.withColumn("status", status).drop("_fits", "_leaf", "_inner", "_blocked"))
     new = g.filter("status = 'applied'").withColumn("places", F.transform("places", lambda p: p + LATER))
     # an empty container that gets something is no leaf any more
     filled = new.select("id", F.explode(F.array_compact(above(F.col("path")))).alias("path")).distinct()
@@ -97,8 +99,10 @@ def documents(parts: DataFrame) -> DataFrame:
     """(id, payload): documents put together from leaves. Keys are in order, items in the order of their places."""
     level = parts.select("id", "path", "containers", "places", "value", F.length("containers").alias("depth"))
     deepest = parts.agg(F.max(F.length("containers"))).first()[0] or 0
+    built: DataFrame | None = None  # containers of a level, put together from those below and the level's own leaves
     for depth in range(deepest, 0, -1):
-        here, rest = level.filter(F.col("depth") == depth), level.filter(F.col("depth") < depth)
+        here = level.filter(F.col("depth") == depth)
+        here = here if built is None else here.unionByName(built)
         key = F.substring_index("path", SEP, -1)
         key = F.to_json(F.array(F.replace(F.replace(key, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))))
         quoted = F.substring(key, F.lit(2), F.length(key) - 2)
@@ -108,8 +112,9 @@ def documents(parts: DataFrame) -> DataFrame:
         g = g.groupBy("id", "path").agg(F.first("containers").alias("containers"), F.min("places").alias("places"), F.array_sort(F.collect_list("p")).alias("p"))  # one container of a document
         inside = F.array_join(F.transform("p", lambda x: F.concat(F.coalesce(F.concat(x["key"], F.lit(":")), F.lit("")), x["value"])), ",")
         value = F.when(F.col("p")[0]["key"].isNotNull(), F.concat(F.lit("{"), inside, F.lit("}"))).otherwise(F.concat(F.lit("["), inside, F.lit("]")))
-        level = rest.unionByName(g.select("id", "path", "containers", "places", value.alias("value"), F.lit(depth - 1).alias("depth")))
-    return level.select("id", F.col("value").alias("payload"))
+        built = g.select("id", "path", "containers", "places", value.alias("value"), F.lit(depth - 1).alias("depth"))
+    top = level.filter("depth = 0")
+    return (top if built is None else top.unionByName(built)).select("id", F.col("value").alias("payload"))
 
 
 def fill_documents(docs: DataFrame, generated: DataFrame, allowed: Sequence[str], id_col: str = "id", payload: str = "payload", by_name: str | None = "name") -> tuple[DataFrame, DataFrame]:

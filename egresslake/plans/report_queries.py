@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from egresslake.functions.bounds import spread
 from egresslake.operators import merging as M
 from egresslake.operators import plausibility as P
 from egresslake.operators import reports as R
@@ -94,7 +95,7 @@ def q_congestion_share(spark, sf_dir):
 
 def q_filled_documents(spark, sf_dir):
     """Customers as scenarios; their orders generate priors, of which some are there, some are not allowed."""
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = spread(table(spark, sf_dir, "customer")), F.col("c_custkey")
     cohort = F.struct(F.lit("regulars").alias("name"), F.col("c_nationkey").alias("count"), F.when(k % 3 == 0, F.lit(1.5)).alias("base_speed"))
     docs = c.select(k.alias("id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.array(cohort).alias("cohorts")).alias("population"))).alias("payload"))
     prior = F.struct(F.lit("regulars").alias("name"), (k % 10 / 4).alias("base_speed"), F.lit(0.5).alias("trust"))

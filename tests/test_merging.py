@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from egresslake.operators import merging
+from egresslake.operators import merging, submissions
 
 
 def parse(rows):
@@ -66,3 +66,15 @@ def test_too_deep(spark, monkeypatch):
     monkeypatch.setattr(merging, "DEPTH", 2)
     with pytest.raises(ValueError):
         merging.leaves(frame(spark, {"a": {"b": {"c": {"d": 1}}}}), "id", "payload")
+
+
+def test_work_is_spread_and_levels_are_built_once(spark):
+    """Rows of one small file go to all cores, and a document's levels are not put together again for each level above."""
+    docs = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": [1, {"f": 2}]}}}}}')], "id long, payload string").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert submissions.submission_issues(docs, "id").rdd.getNumPartitions() >= 4 * cores
+    parts = merging.leaves(docs, "id", "payload")
+    assert parts.rdd.getNumPartitions() >= 4 * cores
+    whole = merging.documents(parts.localCheckpoint())
+    assert json.loads(whole.first().payload) == json.loads(docs.first().payload)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 9
