@@ -19,10 +19,10 @@ HASHES = {k: S.content_hash(s.document()) for k, s in S.suites().items()}
 def raster(spark, sf_dir):
     """A raster of 9 by 9 cells: mean discounts and taxes of line items by part and supplier; some values are missing.
 
-    Means are taken of whole hundredths and rounded half up to six digits, so they do not depend on the order of the sums.
+    Values are rounded to whole hundredths as doubles, and means half up to six digits, so they do not depend on the order of the sums.
     """
     li = table(spark, sf_dir, "lineitem")
-    mean = {n: F.avg(F.col(c).cast("decimal(12,2)")).cast("decimal(16,6)").cast("double").alias(n) for n, c in (("d", "l_discount"), ("t", "l_tax"))}
+    mean = {n: F.expr(f"((20000 * sum(cast(round({c} * 100) as decimal(18,0))) + count({c})) div nullif(2 * count({c}), 0)) / 1000000d").alias(n) for n, c in (("d", "l_discount"), ("t", "l_tax"))}
     g = li.groupBy((F.col("l_partkey") % 9).cast("int").alias("ix"), (F.col("l_suppkey") % 9).cast("int").alias("iy")).agg(mean["d"], mean["t"])
     odd = (F.col("ix") + F.col("iy")) % 5 == 0
     return g.select("ix", "iy", (F.col("d") * 10).alias("intensity"), (1 - F.col("d") * 8).alias("visibility"), F.when(~odd, F.col("t") * 200).alias("visibility_m"), F.col("t").alias("gas_concentration"), (F.col("d") * 3).alias("obscuration"))
@@ -41,9 +41,11 @@ def q_field_edges(spark, sf_dir):
 
 
 def q_route_penalty(spark, sf_dir):
+    """Points whose height is not known have no penalty, but for closed ones."""
     s = D.sampled_field(points(spark, sf_dir), raster(spark, sf_dir), FIELD, z="z")
-    cost = D.route_penalty(F.col("intensity"), F.col("obscuration"), F.col("z") / 5, F.col("event_id") % 11 == 0, 1.2371)
-    return rounded(s.select("event_id", cost.alias("penalty")), 5)
+    closed = F.col("event_id") % 11 == 0
+    cost = D.route_penalty(F.col("intensity"), F.col("obscuration"), F.col("z") / 5, closed, 1.2371)
+    return rounded(s.select("event_id", F.when(closed | F.col("z").isNotNull(), cost).alias("penalty")), 5)
 
 
 def payloads(spark, sf_dir):
