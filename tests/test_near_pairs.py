@@ -38,3 +38,15 @@ def test_pairs_of_a_crowded_bucket(spark, block):
     rows = [(r.k, r.a, r.b) for r in spatial.near_pairs(df, 0.5, ["k"], "i", block=block).collect()]
     want = {(g, i, j) for g in (0, 1) for i, j in near(points[g], 0.5, -1.0)}
     assert set(rows) == want and len(rows) == len(want)
+
+def test_all_pairs_of_events(spark, sf, tmp_path):
+    """Events of one place each have their pairs with all near events; the SQL gives the same."""
+    e = spark.read.parquet(f"{sf}/events.parquet").filter("event_id < 60")
+    many = e.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("event_id", F.col("event_id") + F.col("n") * 101 * 97).withColumn("props", F.when(F.col("event_id") % 7 > 0, F.lit('{"k": 1}')))
+    many.drop("n").write.parquet(f"{tmp_path}/events.parquet")
+    rows = sorted(tuple(r) for r in structure_queries.q_proximity_pairs(spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows == sorted(c.execute(structure_queries.SQL["q_proximity_pairs"]).fetchall())
+    points = [(i, (i * 37) % 101 / 10, (i * 53) % 97 / 10) for r in e.collect() for i in (r.event_id, r.event_id + 9797, r.event_id + 2 * 9797) if i % 7]
+    assert {(a, b) for _, a, b, _ in rows} == near(points, 0.5, 1e-6) and len(rows) > 60
