@@ -4,13 +4,15 @@ r"""Operator 12: phrase collocation mining with count-min sketches.
    its own: ROWS rows of cells, whose number follows the corpus, up to MOST_BITS. Counters stop at `least`,
    which is all that the question "at least that often?" needs, and so take one byte. Sketches are merged in Spark by segments of
    cells, and a merged cell becomes one bit: has it reached `least`?
-2. A second pass counts exactly the n-grams whose cells have all the bit, and of which both shorter n-grams, without the
+   In large corpora the sketch would fill up with rare n-grams, most of them pairs of words, so it is made again for longer
+   n-grams, then only of those whose shorter n-grams have the bit (`passes_over`).
+2. A last pass counts exactly the n-grams whose cells have all the bit, and of which both shorter n-grams, without the
    last and without the first word, have it too. A sketch only overestimates, so no n-gram that is frequent is lost;
    whatever survives in error is counted exactly and dropped.
 3. Frequent phrases are cut in two at each place, scored by the weakest cut, and dropped where a longer phrase explains them.
 
-The driver and each task hold the merged bits: ROWS x 2^MOST_BITS / 8 bytes = 16 MiB at most, 2 MiB at 2^23 cells. Beyond the corpus
-for which MOST_BITS is enough (half a billion n-grams), the sketch lets more rare n-grams through, and the second pass counts more; results are the same. A
+The driver and each task hold the merged bits: ROWS x 2^MOST_BITS / 8 bytes = 16 MiB at most for each pass, 2 MiB at 2^23 cells; there are up
+to LONGEST passes. Beyond some ten billion words MOST_BITS lets more rare n-grams through, and the last pass counts more; results are the same. A
 sketch's memory in a task is ROWS x 2^MOST_BITS bytes = 128 MiB at most. Texts are read in chunks of about CHUNK bytes; a longer text is a chunk.
 
 Inside a chunk, words get numbers from Arrow's dictionary encoding, and n-grams are told apart by pairs of (number of the n-gram without its
@@ -29,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from egresslake.llm.common import semi_left, small_batches, stored
-from egresslake.llm.shingles import mixed
+from egresslake.llm.shingles import mixed, powers
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer phrase explains a shorter one that occurs in it at least this often, in percent.
@@ -41,37 +44,50 @@ EXPLAINED = 80
 ROWS, FEWEST_BITS, MOST_BITS = 2, 16, 26
 #: Cells are added for so many n-grams each.
 LOAD = 8
+#: N-grams of all lengths share a sketch up to so many a cell, words and pairs up to FULL_2.
+FULL, FULL_2 = 24, 64
 SEGMENT_BITS = 18
 CHUNK = 8 << 20
 _U = np.uint64
 _STEP, _ROW = _U(0x9E3779B97F4A7C15), (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3))
 
 #: Per byte: the byte in lower case (A to Z only), and its class: 0 of a word, 1 blank, 2 separator of pieces.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CLASS = np.zeros(256, dtype=np.uint8)
-_CLASS[[0x20, 0x09]] = 1
-_CLASS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
+_BLANKS, _SEPARATORS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_CLASS = bytes(1 if b in _BLANKS else 2 if b in _SEPARATORS else 0 for b in range(256))
+#: Words up to so many bytes are hashed as sums.
+_SHORT = 1024
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
 def words(blob: bytes) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
     """(number of each word occurrence, distinct words, piece of each occurrence)."""
-    raw = np.frombuffer(blob, dtype=np.uint8)
-    kind = _CLASS[raw]
-    inside = kind == 0
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    kind = np.frombuffer(blob.translate(_CLASS), dtype=np.uint8)
+    inside = np.zeros(len(kind) + 2, dtype=bool)
+    np.equal(kind, 0, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     offsets = np.zeros(len(starts) + 1, dtype=np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
-    found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(_LOWER[raw[inside]]))])
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(blob.translate(_LOWER, _BLANKS + _SEPARATORS))])
     coded = found.dictionary_encode()
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.empty(0, dtype=np.int32)
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary, piece
 
 
 def word_hashes(distinct: pa.BinaryArray, lang: str) -> np.ndarray:
+    """A hash of each word and lang: sums over a word's bytes, mixed."""
     seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    return np.fromiter((xxhash.xxh64_intdigest(w.as_py(), seed) for w in distinct), dtype=np.uint64, count=len(distinct))
+    _, offsets, data = distinct.buffers()
+    if not len(distinct):
+        return np.zeros(0, dtype=np.uint64)
+    edge = np.frombuffer(offsets, dtype=np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    raw, size = np.frombuffer(data, dtype=np.uint8)[edge[0] : edge[-1]], np.diff(edge)
+    place = np.arange(len(raw)) - np.repeat(edge[:-1] - edge[0], size)
+    out = np.add.reduceat(_BYTE[raw] * powers(_SHORT)[place % _SHORT], edge[:-1] - edge[0])
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(distinct[i].as_py())
+    return mixed(out ^ _U(seed))
 
 
 def gram_hashes(hashes: np.ndarray, piece: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,10 +112,14 @@ def counters(least: int) -> np.dtype:
     return np.min_scalar_type(least)
 
 
-def add_to(sketch: np.ndarray, h: np.ndarray, bits: int, least: int) -> None:
-    """Counts hashes in a sketch of len(sketch) rows; no counter passes `least`."""
+def add_to(sketch: np.ndarray, h: np.ndarray, bits: int, least: int, times: np.ndarray | None = None) -> None:
+    """Counts hashes, each once or `times`, in a sketch of len(sketch) rows; no counter passes `least`."""
     for row in range(len(sketch)):
-        cell, n = np.unique(cells(h, row, bits), return_counts=True)
+        if times is None:
+            cell, n = np.unique(cells(h, row, bits), return_counts=True)
+        else:
+            cell, at = np.unique(cells(h, row, bits), return_inverse=True)
+            n = np.bincount(at, weights=times, minlength=len(cell)).astype(np.int64)
         sketch[row, cell] = np.minimum(sketch[row, cell] + n, least)
 
 
@@ -132,8 +152,36 @@ def width(size: int, longest: int = LONGEST) -> int:
     return min(MOST_BITS, max(FEWEST_BITS, int(grams // LOAD).bit_length()))
 
 
-def merged_sketch(texts: DataFrame, bits: int, least: int, longest: int, rows: int = ROWS) -> np.ndarray:
-    """Packed bits (rows, 2^bits / 8): which cells of the merged sketch have reached `least`."""
+def passes_over(size: int, bits: int, longest: int = LONGEST) -> list[range]:
+    """Lengths of n-grams that share a sketch: all, or words and pairs before longer ones, or each by itself, by how many a cell gets."""
+    words_a_cell = size / 6 / (1 << bits)
+    if words_a_cell * longest <= FULL:
+        return [range(1, longest + 1)]
+    if words_a_cell * 2 <= FULL_2:
+        return [r for r in (range(1, min(2, longest) + 1), range(3, longest + 1)) if r]
+    return [range(n, n + 1) for n in range(1, longest + 1)]
+
+
+def candidates(ids: np.ndarray, hashes: np.ndarray, piece: np.ndarray, maps: dict[int, np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n: (n, hash of the n-gram that begins at each place, places of those that may be frequent); hashes are the distinct words'.
+
+    An n-gram may be frequent if both shorter ones may be, and if it passes the bitmap of n, where maps has it.
+    """
+    before = np.zeros(0, dtype=bool)
+    for n, (h, whole) in enumerate(gram_hashes(hashes[ids], piece, longest), 1):
+        if n == 1:
+            at = np.flatnonzero(passes(maps[1], hashes, bits)[ids]) if 1 in maps else np.arange(len(ids))
+        else:
+            at = np.flatnonzero(whole & before[: len(h)] & before[1 : len(h) + 1])
+            if n in maps:
+                at = at[passes(maps[n], h[at], bits)]
+        yield n, h, at
+        before = np.zeros(len(h), dtype=bool)
+        before[at] = True
+
+
+def merged_sketch(texts: DataFrame, bits: int, least: int, lengths: range, known: Broadcast, rows: int = ROWS) -> np.ndarray:
+    """Packed bits (rows, 2^bits / 8): which cells of the merged sketch of n-grams of these lengths have reached `least`. known: bitmaps by length."""
     part = min(SEGMENT_BITS, bits)
     kind = counters(least)
 
@@ -141,9 +189,14 @@ def merged_sketch(texts: DataFrame, bits: int, least: int, longest: int, rows: i
         sketch = np.zeros((rows, 1 << bits), dtype=kind)
         for lang, blob in chunks(batches):
             ids, distinct, piece = words(blob)
-            if len(ids):
-                for h, whole in gram_hashes(word_hashes(distinct, lang)[ids], piece, longest):
-                    add_to(sketch, h[whole], bits, least)
+            if not len(ids):
+                continue
+            hashes = word_hashes(distinct, lang)
+            for n, h, at in candidates(ids, hashes, piece, known.value, bits, lengths[-1]):
+                if n in lengths and n == 1:
+                    add_to(sketch, hashes, bits, least, np.bincount(ids))
+                elif n in lengths:
+                    add_to(sketch, h[at], bits, least)
         segments = sketch.reshape(-1, 1 << part)
         for k in np.flatnonzero(segments.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([segments[k].tobytes()], pa.binary())], names=["k", "cells"])
@@ -175,21 +228,19 @@ def merged_sketch(texts: DataFrame, bits: int, least: int, longest: int, rows: i
     return bitmap.reshape(rows, -1)
 
 
-def survivors(ids: np.ndarray, hashes: np.ndarray, piece: np.ndarray, bitmap: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each n: (n, first place of each distinct n-gram that passes, its occurrences)."""
-    before, group = np.zeros(0, dtype=bool), np.zeros(len(ids), dtype=np.int64)
-    size = int(ids.max()) + 1
-    for n, (h, whole) in enumerate(gram_hashes(hashes, piece, longest), 1):
-        able = whole if n == 1 else whole & before[: len(h)] & before[1 : len(h) + 1]
-        at = np.flatnonzero(able)
-        at = at[passes(bitmap, h[at], bits)]
-        now = np.zeros(len(h), dtype=bool)
-        now[at] = True
+def survivors(ids: np.ndarray, hashes: np.ndarray, piece: np.ndarray, maps: dict[int, np.ndarray], bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n: (n, first place of each distinct n-gram that may be frequent, its occurrences)."""
+    group, size = ids, len(hashes)
+    for n, h, at in candidates(ids, hashes, piece, maps, bits, longest):
+        if n == 1:
+            first, times = np.zeros(size, dtype=np.int64), np.bincount(ids[at], minlength=size)
+            first[ids[at][::-1]] = at[::-1]
+            yield n, first[times > 0], times[times > 0]
+            continue
         _, first, inverse, times = np.unique(group[at] * size + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
         yield n, at[first], times
         group = np.zeros(len(h), dtype=np.int64)
         group[at] = inverse
-        before = now
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +249,12 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = width(size, longest)
-    bitmap = docs.sparkSession.sparkContext.broadcast(merged_sketch(texts, bits, least, longest))
+    sc, maps = docs.sparkSession.sparkContext, {}
+    known = sc.broadcast(maps)
+    for lengths in passes_over(size, bits, longest):
+        bitmap = merged_sketch(texts, bits, least, lengths, known)
+        known.unpersist()
+        known = sc.broadcast(maps := maps | dict.fromkeys(lengths, bitmap))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, blob in chunks(batches):
@@ -206,7 +262,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
             if not len(ids):
                 continue
             out = [([b""], [0], [len(ids)])]
-            for n, first, times in survivors(ids, word_hashes(distinct, lang)[ids], piece, bitmap.value, bits, longest):
+            for n, first, times in survivors(ids, word_hashes(distinct, lang), piece, known.value, bits, longest):
                 parts = [distinct.take(pa.array(ids[first + k])) for k in range(n)]
                 phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, b" ")
                 out.append((phrase, np.full(len(first), n, dtype=np.int32), times))
@@ -217,7 +273,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
 
     found = texts.mapInArrow(count, "lang string, phrase binary, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     both = stored(found.filter((F.col("f") >= least) | (F.col("words") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases")
-    bitmap.unpersist()
+    known.unpersist()
     return both.filter("words > 0"), both.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
