@@ -12,7 +12,7 @@ r"""Operator 12: phrase collocation mining with count-min sketches.
 3. Frequent phrases are cut in two at each place, scored by the weakest cut, and dropped where a longer phrase explains them.
 
 The driver and each task hold the merged bits: ROWS x 2^MOST_BITS / 8 bytes = 16 MiB at most for each pass, 2 MiB at 2^23 cells; there are up
-to LONGEST passes. Beyond some ten billion words MOST_BITS lets more rare n-grams through, and the last pass counts more; results are the same. A
+to LONGEST passes. Beyond some billion words MOST_BITS lets more rare n-grams through, and the last pass counts more; results are the same. A
 sketch's memory in a task is ROWS x 2^MOST_BITS bytes = 128 MiB at most. Texts are read in chunks of about CHUNK bytes; a longer text is a chunk.
 
 Inside a chunk, words get numbers from Arrow's dictionary encoding, and n-grams are told apart by pairs of (number of the n-gram without its
